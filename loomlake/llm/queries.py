@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import DigestIndex, exact_dedup
+from .html_text import extract_text
 from .jaccard import jaccard_join
 from .language import identify_language
+from .licenses import scan_licenses
 from .packing import pack_documents
+from .pieces import decode_documents, encode_documents, pieces_digest
 from .secrets import scan_secrets
 from .sql import ORACLES
 from .topk import top_k
@@ -30,10 +33,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return pieces_digest(decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -48,7 +60,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), keep_ids=False)
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +77,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_top_k": op4_top_k,
         "op5_toxicity": op5_toxicity,
         "op6_secret_scan": op6_secret_scan,
         "op7_packing": op7_packing,
+        "op8_html_text": op8_html_text,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_language": op10_language,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES, THRESHOLD
 from .secrets import ACCESS, ACCOUNT, ASSIGN, ASSIGN_VALUE, ENDPOINT, HEX, SCOPE, WEAK_VALUE
 
 
@@ -59,3 +60,16 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id,
   FROM v q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+_TEMPLATES = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in TEMPLATES.items())
+_WORDS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+ORACLES["op1_license_scan"] = f"""
+WITH t AS (SELECT license_id, {_BIGRAMS} AS b FROM (SELECT license_id, {_WORDS.format('body')} AS w FROM (VALUES {_TEMPLATES}) v(license_id, body))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+u AS (SELECT DISTINCT rid, doc_id, unit FROM (SELECT rid, doc_id,
+    unnest(list_concat(list_concat(string_split_regex(x, '\r?\n'), string_split_regex(x, '\r?\n[ \t]*\r?\n')), [x])) AS unit FROM d)),
+g AS (SELECT rid, doc_id, {_BIGRAMS} AS b FROM (SELECT rid, doc_id, {_WORDS.format('unit')} AS w FROM u) WHERE len(w) > 1 AND len(list_distinct(w)) <= 400),
+m AS (SELECT rid, doc_id, license_id, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t)
+SELECT doc_id, license_id, max(CAST(dice AS DOUBLE)) AS dice, count(*) AS n_units FROM m WHERE dice >= {THRESHOLD} GROUP BY rid, doc_id, license_id"""
