@@ -2,13 +2,15 @@
 
 1. Each document becomes a set of 64-bit shingle hashes, a 128-bit digest of the set (its *node*: documents with equal
    sets are one node), and a bitmap. Shingles have one global order: common ones, by a count sketch over all documents,
-   come last. Two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each: the *prefix*.
-2. Anchors: nodes that share one of their first shingles are paired with the smallest of them, one pair each, and
-   verified. That joins most large groups of copies with as many pairs as members.
+   come last. Two sets that link share ``k`` shingles at least among the first ``n - ceil(0.8 n) + k`` of each, their
+   *prefix*; k is a twentieth of n, so that a shared passage in long texts is no candidate.
+2. Hubs: of the nodes that share one of their smallest hashes, the one whose smallest hashes are shared most is the hub
+   (the original among its copies), and each other is paired with it and verified. That joins large groups of copies
+   with few pairs for each member.
 3. Shingles whose prefix lists still hold two components become groups. Groups above a size are split into blocks and
    each pair of blocks is a group of its own. In each, a signature tree (OR- and AND-combined bitmaps, size ranges,
    component if it is one) is traversed against itself: a pair of tree nodes whose greatest possible overlap is too small,
-   or that lies in one component, is left. The pairs of documents that remain are verified on the whole sets.
+   or that lies in one component, is left. Pairs that meet in k groups or more are verified on the whole sets.
 4. Components by alternating large and small stars on the links.
 
 No step gathers a list for a key in one row or task without a bound, and nothing but the bounded list of common sketch
@@ -32,41 +34,71 @@ BITS = 1024
 SKETCH_BITS = 24
 #: Common buckets that order shingles. The list only orders; a shorter one costs time, not links.
 COMMON = 65_536
-ANCHORS = 4
+#: Smallest hashes of a set by which hubs are found, and how many a pair must share to be tried.
+HUB_HASHES, HUB_SHARED = 8, 2
 #: Members of a group that one task compares; longer lists are split into blocks of half of it.
 GROUP = 4096
 FANOUT = 8
+#: Members of a group that are compared without a tree.
+FEW = 12
 #: Node pairs that are expanded at once.
 FRONTIER = 20_000
-#: Words of which a worker remembers the hash.
-MEMORY = 400_000
-
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-class Shingler:
-    """Distinct shingle hashes of a text, ascending."""
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 20
 
-    def __init__(self, words: int = WORDS) -> None:
-        import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+class Shingler:
+    """Distinct shingle hashes of a text, ascending.
 
-        class Memory(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) > MEMORY:
-                    self.clear()
-                h = self[word] = digest(word)
-                return h
+    A word's hash is a polynomial over random values of its bytes, from running sums over the whole text; blanks are the
+    six of ASCII, A-Z have the values of a-z.
+    """
 
-        self.words, self.memory = words, Memory()
+    def __init__(self, words: int = WORDS) -> None:
+        self.words = words
+        self.value = np.random.default_rng(11).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.value[65:91] = self.value[97:123]
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.power = self._powers(0x5851F42D4C957F2D, 1 << 12)
+        self.inverse = self._powers(pow(0x5851F42D4C957F2D, -1, 1 << 64), 1 << 12)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    def _hashes(self, data: np.ndarray) -> np.ndarray:
+        while len(data) >= len(self.power):
+            n = 2 * len(self.power)
+            self.power, self.inverse = self._powers(int(self.power[1]), n), self._powers(int(self.inverse[1]), n)
+        blank = self.blank[data]
+        edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
+        h = (total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x7FB5D329728EA185)
+        return h ^ (h >> np.uint64(27))
+
+    def word_hashes(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(data) <= SEGMENT:
+            return self._hashes(data)
+        blanks = np.flatnonzero(self.blank[data])
+        cuts = [0, *np.unique(blanks[np.searchsorted(blanks, np.arange(SEGMENT, len(data), SEGMENT)).clip(max=len(blanks) - 1)]), len(data)] if len(blanks) else [0, len(data)]
+        return np.concatenate([self._hashes(data[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
 
     def __call__(self, text: str) -> np.ndarray:
-        parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and the six blanks of ASCII
-        n = len(parts)
+        h = self.word_hashes(text)
+        n = len(h)
         if not n:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.memory.__getitem__, parts), dtype=np.uint64, count=n)
+            return h
         k = min(n, self.words)
         total = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
@@ -74,12 +106,18 @@ class Shingler:
         total ^= total >> np.uint64(32)
         total *= np.uint64(0xBF58476D1CE4E5B9)
         total ^= total >> np.uint64(29)
-        return np.unique(total)
+        total.sort()
+        return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+
+def shared_least(n: int) -> int:
+    """k: shingles that two linked sets share in their prefixes at least, n being the smaller set's size."""
+    return n // 20 + 1
 
 
 def prefix_length(n: int) -> int:
-    """Shingles of a set of n that hold one of any set's it links to: it shares ceil(0.8 n) at least."""
-    return n - -(-NUM * n // DEN) + 1 if n else 0
+    """A set of n shares ceil(0.8 n) at least with any it links to; all but k of those may lie behind the prefix."""
+    return min(n, n - -(-NUM * n // DEN) + shared_least(n)) if n else 0
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,7 +146,7 @@ def common_buckets(texts: DataFrame, words: int = WORDS, most: int = COMMON) ->
 
 
 def signatures(texts: DataFrame, common: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, same (digest of the text), n, node, prefix (in the global order), bits."""
+    """doc_id, same (digest of the text), n, node, low (smallest hashes), prefix (in the global order), bits."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -117,25 +155,26 @@ def signatures(texts: DataFrame, common: np.ndarray, words: int = WORDS) -> Data
         shingles, late = Shingler(words), np.zeros(1 << SKETCH_BITS, bool)
         late[common] = True
         for batch in batches:
-            n, node, prefix, bits = [], [], [], []
+            n, node, low, prefix, bits = [], [], [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()))
+                low.append(s[:HUB_HASHES].view(np.int64))
                 is_late = late[s >> np.uint64(64 - SKETCH_BITS)]
                 prefix.append(np.concatenate([s[~is_late], s[is_late]])[: prefix_length(len(s))].view(np.int64))
                 flags = np.zeros(BITS, bool)
                 flags[s & np.uint64(BITS - 1)] = True
                 bits.append(np.packbits(flags).tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "node", "prefix", "bits"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (low, prefix)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "node", "low", "prefix", "bits"])
 
     rows = texts.select("doc_id", F.unhex(F.md5("text")).alias("same"), "text")
-    return rows.mapInArrow(run, "doc_id long, same binary, n long, node binary, prefix array<long>, bits binary")
+    return rows.mapInArrow(run, "doc_id long, same binary, n long, node binary, low array<long>, prefix array<long>, bits binary")
 
 
 def verified(pairs: DataFrame, sig: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets.
+    """The pairs (a, b) of nodes that link, by their whole sets; stored.
 
     Only the texts that stand for a node of some pair are read into sets: a node's smallest text digest picks them.
     """
@@ -161,7 +200,21 @@ def verified(pairs: DataFrame, sig: DataFrame, texts: DataFrame, words: int = WO
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(small_or_merge(anchors, n_pairs), "a", "left_semi")
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - both
-    return left.join(right.hint("merge"), "a").where(both * DEN >= either * NUM).select("a", "b")
+    links = stored(left.join(right.hint("merge"), "a").where(both * DEN >= either * NUM).select("a", "b"), "links")
+    drop_stored(need)
+    drop_stored(sets)
+    return links
+
+
+def hub_pairs(sig: DataFrame) -> DataFrame:
+    """Pairs (hub, node) of nodes that share some of their smallest hashes: at most HUB_HASHES / HUB_SHARED a node."""
+    low = sig.select("node", F.explode("low").alias("token")).distinct()
+    counts = low.groupBy("token").count().where("count > 1")
+    met = stored(low.join(counts.hint("merge"), "token"), "met")
+    score = met.groupBy("node").agg(F.sum("count").alias("score"))
+    hubs = met.join(score.hint("merge"), "node").groupBy("token").agg(F.max(F.struct("score", "node")).alias("top"))
+    both = met.join(hubs.select("token", F.col("top.node").alias("a")).hint("merge"), "token").where("node <> a")
+    return both.groupBy("a", F.col("node").alias("b")).count().where(F.col("count") >= HUB_SHARED).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -184,6 +237,18 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def may_link(any_: np.ndarray, all_: np.ndarray, lo: np.ndarray, hi: np.ndarray, one: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether members below nodes i and j of a level can link and lie in different components."""
+    ok = ((one[i] != one[j]) | (one[i] < 0)) & (hi[i] * DEN >= lo[j] * NUM) & (hi[j] * DEN >= lo[i] * NUM)
+    k = np.flatnonzero(ok)
+    a, b = i[k], j[k]
+    only_a = np.bitwise_count(all_[a] & ~any_[b]).sum(1, dtype=np.int64)
+    only_b = np.bitwise_count(all_[b] & ~any_[a]).sum(1, dtype=np.int64)
+    most = np.minimum(hi[a] - only_a, hi[b] - only_b)
+    ok[k] = most * (DEN + NUM) >= (lo[a] + lo[b]) * NUM
+    return ok
+
+
 class Tree:
     """Levels of a signature tree over members that lie in an order where neighbours are alike."""
 
@@ -202,16 +267,7 @@ class Tree:
             ))
 
     def may_link(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether members below nodes i and j can link and lie in different components."""
-        any_, all_, lo, hi, one = self.levels[level]
-        ok = ((one[i] != one[j]) | (one[i] < 0)) & (hi[i] * DEN >= lo[j] * NUM) & (hi[j] * DEN >= lo[i] * NUM)
-        k = np.flatnonzero(ok)
-        a, b = i[k], j[k]
-        only_a = np.bitwise_count(all_[a] & ~any_[b]).sum(1, dtype=np.int64)
-        only_b = np.bitwise_count(all_[b] & ~any_[a]).sum(1, dtype=np.int64)
-        most = np.minimum(hi[a] - only_a, hi[b] - only_b)
-        ok[k] = most * (DEN + NUM) >= (lo[a] + lo[b]) * NUM
-        return ok
+        return may_link(*self.levels[level], i, j)
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of members (i < j) that dual traversal leaves."""
@@ -238,25 +294,45 @@ class Tree:
                 work.append((level - 1, a[keep], b[keep]))
 
 
-def tree_pairs(node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of different labels that may link; with blocks, only those between different ones."""
-    _, label = np.unique(label, return_inverse=True)
+def tree_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different labels that may link."""
     least = np.full(label.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, label, n)
     order = np.lexsort((n, label, least[label]))
-    node = node[order]
-    found = [(node[i], node[j]) if block is None else (node[i][d], node[j][d]) for i, j in Tree(n[order], bits[order], label[order]).pairs() for d in [None if block is None else block[order][i] != block[order][j]]]
+    found = list(Tree(n[order], bits[order], label[order]).pairs())
     if not found:
-        return node[:0], node[:0]
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return a, b
+        return order[:0], order[:0]
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return order[i], order[j]
+
+
+def group_pairs(group: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members that may link, of rows sorted by group. Groups of a few rows need no tree."""
+    _, label = np.unique(label, return_inverse=True)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    size = np.diff(first, append=len(group))
+    few = np.repeat(size <= FEW, size)
+    left, right = [], []
+    for step in range(1, min(FEW, size.max())):
+        i = np.flatnonzero(few[:-step] & (group[:-step] == group[step:]))
+        for at in range(0, len(i), FRONTIER):
+            part = i[at : at + FRONTIER]
+            keep = may_link(bits, bits, n, n, label, part, part + step)
+            left.append(part[keep])
+            right.append(part[keep] + step)
+    for f, m in zip(first[size > FEW], size[size > FEW], strict=True):
+        i, j = tree_pairs(n[f : f + m], bits[f : f + m], label[f : f + m])
+        left.append(i + f)
+        right.append(j + f)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def bridged(sig: DataFrame, label: Column) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in different components that share a shingle of both prefixes and may link."""
+    """Pairs (a, b) of nodes in different components that share enough shingles of both prefixes and may link."""
     rows = sig.select("node", "n", "bits", label.alias("label"), F.explode("prefix").alias("token"))
     mark = F.xxhash64("label")
-    ends = sig.select(F.explode("prefix").alias("token"), mark_of(label).alias("mark")).groupBy("token").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    ends = sig.select(F.explode("prefix").alias("token"), F.xxhash64(label).alias("mark")).groupBy("token").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
     bridges = stored(ends.where("lo <> hi").select("token"), "bridges")
     met = rows.join(small_or_merge(bridges, limit=2_000_000), "token")
     members = met.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(mark).alias("mark"))
@@ -272,22 +348,20 @@ def bridged(sig: DataFrame, label: Column) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def done(t: pa.Table) -> pa.RecordBatch:
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")])
-            at = np.flatnonzero(np.any(np.diff(key, axis=1) != 0, axis=0)) + 1
-            node = np.array(t.column("node").to_pylist(), dtype=object)
+            group = np.cumsum(np.any(np.diff(key, axis=1, prepend=key[:, :1]) != 0, axis=0))
             n, mark, own = (t.column(c).to_numpy() for c in ("n", "mark", "own"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-            a, b = [], []
-            for s, e in zip([0, *at], [*at, len(n)], strict=True):
-                if e - s > 1:
-                    between = own[s:e] if key[1][s] != key[2][s] else None
-                    x, y = tree_pairs(node[s:e], n[s:e], bits[s:e], mark[s:e], between)
-                    a += x.tolist()
-                    b += y.tolist()
-            low = [min(p) for p in zip(a, b, strict=True)]
-            high = [max(p) for p in zip(a, b, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["a", "b"])
+            i, j = group_pairs(group, n, bits, mark)
+            across = (key[1][i] == key[2][i]) | (own[i] != own[j])  # a pair of two blocks: only what lies between them
+            node = np.array(t.column("node").to_pylist(), dtype=object)
+            for at in range(0, len(i), 50_000):
+                x, y = i[at : at + 50_000][across[at : at + 50_000]], j[at : at + 50_000][across[at : at + 50_000]]
+                a, b = node[x], node[y]
+                swap = a > b
+                columns = [pa.array(np.where(swap, b, a).tolist(), pa.binary()), pa.array(np.where(swap, a, b).tolist(), pa.binary()), pa.array(shared_least(np.minimum(n[x], n[y])), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "least"])
 
         rest = None
         for batch in batches:
@@ -297,17 +371,14 @@ def bridged(sig: DataFrame, label: Column) -> DataFrame:
             same = np.all([k == k[-1] for k in key], axis=0)
             full = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if full:
-                yield done(rest.slice(0, full))
+                yield from done(rest.slice(0, full))
                 rest = rest.slice(full)
         if rest is not None and rest.num_rows:
-            yield done(rest)
+            yield from done(rest)
 
     parts = split.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return parts.mapInArrow(run, "a binary, b binary").distinct()
-
-
-def mark_of(label: Column) -> Column:
-    return F.xxhash64(label)
+    met = parts.mapInArrow(run, "a binary, b binary, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
+    return met.where("n >= least").select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -321,14 +392,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _texts(docs, id_col, text_col)
     sig = stored(signatures(texts, common_buckets(texts, words), words), "signatures")
     full = sig.where("n > 0")
-    first = full.select(F.explode(F.slice("prefix", 1, ANCHORS)).alias("token"), "node").distinct()
-    anchors = first.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token", "a")
-    pairs = first.join(anchors.hint("merge"), "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    near = stored(verified(stored(pairs, "pairs"), full, texts, words), "links")
+    near = verified(stored(hub_pairs(full), "pairs"), full, texts, words)
     roots = stored(components(near), "roots")
     labelled = full.join(small_or_merge(roots), "node", "left")
-    more = stored(bridged(labelled, F.coalesce("root", "node")), "pairs")
-    rest = stored(verified(more, full, texts, words), "links")
+    rest = verified(stored(bridged(labelled, F.coalesce("root", "node")), "pairs"), full, texts, words)
     if not rest.isEmpty():
         roots = stored(components(near.union(rest)), "roots")
     placed = sig.select("doc_id", "n", "node").join(small_or_merge(roots), "node", "left")
@@ -341,9 +408,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """docs with one row of each component, the one whose id is the component's, all columns as they were.
 
-    Rows with an empty set stay. Of a component without ids, and of repeated ids in one, the smallest text stays.
+    Rows with an empty set and rows without an id stay. An id goes or stays as a whole: it goes if no row of it stays.
     """
     found = stored(jaccard_join(docs, id_col, text_col, words), "classes")
-    gone = found.where("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    stays = (F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))
+    gone = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(stays).alias("stays")).where("not stays").select("__id")
     key = F.col(f"`{id_col}`").cast("long")
     return docs.withColumn("__key", key).join(small_or_merge(stored(gone, "gone")).alias("g"), F.col("__key") == F.col("__id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
