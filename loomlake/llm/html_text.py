@@ -318,7 +318,7 @@ class Page:
             self.flows[-1].text(attributes.get("value", ""))
 
     def characters(self, s: str) -> None:
-        if not self.hidden and s:
+        if not self.hidden and s and not (self.stack and "closed" in self.stack[-1][1]):
             s = html.unescape(s) if "&" in s else s
             if self.pre:
                 self.flows[-1].plain(s.removeprefix("\n") if self.fresh else s)
