@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import models, results, tabular
+from . import models, more, results, tabular
 
-_PARTS = (tabular, results, models)
+_PARTS = (tabular, results, models, more)
 
 
 def queries() -> dict:

@@ -1,0 +1 @@
+"""The surveyed system has no streams, windows over time or watermarks; nothing is built here."""
