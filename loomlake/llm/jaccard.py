@@ -10,8 +10,8 @@
 3. Shingles whose prefix lists still hold two components become groups. Groups above a size are split into blocks and
    each pair of blocks is a group of its own. In each, a signature tree (OR- and AND-combined bitmaps, size ranges,
    component if it is one) is traversed against itself: a pair of tree nodes whose greatest possible overlap is too small,
-   or that lies in one component, is left. Pairs that share one of their first shingles are given out by the group of the
-   first they share, others by each group; those that meet in k groups or more are verified on the whole sets.
+   or that lies in one component, is left. Pairs whose prefixes share one of their smallest hashes are given out by the group
+   of the least they share, others by each group; those that meet in k groups or more are verified on the whole sets.
 4. Components by alternating large and small stars on the links.
 
 No step gathers a list for a key in one row or task without a bound, and nothing but the bounded list of common sketch
@@ -40,8 +40,9 @@ HUB_HASHES, HUB_SHARED = 8, 2
 #: Members of a group that one task compares; longer lists are split into blocks of half of it.
 GROUP = 4096
 FANOUT = 8
-#: First shingles of a prefix that travel with a member: a pair counts at once where the first that both share is found.
+#: Smallest hashes of a prefix that travel with a member: a pair counts at once in the group of the least that both share.
 HEAD = 8
+NONE = np.iinfo(np.int64).max
 #: Members of a group that are compared without a tree.
 FEW = 12
 #: Node pairs that are expanded at once.
@@ -333,12 +334,12 @@ def group_pairs(group: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.nd
 
 def bridged(sig: DataFrame, label: Column) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share enough shingles of both prefixes and may link."""
-    rows = sig.select("node", "n", "bits", F.slice("prefix", 1, HEAD).alias("head"), label.alias("label"), F.posexplode("prefix").alias("pos", "token"))
+    rows = sig.select("node", "n", "bits", F.slice(F.array_sort("prefix"), 1, HEAD).alias("head"), label.alias("label"), F.explode("prefix").alias("token"))
     mark = F.xxhash64("label")
     ends = sig.select(F.explode("prefix").alias("token"), F.xxhash64(label).alias("mark")).groupBy("token").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
     bridges = stored(ends.where("lo <> hi").select("token"), "bridges")
     met = rows.join(small_or_merge(bridges, limit=2_000_000), "token")
-    members = met.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(mark).alias("mark"), F.first("pos").alias("pos"), F.first("head").alias("head"))
+    members = met.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(mark).alias("mark"), F.first("head").alias("head"))
     members = stored(members, "members")
     half = GROUP // 2
     sizes = members.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.ceil(F.col("count") / half).cast("int").alias("blocks"))
@@ -346,7 +347,7 @@ def bridged(sig: DataFrame, label: Column) -> DataFrame:
     own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     split = members.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
-    split = split.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bits", "mark", "pos", "head")
+    split = split.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bits", "mark", "head")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -360,17 +361,17 @@ def bridged(sig: DataFrame, label: Column) -> DataFrame:
             across = (key[1][i] == key[2][i]) | (own[i] != own[j])  # a pair of two blocks: only what lies between them
             i, j = i[across], j[across]
             node = np.array(t.column("node").to_pylist(), dtype=object)
-            pos, heads = t.column("pos").to_numpy(), np.zeros((len(n), HEAD), np.int64)
+            heads = np.full((len(n), HEAD), NONE)
             lists = t.column("head").combine_chunks()
             at = np.arange(len(lists.flatten())) - np.repeat(lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0], np.diff(lists.offsets.to_numpy()))
             heads[np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy())), at] = lists.flatten().to_numpy()
-            place = np.arange(HEAD)
             for at in range(0, len(i), FRONTIER):
                 x, y = i[at : at + FRONTIER], j[at : at + FRONTIER]
-                same = (heads[x][:, :, None] == heads[y][:, None, :]) & (place < pos[x, None])[:, :, None] & (place < pos[y, None])[:, None, :]
-                x, y = x[first := ~same.any((1, 2))], y[first]  # else an earlier group gives the pair
+                first = np.where(heads[x][:, :, None] == heads[y][:, None, :], heads[x][:, :, None], NONE).min((1, 2))
+                mine = (first == NONE) | (first == key[0][x])  # else another group gives the pair
+                x, y, first = x[mine], y[mine], first[mine]
                 least = shared_least(np.minimum(n[x], n[y]))
-                weight = np.where((pos[x] < HEAD) & (pos[y] < HEAD), least, 1)
+                weight = np.where(first == NONE, 1, least)
                 a, b = node[x], node[y]
                 swap = a > b
                 columns = [pa.array(np.where(swap, b, a).tolist(), pa.binary()), pa.array(np.where(swap, a, b).tolist(), pa.binary()), pa.array(least, pa.int64()), pa.array(weight, pa.int64())]
