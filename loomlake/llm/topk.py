@@ -2,14 +2,17 @@
 
 Vectors are dealt into blocks of bounded size, queries too, and each pair of a block and a query block is one group: a
 block-nested loop of a stated query set. In a group there is a list for each dimension, sorted by the component. For a
-query the lists are read from their better end in growing steps; what was read gives each row a lower bound (unread
+query the lists are read from their better end, a fifth of them at a time; what was read gives each row a lower bound (unread
 components at the list's worst) and an upper bound (unread components at the list's frontier). Reading stops when few
-rows can still reach the k-th lower bound; their scores are then resolved, and no other row can qualify. The best k of
+rows can still reach the k-th lower bound; their scores are then resolved, and no other row can qualify. What was read of
+a list at a depth depends on the query's sign alone, so the bounds of all queries of a group are matrix products. The best k of
 each block meet in a ranking whose input Spark limits to k rows a query and task before the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,44 +22,56 @@ from .common import stored
 SCALE = 1024
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-#: Entries of each list that are read first; each further step reads as many again as were read.
-STEP = 64
+#: Steps in which a list would be read to its end.
+STEPS = 5
+#: Queries whose bounds are computed at once.
+BATCH = 256
 #: Rows besides k that may be left when reading stops.
 LEFT = 64
 
 
 class Lists:
-    """The sorted lists of a block."""
+    """The sorted lists of a block. What has been read of a list are the rows whose rank in it lies below the depth."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(vectors, self.order, 0)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, ties to smaller ids; rows with the id ``own`` take no part."""
-        n, out = len(self.ids), self.ids == own
-        dims = np.flatnonzero(query)
-        lists = np.where(query[dims] > 0, 1, -1)
-        worst = query[dims] * np.where(lists > 0, self.sorted[0, dims], self.sorted[-1, dims])
-        unread = np.ones((n, len(dims)))
-        known = np.zeros(n)
-        depth, left = 0, np.flatnonzero(~out)
-        while depth < n and len(left) > k + LEFT and len(dims):
-            until = min(n, depth + max(STEP, depth))
-            at = np.arange(depth, until)
-            place = np.where(lists[None, :] > 0, n - 1 - at[:, None], at[:, None])
-            rows, values = self.order[place, dims], self.sorted[place, dims] * query[dims]
-            known += np.bincount(rows.ravel(), weights=values.ravel(), minlength=n)
-            unread[rows, np.arange(len(dims))] = 0
-            depth = until
-            lower, upper = known + unread @ worst, known + unread @ values[-1]
-            lower[out], upper[out] = -np.inf, -np.inf
-            least = np.partition(lower, n - k)[n - k] if k < n else -np.inf
-            left = np.flatnonzero((upper >= least) & ~out)
-        score = self.vectors[left] @ query
-        best = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][best], score[best]
+        n = len(ids)
+        self.ids, self.vectors, self.by_dim = ids, vectors, np.ascontiguousarray(vectors.T)
+        order = np.argsort(self.by_dim, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.by_dim, order, 1)
+        rank = np.empty(order.shape, np.int16 if n < 32_768 else np.int32)
+        np.put_along_axis(rank, order, np.arange(n, dtype=rank.dtype)[None, :], 1)
+        self.rising, self.falling = rank, n - 1 - rank
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its place, and ids and scores of its k best rows, ties to smaller ids.
+
+        Rows whose id is the query's ``own`` take no part. All numbers are integers below 2^53, so bounds are exact.
+        """
+        n, v = len(self.ids), self.by_dim
+        step, depth, active = max(1, -(-n // STEPS)), 0, np.arange(len(queries))
+        while len(active):
+            depth = min(n, depth + step)
+            fall, rise = (self.falling < depth).astype(float), (self.rising < depth).astype(float)
+            up, down = np.maximum(queries[active], 0), np.minimum(queries[active], 0)
+            read = up @ (v * fall) + down @ (v * rise)
+
+            def bound(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+                """What was read, and for what was not the given entry of each list."""
+                rest = (up @ high + down @ low)[:, None] - (up * high) @ fall - (down * low) @ rise  # noqa: B023
+                return read + rest  # noqa: B023
+
+            out = self.ids[None, :] == own[active, None]
+            lower = np.where(out, -np.inf, bound(self.sorted[:, 0], self.sorted[:, -1]))
+            upper = np.where(out, -np.inf, bound(self.sorted[:, n - depth], self.sorted[:, depth - 1]))
+            least = np.partition(lower, n - k, axis=1)[:, n - k] if k < n else np.full(len(active), -np.inf)
+            left = (upper >= least[:, None]) & ~out
+            done = (left.sum(1) <= k + LEFT) | (depth == n)
+            for i in np.flatnonzero(done):
+                rows = np.flatnonzero(left[i])
+                score = self.vectors[rows] @ queries[active[i]]
+                best = np.lexsort((self.ids[rows], -score))[:k]
+                yield int(active[i]), self.ids[rows][best], score[best]
+            active = active[~done]
 
 
 def scaled(embedding: Column, scale: int = SCALE) -> Column:
@@ -97,10 +112,12 @@ def top_k(
         out = [[], [], [], []]
         if left.num_rows and right.num_rows:
             lists = Lists(left.column("id").to_numpy(), matrix(left))
-            for qid, row, q in zip(right.column("id").to_pylist(), right.column("row").to_pylist(), matrix(right), strict=True):
-                ids, score = lists.top(q, qid, k)
-                for column, values in zip(out, ([qid] * len(ids), [row] * len(ids), ids.tolist(), score.astype(np.int64).tolist()), strict=True):
-                    column += values
+            own, row = right.column("id").to_numpy(), right.column("row").to_numpy()
+            asked = matrix(right)
+            for at in range(0, len(own), BATCH):
+                for i, ids, score in lists.top(asked[at : at + BATCH], own[at : at + BATCH], k):
+                    for column, values in zip(out, ([own[at + i]] * len(ids), [row[at + i]] * len(ids), ids.tolist(), score.astype(np.int64).tolist()), strict=True):
+                        column += values
         return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "row", "vec_id", "score"])
 
     keys = ("dim", "block", "part")
