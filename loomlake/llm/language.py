@@ -12,7 +12,6 @@ their products give the messages at the chunks' ends, and all chunks are then fi
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +23,18 @@ from pyspark.sql import functions as F
 from .common import crc_mod, whole
 
 #: Documents for each language that the field is fitted on, and segments of each. They bound the sample.
-TRAIN_DOCS, SEGMENTS, SEGMENT_WORDS = 1200, 4, 30
+TRAIN_DOCS, SEGMENTS, SEGMENT_WORDS = 500, 4, 30
 #: Languages, the most frequent first, that can be learned.
 LANGUAGES = 64
 BUCKETS = 1 << 16
+PAD = BUCKETS
+#: Letters of a word that its features come from.
+LONGEST = 20
 #: Lexicon: words that the sample has so often and, in this share, in one language.
 LEXICON_COUNT, LEXICON_SHARE = 4, 0.95
 CHUNK, BATCH_WORDS = 64, 200_000
 #: Words of which a worker remembers the scores.
-MEMORY = 300_000
+MEMORY = 800_000
 UNKNOWN = "und"
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 
@@ -43,28 +45,48 @@ def words_of(text: str) -> list[str]:
     return regex.findall(_WORD, text.lower())
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes of up to three letters, n-grams of two and three, the word itself, and its lexicon's entry."""
-    w = f"^{word[:40]}$"
-    names = [w, *(w[:n] for n in (2, 3, 4)), *(w[-n:] for n in (2, 3, 4)), *(w[i : i + 2] for i in range(1, len(w) - 2)), *(w[i : i + 3] for i in range(1, len(w) - 3))]
-    out = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
-    if (entry := lexicon.get(word)) is not None:
-        out.append(BUCKETS + entry)
-    return out
+def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
+    """Hashed features of each word, (words, features): itself, affixes of up to three letters, n-grams of two and three,
+    and its lexicon's entry. What a word lacks is PAD, a feature without weight. Words count up to LONGEST letters.
+    """
+    text = np.array([f"^{w[:LONGEST]}$" for w in words], dtype=f"<U{LONGEST + 2}")
+    code = text.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
+    length = (code > 0).sum(1)
+    row = np.arange(len(words))
+
+    def hashed(parts: list[np.ndarray], salt: int) -> np.ndarray:
+        h = np.full_like(parts[0], salt)
+        for p in parts:
+            h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+    columns = [hashed([code[:, i] for i in range(code.shape[1])], 1)]
+    for n in (2, 3, 4):
+        have = length >= n
+        columns.append(np.where(have, hashed([code[:, i] for i in range(n)], 10 + n), PAD))
+        columns.append(np.where(have, hashed([code[row, np.maximum(length - n + i, 0)] for i in range(n)], 20 + n), PAD))
+    for n in (2, 3):
+        place = np.arange(1, code.shape[1] - n)
+        grams = hashed([code[:, 1 + i : code.shape[1] - n + i] for i in range(n)], 30 + n)
+        columns += list(np.where(place[None, :] + n < length[:, None], grams, PAD).T)
+    columns.append(np.array([BUCKETS + 1 + e if (e := lexicon.get(w)) is not None else PAD for w in words]))
+    return np.stack(columns, 1)
 
 
 @dataclass
 class Field:
     langs: list[str]
     lexicon: dict[str, int]
-    weight: np.ndarray  # (BUCKETS + languages, languages)
+    weight: np.ndarray  # (BUCKETS + 1 + languages, languages)
     transition: np.ndarray
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Unary scores of the words, (words, languages)."""
-        rows = [features(w, self.lexicon) for w in words]
-        at = np.cumsum([0, *(len(r) for r in rows[:-1])])
-        return np.add.reduceat(self.weight[np.concatenate([np.array(r, np.int64) for r in rows])], at, axis=0)
+        out = np.empty((len(words), self.weight.shape[1]), np.float32)
+        for at in range(0, len(words), 20_000):
+            out[at : at + 20_000] = self.weight[features(words[at : at + 20_000], self.lexicon)].sum(1)
+        return out
 
 
 def _messages(unary: np.ndarray, mask: np.ndarray, step: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +137,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray,
     return both / both.sum(1, keepdims=True)
 
 
-def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 60, rate: float = 0.2, l2: float = 1e-6, seed: int = 3) -> Field:
+def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 40, rate: float = 0.2, l2: float = 1e-6, seed: int = 3) -> Field:
     """segments: (language, words). Adam on the mean log-likelihood of sequences of four segments, half of them switching."""
     k = len(langs)
     counts: dict[str, np.ndarray] = {}
@@ -125,10 +147,8 @@ def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 6
     lexicon = {w: int(c.argmax()) for w, c in counts.items() if c.sum() >= LEXICON_COUNT and c.max() >= LEXICON_SHARE * c.sum()}
     names = sorted(counts)
     number = {w: i for i, w in enumerate(names)}
-    rows = [features(w, lexicon) for w in names]
-    flat = np.concatenate([np.array(r) for r in rows])
-    at = np.cumsum([0, *(len(r) for r in rows[:-1])])
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = features(names, lexicon)
+    used = flat[:, (flat != PAD).any(0)]
     rng = np.random.default_rng(seed)
     order = [segments[i] for i in rng.permutation(len(segments))]
     half = len(order) // 2
@@ -142,7 +162,7 @@ def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 6
     total = mask.sum()
     target = np.zeros((*words.shape, k))
     target[np.arange(len(words))[:, None], np.arange(length)[None, :], gold] = 1
-    params = [np.zeros((BUCKETS + k, k)), np.eye(k)]
+    params = [np.zeros((BUCKETS + 1 + k, k)), np.eye(k)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     pairs = np.zeros((k, k))
     both = mask[:, 1:] & mask[:, :-1]
@@ -150,7 +170,7 @@ def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 6
     uniform = np.full((len(words), k), 1 / k)
     for t in range(1, rounds + 1):
         weight, transition = params
-        unary = np.add.reduceat(weight[flat], at, axis=0)[words]
+        unary = sum(weight[column] for column in used.T)[words]
         unary = np.exp(unary - unary.max(2, keepdims=True)) + 1e-12
         step = np.exp(transition - transition.max())
         forward, backward = _messages(unary, mask, step, uniform, uniform)
@@ -158,7 +178,8 @@ def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 6
         post /= post.sum(2, keepdims=True)
         error = ((post - target) * mask[:, :, None]).reshape(-1, k)
         by_word = np.stack([np.bincount(words.ravel(), weights=error[:, c], minlength=len(names)) for c in range(k)], 1)
-        grad = np.stack([np.bincount(flat, weights=by_word[of, c], minlength=BUCKETS + k) for c in range(k)], 1)
+        grad = sum(np.stack([np.bincount(column, weights=by_word[:, c], minlength=len(weight)) for c in range(k)], 1) for column in used.T)
+        grad[PAD] = 0
         joint = forward[:, :-1, :, None] * step * (unary[:, 1:] * backward[:, 1:])[:, :, None, :]
         joint /= joint.sum((2, 3), keepdims=True)
         expected = joint[both].sum(0)
@@ -205,19 +226,27 @@ def predict_with(field: Field | None, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, int] = {}
-        table = np.zeros((1024, len(field.langs) if field else 1), np.float32)
+        class Memory(dict):
+            """Place of each word's scores in the table; new ones are noted."""
+
+            new: list[str] = []
+
+            def __missing__(self, word: str) -> int:
+                self.new.append(word)
+                self[word] = n = len(self)
+                return n
+
+        memory, table = Memory(), np.zeros((1024, len(field.langs) if field else 1), np.float32)
 
-        def numbers(words: list[str]) -> np.ndarray:
+        def scores_of(words: list[str]) -> np.ndarray:
             nonlocal table
-            new = [w for w in set(words) if w not in memory]
-            if new:
-                while len(memory) + len(new) > len(table):
+            ids = np.fromiter(map(memory.__getitem__, words), dtype=np.int64, count=len(words))
+            if memory.new:
+                while len(memory) > len(table):
                     table = np.concatenate([table, np.zeros_like(table)])
-                table[len(memory) : len(memory) + len(new)] = field.scores(new)
-                for w in new:
-                    memory[w] = len(memory)
-            return np.fromiter(map(memory.__getitem__, words), dtype=np.int64, count=len(words))
+                table[len(memory) - len(memory.new) : len(memory)] = field.scores(memory.new)
+                memory.new.clear()
+            return table[ids].astype(np.float64)
 
         def some(texts: list[str]) -> list[tuple[str, float]]:
             split = [words_of(t) for t in texts]
@@ -227,16 +256,12 @@ def predict_with(field: Field | None, text: Column) -> Column:
                 if len(memory) > MEMORY:
                     memory.clear()
                 lengths = np.array([len(split[i]) for i in full])
-                post = posteriors(table_of([w for i in full for w in split[i]]), lengths, field.transition)
+                post = posteriors(scores_of([w for i in full for w in split[i]]), lengths, field.transition)
                 mean = np.add.reduceat(post, np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0) / lengths[:, None]
                 for i, m in zip(full, mean, strict=True):
                     out[i] = (field.langs[int(m.argmax())], float(min(1.0, m.max())))
             return out
 
-        def table_of(words: list[str]) -> np.ndarray:
-            ids = numbers(words)
-            return table[ids].astype(np.float64)
-
         for texts in batches:
             found, held, size = [], [], 0
             for t in texts:
