@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,10 +82,51 @@ def kendall_tau(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     return sums.select((F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 
-def silhouette(points: DataFrame, label: str, vector: str, key: str) -> DataFrame:
-    """Mean Euclidean silhouette; single members count 0. Pairs of points, for tables of features."""
-    a, b = (points.select(F.col(key).alias(f"k{i}"), F.col(label).alias(f"l{i}"), F.col(vector).alias(f"v{i}")) for i in (1, 2))
-    gap = F.sqrt(F.aggregate(F.zip_with("v1", "v2", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    means = a.join(b, F.col("k1") != F.col("k2")).groupBy("k1", "l1", "l2").agg(F.avg(gap).alias("d"))
-    each = means.groupBy("k1").agg(F.max(F.when(F.col("l1") == F.col("l2"), F.col("d"))).alias("own"), F.min(F.when(F.col("l1") != F.col("l2"), F.col("d"))).alias("other"))
-    return each.agg(F.avg(F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))).alias("silhouette"))
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean, by one matrix product; near pairs, where the product cancels, again by differences."""
+    sizes = (a * a).sum(1)[:, None] + (b * b).sum(1)[None]
+    square = np.maximum(sizes - 2 * a @ b.T, 0.0)
+    i, j = np.nonzero(square <= 1e-6 * sizes)
+    for at in range(0, len(i), 65_536):
+        p, q = i[at : at + 65_536], j[at : at + 65_536]
+        square[p, q] = ((a[p] - b[q]) ** 2).sum(1)
+    return np.sqrt(square)
+
+
+def silhouette(points: DataFrame, label: str, vector: str, key: str, block_rows: int = 2048) -> DataFrame:
+    """Mean Euclidean silhouette over all points with a label and a vector; single members count 0.
+
+    Every point meets every other, so time grows with the square of the points. They are packed into blocks of about
+    ``block_rows``, blocks meet blocks, and a meeting gives for each point the sums of its distances to each label.
+    """
+    usable = points.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-usable.count() // block_rows))
+    sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names, counts = list(sizes), np.array([float(n) for n in sizes.values()])
+    number = F.create_map(*[c for i, name in enumerate(names) for c in (F.lit(name), F.lit(i))]) if names else F.lit(None).cast("map<string,int>")
+    packed = usable.select(F.pmod("h", F.lit(blocks)).cast("int").alias("b"), "h", number[F.col("l")].alias("l"), "v").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("h", "l", "v"))).alias("p"))
+    packed = packed.select("b", F.col("p.l").alias("l"), F.flatten("p.v").alias("v")).coalesce(min(blocks, 64))
+    a, b = (packed.select(*[F.col(c).alias(f"{c}{i}") for c in "blv"]) for i in (1, 2))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                l1, l2 = np.asarray(r.l1), np.asarray(r.l2)
+                v1, v2 = np.asarray(r.v1).reshape(len(l1), -1), np.asarray(r.v2).reshape(len(l2), -1)
+                sums = _distances(v1, v2) @ np.eye(len(names))[l2]
+                yield pd.DataFrame({"b": [r.b1], "l": [l1], "s": [sums.ravel()]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.asarray(pdf["l"].iloc[0])
+        sums = np.sum(np.stack(pdf["s"].to_numpy()), 0).reshape(len(own), -1)
+        at = np.arange(len(own))
+        others = np.where(np.arange(len(names)) == own[:, None], np.inf, sums / counts)
+        near, mine = others.min(1), sums[at, own] / np.maximum(counts[own] - 1, 1)
+        top = np.maximum(near, mine)
+        value = np.where((counts[own] > 1) & (top > 0), (near - mine) / np.where(top > 0, top, 1), 0.0)
+        return pd.DataFrame({"s": [value.sum()], "n": [len(own)]})
+
+    if len(names) < 2:
+        return usable.sparkSession.createDataFrame([(None,)], "silhouette double")
+    met = a.crossJoin(b).mapInPandas(meet, "b int, l array<int>, s array<double>")  # blocks, not points
+    return met.groupBy("b").applyInPandas(finish, "s double, n long").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
