@@ -20,6 +20,10 @@ def silhouette_of(v, label):
     return np.mean(out)
 
 
+def tau_of(x, y):
+    a, b = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    return (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())
+
 
 def test_silhouette_of_all_embeddings(spark):
     e = duckdb.sql(f"SELECT label, embedding FROM '{DATA}/sf0.001/embeddings.parquet'").df()
@@ -35,3 +39,17 @@ def test_silhouette_in_blocks(spark):
     df = spark.createDataFrame([(i, int(c), x.tolist()) for i, (c, x) in enumerate(zip(label, v, strict=True))] + [(99, 0, None)], "k long, l long, v array<double>")
     for rows in (7, 2048):
         assert metrics.silhouette(df, "l", "v", "k", rows).first()[0] == pytest.approx(silhouette_of(v, label), abs=1e-9)
+
+
+def test_kendall_of_all_suppliers(spark):
+    s = duckdb.sql(f"SELECT s_acctbal, s_nationkey FROM '{DATA}/sf0.1/supplier.parquet'").df().to_numpy().astype(float)
+    assert catalog.queries()["A31_kendall_tau"](spark, f"{DATA}/sf0.1").first()[0] == pytest.approx(tau_of(*s.T), abs=1e-6)
+
+
+@pytest.mark.parametrize("rows", [40, 50_000])
+def test_kendall_in_blocks(spark, rows):
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 90, 400).astype(float), rng.normal(0, 1, 400).round(1)
+    x[:80] = 7
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0)], "x double, y double")
+    assert metrics.kendall_tau(df, "x", "y", rows).first()[0] == pytest.approx(tau_of(x, y), abs=1e-12)
