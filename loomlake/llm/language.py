@@ -12,6 +12,7 @@ their products give the messages at the chunks' ends, and all chunks are then fi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,9 @@ from .common import crc_mod, whole
 
 #: Documents for each language that the field is fitted on, and segments of each. They bound the sample.
 TRAIN_DOCS, SEGMENTS, SEGMENT_WORDS = 500, 4, 30
-#: Languages, the most frequent first, that can be learned.
-LANGUAGES = 64
 BUCKETS = 1 << 16
 PAD = BUCKETS
-#: Letters of a word that its features come from.
+#: Letters of a word whose n-grams lie in the dense table of features; those of further letters are listed.
 LONGEST = 20
 #: Lexicon: words that the sample has so often and, in this share, in one language.
 LEXICON_COUNT, LEXICON_SHARE = 4, 0.95
@@ -45,35 +44,57 @@ def words_of(text: str) -> list[str]:
     return regex.findall(_WORD, text.lower())
 
 
+def _hashed(parts: list[np.ndarray], salt: int) -> np.ndarray:
+    h = np.full_like(parts[0], salt)
+    for p in parts:
+        h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    return np.array(texts, dtype=f"<U{width}").view(np.uint32).reshape(len(texts), -1).astype(np.uint64)
+
+
 def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
-    """Hashed features of each word, (words, features): itself, affixes of up to three letters, n-grams of two and three,
-    and its lexicon's entry. What a word lacks is PAD, a feature without weight. Words count up to LONGEST letters.
+    """Hashed features of each word, (words, features): itself, affixes of up to three letters, n-grams of two and three
+    of its first LONGEST letters, and its lexicon's entry. What a word lacks is PAD, a feature without weight.
     """
-    text = np.array([f"^{w[:LONGEST]}$" for w in words], dtype=f"<U{LONGEST + 2}")
-    code = text.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
-    length = (code > 0).sum(1)
+    code, tail = _codes([f"^{w[: LONGEST + 1]}$" if len(w) <= LONGEST else f"^{w[: LONGEST + 1]}" for w in words], LONGEST + 2), _codes([f"^{w}$" if len(w) < 3 else f"{w[-3:]}$" for w in words], 4)
+    length = np.array([len(w) + 2 for w in words])
     row = np.arange(len(words))
-
-    def hashed(parts: list[np.ndarray], salt: int) -> np.ndarray:
-        h = np.full_like(parts[0], salt)
-        for p in parts:
-            h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return (h % np.uint64(BUCKETS)).astype(np.int64)
-
-    columns = [hashed([code[:, i] for i in range(code.shape[1])], 1)]
+    itself = _hashed([code[:, i] for i in range(code.shape[1])], 1)
+    for i in np.flatnonzero(length > LONGEST + 2):
+        itself[i] = zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % BUCKETS
+    columns = [itself]
     for n in (2, 3, 4):
         have = length >= n
-        columns.append(np.where(have, hashed([code[:, i] for i in range(n)], 10 + n), PAD))
-        columns.append(np.where(have, hashed([code[row, np.maximum(length - n + i, 0)] for i in range(n)], 20 + n), PAD))
+        columns.append(np.where(have, _hashed([code[:, i] for i in range(n)], 10 + n), PAD))
+        columns.append(np.where(have, _hashed([tail[row, np.maximum(np.minimum(length, 4) - n + i, 0)] for i in range(n)], 20 + n), PAD))
     for n in (2, 3):
         place = np.arange(1, code.shape[1] - n)
-        grams = hashed([code[:, 1 + i : code.shape[1] - n + i] for i in range(n)], 30 + n)
+        grams = _hashed([code[:, 1 + i : code.shape[1] - n + i] for i in range(n)], 30 + n)
         columns += list(np.where(place[None, :] + n < length[:, None], grams, PAD).T)
     columns.append(np.array([BUCKETS + 1 + e if (e := lexicon.get(w)) is not None else PAD for w in words]))
     return np.stack(columns, 1)
 
 
+def further(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that reach beyond the first LONGEST letters: places of words and features, one for each n-gram."""
+    long = [i for i, w in enumerate(words) if len(w) > LONGEST]
+    if not long:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.array([len(words[i]) for i in long])
+    code = _codes(list("".join(words[i] for i in long)), 1)[:, 0]
+    inside = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    word, left = np.repeat(np.array(long), sizes), np.repeat(sizes, sizes) - inside
+    found = []
+    for n in (2, 3):
+        at = np.flatnonzero((left >= n) & (inside + n > LONGEST))
+        found.append((word[at], _hashed([code[at + i] for i in range(n)], 30 + n)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 @dataclass
 class Field:
     langs: list[str]
@@ -85,7 +106,12 @@ class Field:
         """Unary scores of the words, (words, languages)."""
         out = np.empty((len(words), self.weight.shape[1]), np.float32)
         for at in range(0, len(words), 20_000):
-            out[at : at + 20_000] = self.weight[features(words[at : at + 20_000], self.lexicon)].sum(1)
+            part = words[at : at + 20_000]
+            out[at : at + 20_000] = self.weight[features(part, self.lexicon)].sum(1)
+            word, feature = further(part)
+            if len(word):
+                for c in range(out.shape[1]):
+                    out[at : at + 20_000, c] += np.bincount(word, weights=self.weight[feature, c], minlength=len(part))
         return out
 
 
@@ -149,6 +175,7 @@ def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 4
     number = {w: i for i, w in enumerate(names)}
     flat = features(names, lexicon)
     used = flat[:, (flat != PAD).any(0)]
+    more_word, more_feature = further(names)
     rng = np.random.default_rng(seed)
     order = [segments[i] for i in rng.permutation(len(segments))]
     half = len(order) // 2
@@ -170,7 +197,10 @@ def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 4
     uniform = np.full((len(words), k), 1 / k)
     for t in range(1, rounds + 1):
         weight, transition = params
-        unary = sum(weight[column] for column in used.T)[words]
+        unary = sum(weight[column] for column in used.T)
+        if len(more_word):
+            unary = unary + np.stack([np.bincount(more_word, weights=weight[more_feature, c], minlength=len(names)) for c in range(k)], 1)
+        unary = unary[words]
         unary = np.exp(unary - unary.max(2, keepdims=True)) + 1e-12
         step = np.exp(transition - transition.max())
         forward, backward = _messages(unary, mask, step, uniform, uniform)
@@ -179,6 +209,8 @@ def fit(segments: list[tuple[int, list[str]]], langs: list[str], rounds: int = 4
         error = ((post - target) * mask[:, :, None]).reshape(-1, k)
         by_word = np.stack([np.bincount(words.ravel(), weights=error[:, c], minlength=len(names)) for c in range(k)], 1)
         grad = sum(np.stack([np.bincount(column, weights=by_word[:, c], minlength=len(weight)) for c in range(k)], 1) for column in used.T)
+        if len(more_word):
+            grad = grad + np.stack([np.bincount(more_feature, weights=by_word[more_word, c], minlength=len(weight)) for c in range(k)], 1)
         grad[PAD] = 0
         joint = forward[:, :-1, :, None] * step * (unary[:, 1:] * backward[:, 1:])[:, :, None, :]
         joint /= joint.sum((2, 3), keepdims=True)
@@ -199,7 +231,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     usable = docs.where(text.isNotNull() & lang.isNotNull() & (crc_mod(F.col(f"`{id_col}`"), 4) != 2))
     usable = usable.select(lang.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(1_000_003)).alias("draw"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return None
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["count"]) * 1_000_003))])
