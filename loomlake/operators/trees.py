@@ -173,16 +173,45 @@ def grow(df: DataFrame, subsets: list[tuple[str, ...]], y: str, splits: int = 10
     return model
 
 
-def grow_sum(df: DataFrame, subsets: list[tuple[str, ...]], y: str, splits: int = 10, trees: int = 3, **options) -> list[Model]:
-    """A sum of trees: each new tree fits the residuals of those before with its share of the splits."""
-    models: list[Model] = []
-    residual = F.col(y).cast("double")
-    for k in range(trees):
-        m = grow(df.withColumn("__residual", residual), subsets, "__residual", max(1, splits // trees), **options)
-        if k and len(m.nodes) == 1:
+def grow_sum(df: DataFrame, subsets: list[tuple[str, ...]], y: str, splits: int = 10, least: int = 5, levels: tuple[float, ...] = DECILES) -> list[Model]:
+    """A sum of trees grown jointly: each round scores every leaf of all trees and the root of a new one on
+    the current residuals and takes the greatest gain, of equals the first leaf; a new root comes last.
+
+    The two new leaves get the means of the residuals in place of their parent's value, as in the surveyed system, and
+    at the end the leaves of each tree in turn are set to the means of what the other trees leave. Residuals of all rows
+    change, so a round is one aggregation over rows times trees; subsets of features get ridge weights for each leaf.
+    """
+    t = F.col(y).cast("double")
+    n, total = df.agg(F.count(F.lit(1)), F.sum(t)).first()
+    models = [Model({0: Node(0, 0, 0, float(total) / n if n else 0.0, n)})]
+    names = {"+".join(s): s for s in subsets}
+    width = 2 * splits + 1
+    for _ in range(splits):
+        open_ = [k * width + i for k, m in enumerate(models) for i, x in m.nodes.items() if not x.features and x.n >= 2 * least]
+        open_ += [len(models) * width] if n >= 2 * least else []
+        if not open_:
+            break
+        places = F.array(*[m.leaf_of() + F.lit(k * width) for k, m in enumerate(models)], F.lit(len(models) * width))
+        part = df.withColumn("__residual", t - predict_sum(models)).withColumn("__leaf", F.explode(places)).where(F.col("__leaf").isin(open_))
+        weights = {(s, i): ridge_direction(part.where(F.col("__leaf") == i), s, "__residual") if len(s) > 1 else (1.0,) for s in subsets for i in open_}
+        candidates = {k: F.coalesce(*[F.when(F.col("__leaf") == i, projection(s, weights[s, i])) for i in open_]) if len(s) > 1 else projection(s, (1.0,)) for k, s in names.items()}
+        scored = best_splits(split_gains(part, candidates, "__residual", F.col("__leaf"), levels, least)).collect()
+        best = max(scored, key=lambda r: (round(r["gain"], 9), -r["leaf"]), default=None)
+        if best is None or best["gain"] <= 1e-10:
             break
-        models.append(m)
-        residual = residual - m.predict()
+        k, leaf = divmod(best["leaf"], width)
+        if k == len(models):
+            models.append(Model({0: Node(k, 0, 0, 0.0, n)}))
+        nodes, s = models[k].nodes, names[best["candidate"]]
+        at, i, nl = nodes[leaf], len(nodes), best["n_left"]
+        nodes[leaf] = replace(at, features=s, weights=weights[s, best["leaf"]], threshold=best["threshold"], left=i, right=i + 1)
+        nodes[i] = Node(k, i, at.depth + 1, best["sl"] / nl, nl)
+        nodes[i + 1] = Node(k, i + 1, at.depth + 1, (best["s"] - best["sl"]) / (best["n"] - nl), best["n"] - nl)
+    for m in models:
+        others = [o for o in models if o is not m]
+        left = t - predict_sum(others) if others else t
+        found = dict(df.groupBy(m.leaf_of().alias("leaf")).agg(F.avg(left)).collect())
+        m.nodes.update({i: replace(x, value=float(found.get(i) or 0.0)) for i, x in m.nodes.items() if not x.features})
     return models
 
 

@@ -170,7 +170,7 @@ def m11(spark, d):
 @query("M8_tree_sum")
 def m8(spark, d):
     df = _binary(spark, d)
-    models = T.grow_sum(df, T.candidates_for(FEATURES, "axis"), "y", 4, 2)
+    models = T.grow_sum(df, T.candidates_for(FEATURES, "axis"), "y", 4)
     return rounded(r_squared(df.withColumn("p", T.predict_sum(models)).withColumn("all", F.lit(1)), "y", "p", ["all"]), "r2")
 
 
