@@ -72,7 +72,7 @@ def a33(spark, d):
 
 @query("A9_knn_clipped_bits")
 def a9(spark, d):
-    return rounded(I.knn_co_information(matrix(spark, d), FEATURES[:3], "label", most_rows=400, clip=True, base=2.0), "coi")
+    return rounded(I.knn_co_information(matrix(spark, d), FEATURES, "label", clip=True, base=2.0), "coi")
 
 
 @query("G10_stability_k")

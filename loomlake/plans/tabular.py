@@ -221,7 +221,7 @@ def a14(spark, d):
 
 @query("A8_knn_co_information")
 def a8(spark, d):
-    return rounded(I.knn_co_information(matrix(spark, d), FEATURES, "label", most_rows=600), "coi")
+    return rounded(I.knn_co_information(matrix(spark, d), FEATURES, "label"), "coi")
 
 
 @query("A16_balanced_accuracy", "SELECT l_linestatus, round(avg(r), 6) AS balanced_accuracy FROM (SELECT l_linestatus, l_returnflag, avg(CASE WHEN l_returnflag = CASE WHEN l_quantity > 25 THEN 'N' ELSE 'R' END THEN 1.0 ELSE 0.0 END) AS r FROM lineitem GROUP BY ALL) GROUP BY ALL")

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomlake.operators import metrics
+from loomlake.operators import information, metrics
 from loomlake.plans import catalog
 
 DATA = "/root/testdata"
@@ -53,3 +53,15 @@ def test_kendall_in_blocks(spark, rows):
     x[:80] = 7
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0)], "x double, y double")
     assert metrics.kendall_tau(df, "x", "y", rows).first()[0] == pytest.approx(tau_of(x, y), abs=1e-12)
+
+
+def test_knn_co_information_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    y = np.array([0] * 3000 + [1] * 3000 + [2] * 3 + [3])
+    x = rng.normal(0, 1, (len(y), 3)) + np.stack([y == 1, y * 0, y * 0], 1)
+    x[:, 2] += x[:, 0]
+    df = spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, y, strict=True)], "a double, b double, c double, y int")
+    z = (x - x[y < 3].mean(0)) / x[y < 3].std(0)
+    mi = {(i, j): information.knn_information(z[:, sorted({i, j})], y) for i in range(3) for j in range(i, 3)}
+    for r in information.knn_co_information(df, ["a", "b", "c"], "y", leaf_rows=300).collect():
+        assert r.coi == pytest.approx(mi[r.i, r.i] + mi[r.j, r.j] - mi[r.i, r.j], abs=1e-6)
