@@ -1,18 +1,22 @@
 """Similarity join of documents by the Jaccard coefficient of their word shingles, exact, by signature trees.
 
-1. Each document becomes a set of 64-bit shingle hashes, a 128-bit digest of the set (its *node*: documents with equal
-   sets are one node), and a bitmap. Shingles have one global order: common ones, by a count sketch over all documents,
-   come last. Two sets that link share ``k`` shingles at least among the first ``n - ceil(0.8 n) + k`` of each, their
-   *prefix*; k is a twentieth of n, so that a shared passage in long texts is no candidate.
-2. Hubs: of the nodes that share one of their smallest hashes, the one whose smallest hashes are shared most is the hub
-   (the original among its copies), and each other is paired with it and verified. That joins large groups of copies
-   with few pairs for each member.
-3. Shingles whose prefix lists still hold two components become groups. Groups above a size are split into blocks and
-   each pair of blocks is a group of its own. In each, a signature tree (OR- and AND-combined bitmaps, size ranges,
-   component if it is one) is traversed against itself: a pair of tree nodes whose greatest possible overlap is too small,
-   or that lies in one component, is left. Pairs whose prefixes share one of their smallest hashes are given out by the group
-   of the least they share, others by each group; those that meet in k groups or more are verified on the whole sets.
-4. Components by alternating large and small stars on the links.
+1. Each document becomes a set of 64-bit shingle hashes and a 128-bit digest of the set (its *node*: documents with equal
+   sets are one node). Shingles have one global order: common ones, by a count sketch over all documents, come last. Two
+   sets that link share ``k`` shingles at least among the first ``n - ceil(0.8 n) + k`` of each, their *prefix*; k is a
+   twentieth of n, so that a shared passage in long texts is no candidate.
+2. A prefix shingle that one node alone has tells nothing, and a node with fewer than k others can't link. Both go, and
+   with them most documents: all that follows reads the *members*, one row for each node that is left, with its shared
+   shingles, its whole set, and a bitmap whose width follows the set's size.
+3. Hubs: for each shared shingle the node with most shared shingles is the hub (the original among its copies), and
+   every other is paired with the hubs it shares k shingles with: six at most. They are verified, best hub first. That
+   joins large groups of copies with few pairs for each member.
+4. Nodes of different components meet in the groups of their *heads*, their few smallest shared shingles. Groups above a
+   size are split into blocks and each pair of blocks is a group of its own. In each, a signature tree (OR- and
+   AND-combined bitmaps, size ranges, component if it is one) is traversed against itself: a pair of tree nodes whose
+   greatest possible overlap is too small, or that lies in one component, is left. What stays is held against the wide
+   bitmaps and given out once, by the least head that both have. Pairs without a common head meet in the groups of all
+   their shared shingles, in k of them at least. What is given out is verified on the whole sets.
+5. Components by alternating large and small stars on the links.
 
 No step gathers a list for a key in one row or task without a bound, and nothing but the bounded list of common sketch
 buckets comes to the driver.
@@ -31,22 +35,23 @@ from .common import drop_stored, small_or_merge, stored, whole
 WORDS = 5
 #: Link if NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
-BITS = 1024
+#: Bits of a tree's bitmaps, and the least and greatest width of a member's own, which has WIDE for each shingle or more.
+BITS, WIDE, WIDEST = 1024, 16, 1 << 16
 SKETCH_BITS = 24
 #: Common buckets that order shingles. The list only orders; a shorter one costs time, not links.
 COMMON = 65_536
-#: Smallest hashes of a set by which hubs are found, and how many a pair must share to be tried.
-HUB_HASHES, HUB_SHARED = 8, 2
 #: Members of a group that one task compares; longer lists are split into blocks of half of it.
 GROUP = 4096
 FANOUT = 8
-#: Smallest hashes of a prefix that travel with a member: a pair counts at once in the group of the least that both share.
+#: Smallest shared shingles of a node. Pairs with a common one meet in its group, others in the groups of all.
 HEAD = 8
 NONE = np.iinfo(np.int64).max
 #: Members of a group that are compared without a tree.
 FEW = 12
-#: Node pairs that are expanded at once.
-FRONTIER = 20_000
+#: Node pairs that are expanded at once, and bytes of bitmaps that are compared at once.
+FRONTIER, COMPARED = 20_000, 1 << 24
+#: Shared shingles that may be broadcast: 50 bytes each.
+SHARED_ROWS = 2_000_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -150,7 +155,7 @@ def common_buckets(texts: DataFrame, words: int = WORDS, most: int = COMMON) ->
 
 
 def signatures(texts: DataFrame, common: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, same (digest of the text), n, node, low (smallest hashes), prefix (in the global order), bits."""
+    """doc_id, same (digest of the text), n, node (digest of the set), prefix (in the global order)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -159,33 +164,53 @@ def signatures(texts: DataFrame, common: np.ndarray, words: int = WORDS) -> Data
         shingles, late = Shingler(words), np.zeros(1 << SKETCH_BITS, bool)
         late[common] = True
         for batch in batches:
-            n, node, low, prefix, bits = [], [], [], [], []
-            for text in batch.column(2):
-                s = shingles(text.as_py())
-                n.append(len(s))
-                node.append(xxhash.xxh3_128_digest(s.tobytes()))
-                low.append(s[:HUB_HASHES].view(np.int64))
-                is_late = late[s >> np.uint64(64 - SKETCH_BITS)]
-                prefix.append(np.concatenate([s[~is_late], s[is_late]])[: prefix_length(len(s))].view(np.int64))
-                flags = np.zeros(BITS, bool)
-                flags[s & np.uint64(BITS - 1)] = True
-                bits.append(np.packbits(flags).tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (low, prefix)), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "node", "low", "prefix", "bits"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                n, node, prefix = [], [], []
+                for text in part.column(2):
+                    s = shingles(text.as_py())
+                    n.append(len(s))
+                    node.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    is_late = late[s >> np.uint64(64 - SKETCH_BITS)]
+                    prefix.append(np.concatenate([s[~is_late], s[is_late]])[: prefix_length(len(s))].view(np.int64))
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "node", "prefix"])
 
     rows = texts.select("doc_id", F.unhex(F.md5("text")).alias("same"), "text")
-    return rows.mapInArrow(run, "doc_id long, same binary, n long, node binary, low array<long>, prefix array<long>, bits binary")
+    return rows.mapInArrow(run, "doc_id long, same binary, n long, node binary, prefix array<long>")
+
+
+def shared_in(rows: DataFrame, mark: str, limit: int = SHARED_ROWS) -> DataFrame:
+    """Those of rows (token, ...) whose token comes with two values of ``mark`` at least."""
+    ends = rows.groupBy("token").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+    bridges = stored(ends.where("lo <> hi").select("token"), "bridges")
+    return rows.join(small_or_merge(bridges, limit=limit), "token")
+
 
+def _least(n: Column) -> Column:
+    """shared_least() of the smallest set that one of n may link to."""
+    return F.floor(F.ceil(n * NUM / DEN) / 20) + 1
 
-def verified(pairs: DataFrame, sig: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets; stored.
 
-    Only the texts that stand for a node of some pair are read into sets: a node's smallest text digest picks them.
+def wide_bits(shingles: np.ndarray) -> bytes:
+    width = min(WIDEST, max(BITS, 1 << int(WIDE * len(shingles) - 1).bit_length()))
+    flags = np.zeros(width, bool)
+    flags[shingles & np.uint64(width - 1)] = True
+    return np.packbits(flags).tobytes()
+
+
+def members_of(sig: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row for each node that may link: node, n, tokens (shared prefix shingles, ascending), head, shingles, bits; stored.
+
+    Only the texts that stand for such a node are read into sets: a node's smallest text digest picks them.
     """
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = stored(sig.join(small_or_merge(nodes), "node").groupBy("node").agg(F.min("same").alias("same")), "need")
+    rows = sig.where("n > 0").select("node", "n", F.xxhash64("node").alias("mark"), F.explode("prefix").alias("token"))
+    shared = shared_in(rows, "mark").groupBy("node", "n").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    kept = stored(shared.where(F.size("tokens") >= _least(F.col("n"))).withColumn("head", F.slice("tokens", 1, HEAD)), "kept")
+    few = kept.count()
+    need = sig.where("n > 0").join(small_or_merge(kept.select("node"), few), "node", "left_semi").groupBy("node").agg(F.min("same").alias("same"))
     keyed = texts.select(F.unhex(F.md5("text")).alias("same"), "text")
-    picked = keyed.join(small_or_merge(need), "same").groupBy("node").agg(F.first("text").alias("text"))
+    picked = keyed.join(small_or_merge(stored(need, "need"), few), "same").groupBy("node").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -194,31 +219,36 @@ def verified(pairs: DataFrame, sig: DataFrame, texts: DataFrame, words: int = WO
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    sets = stored(picked.mapInArrow(run, "node binary, shingles array<long>"), "sets")
-    n_pairs = pairs.count()
-    left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")).join(small_or_merge(pairs, n_pairs), "b")
-    anchors = pairs.select("a").distinct()
-    right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(small_or_merge(anchors, n_pairs), "a", "left_semi")
+                sets = [shingles(t.as_py()) for t in part.column(1)]
+                columns = [part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([wide_bits(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "bits"])
+
+    sets = picked.mapInArrow(run, "node binary, shingles array<long>, bits binary")
+    return stored(kept.hint("merge").join(sets, "node").select("node", "n", "tokens", "head", "shingles", "bits"), "members")
+
+
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link, by their whole sets; stored."""
+    pairs = stored(pairs, "pairs")
+    n = pairs.count()
+    left = members.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")).join(small_or_merge(pairs, n), "b")
+    right = members.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(small_or_merge(pairs.select("a").distinct(), n), "a", "left_semi")
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - both
-    links = stored(left.join(right.hint("merge"), "a").where(both * DEN >= either * NUM).select("a", "b"), "links")
-    drop_stored(need)
-    drop_stored(sets)
-    return links
+    return stored(left.join(right.hint("merge"), "a").where(both * DEN >= either * NUM).select("a", "b"), "links")
 
 
-def hub_pairs(sig: DataFrame) -> DataFrame:
-    """Pairs (hub, node) of nodes that share some of their smallest hashes: at most HUB_HASHES / HUB_SHARED a node."""
-    low = sig.select("node", F.explode("low").alias("token")).distinct()
-    counts = low.groupBy("token").count().where("count > 1")
-    met = stored(low.join(counts.hint("merge"), "token"), "met")
-    score = met.groupBy("node").agg(F.sum("count").alias("score"))
-    hubs = met.join(score.hint("merge"), "node").groupBy("token").agg(F.max(F.struct("score", "node")).alias("top"))
-    both = met.join(hubs.select("token", F.col("top.node").alias("a")).hint("merge"), "token").where("node <> a")
-    return both.groupBy("a", F.col("node").alias("b")).count().where(F.col("count") >= HUB_SHARED).select("a", "b")
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a: hub, b: node, first: whether a is b's best hub) that share k shingles: six at most for each node."""
+    rows = members.select("node", "n", F.size("tokens").alias("score"), F.explode("tokens").alias("token"))
+    top = rows.groupBy("token").agg(F.max(F.struct("score", "node", "n")).alias("top"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    hubs = stored(top.select("token", F.col("top.node").alias("a"), F.col("top.n").alias("n_a")), "hubs")
+    met = rows.join(small_or_merge(hubs), "token").where("node <> a")
+    met = met.where((F.col("n") * DEN >= F.col("n_a") * NUM) & (F.col("n_a") * DEN >= F.col("n") * NUM))
+    both = met.groupBy("a", "n_a", F.col("node").alias("b"), "n").agg(F.count(F.lit(1)).alias("both"))
+    both = stored(both.where(F.col("both") > F.floor(F.least("n", "n_a") / 20)).select("a", "b", "both"), "hub_pairs")
+    best = both.groupBy("b").agg(F.max(F.struct("both", "a")).alias("best"))
+    return both.join(small_or_merge(best), "b").select("a", "b", (F.col("a") == F.col("best.a")).alias("first"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,43 +340,89 @@ def tree_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray) -> tuple[np.n
     return order[i], order[j]
 
 
-def group_pairs(group: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Bitmaps:
+    """Bitmaps of rows, each as wide as its set asks for. Halves are combined by OR where a narrower one is needed."""
+
+    def __init__(self, bits: list[bytes], n: np.ndarray) -> None:
+        self.n, self.width = n, np.array([len(b) for b in bits], np.int64)
+        self.place = {int(w): np.full(len(n), -1) for w in np.unique(self.width)}
+        self.rows: dict[int, np.ndarray] = {}
+        wider = np.empty((0, 0), np.uint8), np.empty(0, np.int64)
+        for w in sorted(self.place, reverse=True):
+            at = np.flatnonzero(self.width == w)
+            own = np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(-1, w)
+            rows, ids = wider
+            while rows.shape[1] > w:
+                rows = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
+            rows, ids = (np.concatenate([rows, own]), np.concatenate([ids, at])) if len(ids) else (own, at)
+            self.rows[w] = np.ascontiguousarray(rows).view(np.uint64)
+            self.place[w][ids] = np.arange(len(ids))
+            wider = rows, ids
+
+    def narrow(self) -> np.ndarray:
+        """Of all rows, as wide as a tree's."""
+        w = min(self.rows)
+        rows = self.rows[w][self.place[w]]
+        while rows.shape[1] > BITS // 64:
+            rows = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
+        return np.ascontiguousarray(rows)
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the rows i and j, one to one, can link by the narrower width of each two."""
+        ok, width = np.zeros(len(i), bool), np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width):
+            of, step = np.flatnonzero(width == w), max(1, COMPARED // int(w))
+            rows, place = self.rows[int(w)], self.place[int(w)]
+            for at in range(0, len(of), step):
+                k = of[at : at + step]
+                a, b = rows[place[i[k]]], rows[place[j[k]]]
+                most = np.minimum(self.n[i[k]] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), self.n[j[k]] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+                ok[k] = most * (DEN + NUM) >= (self.n[i[k]] + self.n[j[k]]) * NUM
+        return ok
+
+
+def group_pairs(group: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members that may link, of rows sorted by group. Groups of a few rows need no tree."""
     _, label = np.unique(label, return_inverse=True)
     first = np.flatnonzero(np.diff(group, prepend=-1))
     size = np.diff(first, append=len(group))
     few = np.repeat(size <= FEW, size)
-    left, right = [], []
     for step in range(1, min(FEW, size.max())):
         i = np.flatnonzero(few[:-step] & (group[:-step] == group[step:]))
         for at in range(0, len(i), FRONTIER):
             part = i[at : at + FRONTIER]
-            keep = may_link(bits, bits, n, n, label, part, part + step)
-            left.append(part[keep])
-            right.append(part[keep] + step)
+            part = part[may_link(bits, bits, n, n, label, part, part + step)]
+            yield part, part + step
     for f, m in zip(first[size > FEW], size[size > FEW], strict=True):
         i, j = tree_pairs(n[f : f + m], bits[f : f + m], label[f : f + m])
-        left.append(i + f)
-        right.append(j + f)
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        yield i + f, j + f
 
 
-def bridged(sig: DataFrame, label: Column) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share enough shingles of both prefixes and may link."""
-    rows = sig.select("node", "n", "bits", F.slice(F.array_sort("prefix"), 1, HEAD).alias("head"), label.alias("label"), F.explode("prefix").alias("token"))
-    mark = F.xxhash64("label")
-    ends = sig.select(F.explode("prefix").alias("token"), F.xxhash64(label).alias("mark")).groupBy("token").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
-    bridges = stored(ends.where("lo <> hi").select("token"), "bridges")
-    met = rows.join(small_or_merge(bridges, limit=2_000_000), "token")
-    members = met.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(mark).alias("mark"), F.first("head").alias("head"))
-    members = stored(members, "members")
+def _heads(column) -> np.ndarray:
+    """A row of HEAD numbers for each list, NONE where it is shorter."""
+    lists = column.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    sizes, values = np.diff(ends), lists.flatten().to_numpy()
+    out = np.full((len(sizes), HEAD), NONE)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(ends[:-1] - ends[0], sizes)] = values
+    return out
+
+
+def met_pairs(members: DataFrame, label: Column, by_head: bool) -> DataFrame:
+    """Pairs (a, b) of members in different components that may link: those with a common head, or those without.
+
+    With one, a pair comes once, from the group of the least head that both have. Without, it comes from each group of a
+    shared shingle and stays if k groups give it.
+    """
+    bits = F.col("bits") if by_head else F.lit(b"")
+    marked = members.select("node", "n", bits.alias("bits"), F.xxhash64(label).alias("mark"), "head", F.col("head" if by_head else "tokens").alias("tokens"))
+    rows = shared_in(marked.select("node", "n", "bits", "mark", "head", F.explode("tokens").alias("token")), "mark")
     half = GROUP // 2
-    sizes = members.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.ceil(F.col("count") / half).cast("int").alias("blocks"))
-    members = members.join(small_or_merge(sizes), "token", "left")
+    sizes = stored(rows.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.ceil(F.col("count") / half).cast("int").alias("blocks")), "sizes")
+    rows = rows.join(small_or_merge(sizes), "token", "left")
     own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    split = members.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    split = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
     split = split.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bits", "mark", "head")
 
     def run(batches: Iterator) -> Iterator:
@@ -354,28 +430,26 @@ def bridged(sig: DataFrame, label: Column) -> DataFrame:
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")])
-            group = np.cumsum(np.any(np.diff(key, axis=1, prepend=key[:, :1]) != 0, axis=0))
+            order = np.cumsum(np.any(np.diff(key, axis=1, prepend=key[:, :1]) != 0, axis=0))
             n, mark, own = (t.column(c).to_numpy() for c in ("n", "mark", "own"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-            i, j = group_pairs(group, n, bits, mark)
-            across = (key[1][i] == key[2][i]) | (own[i] != own[j])  # a pair of two blocks: only what lies between them
-            i, j = i[across], j[across]
-            node = np.array(t.column("node").to_pylist(), dtype=object)
-            heads = np.full((len(n), HEAD), NONE)
-            lists = t.column("head").combine_chunks()
-            at = np.arange(len(lists.flatten())) - np.repeat(lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0], np.diff(lists.offsets.to_numpy()))
-            heads[np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy())), at] = lists.flatten().to_numpy()
-            for at in range(0, len(i), FRONTIER):
-                x, y = i[at : at + FRONTIER], j[at : at + FRONTIER]
-                first = np.where(heads[x][:, :, None] == heads[y][:, None, :], heads[x][:, :, None], NONE).min((1, 2))
-                mine = (first == NONE) | (first == key[0][x])  # else another group gives the pair
-                x, y, first = x[mine], y[mine], first[mine]
-                least = shared_least(np.minimum(n[x], n[y]))
-                weight = np.where(first == NONE, 1, least)
-                a, b = node[x], node[y]
-                swap = a > b
-                columns = [pa.array(np.where(swap, b, a).tolist(), pa.binary()), pa.array(np.where(swap, a, b).tolist(), pa.binary()), pa.array(least, pa.int64()), pa.array(weight, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "least", "weight"])
+            maps = Bitmaps(t.column("bits").to_pylist(), n) if by_head else None
+            narrow = maps.narrow() if maps else np.zeros((len(n), 1), np.uint64)
+            node, heads = np.array(t.column("node").to_pylist(), dtype=object), _heads(t.column("head"))
+            for i, j in group_pairs(order, n, narrow, mark):
+                across = (key[1][i] == key[2][i]) | (own[i] != own[j])  # a pair of two blocks: only what lies between them
+                i, j = i[across], j[across]
+                for at in range(0, len(i), FRONTIER):
+                    x, y = i[at : at + FRONTIER], j[at : at + FRONTIER]
+                    least = np.where(heads[x][:, :, None] == heads[y][:, None, :], heads[x][:, :, None], NONE).min((1, 2))
+                    mine = least == (key[0][x] if by_head else NONE)  # else another group gives the pair
+                    x, y = x[mine], y[mine]
+                    if maps:
+                        may = maps.may_link(x, y)
+                        x, y = x[may], y[may]
+                    a, b = node[x], node[y]
+                    swap = a > b
+                    columns = [pa.array(np.where(swap, b, a).tolist(), pa.binary()), pa.array(np.where(swap, a, b).tolist(), pa.binary()), pa.array(np.minimum(n[x], n[y]), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
         rest = None
         for batch in batches:
@@ -390,9 +464,31 @@ def bridged(sig: DataFrame, label: Column) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from done(rest)
 
-    parts = split.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    met = parts.mapInArrow(run, "a binary, b binary, least long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.first("least").alias("least"))
-    return met.where("weight >= least").select("a", "b")
+    found = split.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a binary, b binary, n long")
+    if by_head:
+        return found.select("a", "b")
+    return found.groupBy("a", "b", "n").count().where(F.col("count") > F.floor(F.col("n") / 20)).select("a", "b")
+
+
+def node_components(members: DataFrame) -> DataFrame:
+    """(node, root) of all members that link with another."""
+    hubs = stored(hub_pairs(members), "hub_pairs")
+    links = verified(hubs.where("first").select("a", "b"), members)
+    roots = stored(components(links), "roots")
+
+    def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
+        found = roots.select(F.col("node").alias(key), F.col("root").alias(name))
+        return df.join(small_or_merge(found), key, "left").withColumn(name, F.coalesce(name, key))
+
+    others = labelled(labelled(hubs.where("not first"), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
+    more = verified(others, members)
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = stored(components(links), "roots")
+    now = stored(labelled(members.drop("shingles"), "node", "label"), "labelled")
+    met = met_pairs(now, F.col("label"), True).union(met_pairs(now, F.col("label"), False))
+    rest = verified(met, members)
+    return roots if rest.isEmpty() else stored(components(links.union(rest)), "roots")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -401,17 +497,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of anything but the six blanks of ASCII, A-Z in lower case; a set holds the distinct shingles of
     ``words`` words, or the whole sequence if it is shorter. Null and blank texts have an empty set and link with
     nothing: their component is their own id. component_id is the smallest id that links reach; null ids don't count in
-    it. Repeated rows and equal texts lie in one component. An empty table gives an empty result.
+    it. Repeated rows and equal texts lie in one component. Other columns are ignored. An empty table gives an empty
+    result.
     """
     texts = _texts(docs, id_col, text_col)
     sig = stored(signatures(texts, common_buckets(texts, words), words), "signatures")
-    full = sig.where("n > 0")
-    near = verified(stored(hub_pairs(full), "pairs"), full, texts, words)
-    roots = stored(components(near), "roots")
-    labelled = full.join(small_or_merge(roots), "node", "left")
-    rest = verified(stored(bridged(labelled, F.coalesce("root", "node")), "pairs"), full, texts, words)
-    if not rest.isEmpty():
-        roots = stored(components(near.union(rest)), "roots")
+    roots = node_components(members_of(sig, texts, words))
     placed = sig.select("doc_id", "n", "node").join(small_or_merge(roots), "node", "left")
     placed = placed.select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

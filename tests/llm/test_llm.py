@@ -131,9 +131,9 @@ def brute_components(rows):
 
 
 def test_jaccard_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FEW", 3)
+    hub_pairs = jaccard.hub_pairs
     monkeypatch.setattr(jaccard, "GROUP", 8)
-    monkeypatch.setattr(jaccard, "HUB_SHARED", 99)  # no hubs: the trees and blocks do the whole work
+    monkeypatch.setattr(jaccard, "hub_pairs", lambda members: hub_pairs(members).limit(0))  # the trees and blocks do the whole work
     rows = sample(150, 2) + EDGES
     found = jaccard.jaccard_join(docs_of(spark, rows)).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
@@ -165,6 +165,28 @@ def test_shingler_segments_and_tree():
     assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == set(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
 
 
+def test_wide_bitmaps_lose_no_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (3, 60, 70, 400, 480, 3000, 9000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (1.0, 0.95, 0.9, 0.8, 0.6):
+            kept = base[: max(1, int(size * share))]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, max(1, size - len(kept)), dtype=np.uint64)])))
+    n, bits = np.array([len(s) for s in sets]), [jaccard.wide_bits(s) for s in sets]
+    maps = jaccard.Bitmaps(bits, n)
+    i, j = np.triu_indices(len(sets), 1)
+    near = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80
+    i, j = i[near], j[near]
+    both = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    links = both * 100 >= 80 * (n[i] + n[j] - both)
+    may = maps.may_link(i, j)
+    assert links.any() and not (links & ~may).any() and may.sum() < len(i) / 2
+    narrow = maps.narrow()
+    assert narrow.shape == (len(sets), jaccard.BITS // 64)
+    assert not (links & ~jaccard.may_link(narrow, narrow, n, n, np.arange(len(n)), i, j)).any()
+
+
 # packing
 
 
