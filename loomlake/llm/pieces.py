@@ -2,15 +2,17 @@
 
 A segmentation is a path over the places of the normalised text; a piece is a step with a score. A chunk's transfer matrix
 has, for each state at its start and each at its end, the greatest sum of scores of the steps between: matrices multiply
-in the max-plus semiring, which is associative, so chunks are computed side by side, matrices are combined, and each chunk
-is traced back by itself from its two resolved states.
+in the max-plus semiring, which is associative, so chunks are computed side by side, matrices of neighbours are combined
+level by level into one for the document, states are resolved down the same levels, and each chunk is traced back by
+itself from its two resolved states. No task sees more than FAN matrices of a document at once.
 
 * Unigram models: a step's score is the piece's, a state is where the piece that crosses the boundary ends.
 * BPE models: merges are greedy, but a segmentation is the one that BPE gives if and only if BPE leaves each two
   neighbouring pieces as they are when it meets them alone. So a step scores 0 after a piece with which it is stable and
   minus infinity otherwise, and a state is the piece that crosses or meets the boundary.
 
-Documents up to ``giant`` characters are one chunk and go to the library whole. Results equal the library's own.
+Documents up to ``giant`` characters are one chunk and go to the library whole; the switch is one of time alone, as the
+results of both ways equal the library's own. (Of unigram paths with equal scores, the library's may be another.)
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from .common import stored, whole
 
 #: Characters beyond which a document is split, and of each chunk.
 GIANT, CHUNK = 80_000, 8_000
+#: Neighbouring matrices that are combined at once, and chunks that one task takes.
+FAN, TASK_CHUNKS = 16, 16
+#: Ids, or characters, that are decoded or encoded at once.
+AT_ONCE = 200_000
 NEVER = float("-inf")
 #: A step over a character that no piece has, as the library scores it: below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -172,20 +178,89 @@ def product(a: tuple, b: tuple) -> tuple:
     return a[0], b[1], (left[:, :, None] + right[None, :, :]).max(1).tolist()
 
 
-def resolve(matrices: list[tuple]) -> list[State]:
-    """The states at the boundaries 0..n of the best path: products of all prefixes, then one step back for each."""
-    reach = [matrices[0]]
-    for m in matrices[1:]:
-        reach.append(product(reach[-1], m))
-    end = reach[-1]
-    stop = max(s[2] for s in end[1])
-    last = max((i for i, s in enumerate(end[1]) if s[2] == stop), key=lambda i: end[2][0][i])
-    states = [tuple(end[1][last])]
-    for before, m in zip(reach[-2::-1], matrices[:0:-1], strict=True):
-        column = next(i for i, s in enumerate(m[1]) if tuple(s) == states[-1])
-        score = {tuple(s): m[2][i][column] for i, s in enumerate(m[0])}
-        states.append(max((tuple(s) for s in before[1]), key=lambda s: before[2][0][before[1].index(s)] + score.get(s, NEVER)))
-    return [START, *states[::-1]]
+def combined(matrices: list[tuple]) -> tuple:
+    """The product of matrices that follow one another, as a tree of products of neighbours."""
+    while len(matrices) > 1:
+        matrices = [product(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def best_end(whole_text: tuple) -> State:
+    """The state at the end of the best path through a whole document."""
+    _, after, score = whole_text
+    stop = max(s[2] for s in after)
+    return tuple(after[max((i for i, s in enumerate(after) if s[2] == stop), key=lambda i: score[0][i])])
+
+
+def resolve(matrices: list[tuple], into: State, out: State) -> list[State]:
+    """The states at the boundaries 0..n of the best path from one state to another through n matrices."""
+    before = {tuple(s): i for i, s in enumerate(matrices[0][0])}
+    reach = [{tuple(s): matrices[0][2][before[into]][i] for i, s in enumerate(matrices[0][1])}]
+    for a, b, m in matrices[1:]:
+        known = [(reach[-1][tuple(s)], row) for s, row in zip(a, m, strict=True) if tuple(s) in reach[-1]]
+        reach.append({tuple(s): max((x + row[i] for x, row in known), default=NEVER) for i, s in enumerate(b)})
+    states = [out]
+    for came, (a, b, m) in zip(reach[-2::-1], matrices[:0:-1], strict=True):
+        column = next(i for i, s in enumerate(b) if tuple(s) == states[-1])
+        score = {tuple(s): m[i][column] for i, s in enumerate(a)}
+        states.append(max(came, key=lambda s: came[s] + score.get(s, NEVER)))
+    return [into, *states[::-1]]
+
+
+def _packed(matrix: tuple) -> str:
+    import json
+
+    return json.dumps(matrix)
+
+
+def _unpacked(text: str) -> tuple:
+    import json
+
+    before, after, score = json.loads(text)
+    return [tuple(s) for s in before], [tuple(s) for s in after], score
+
+
+def boundary_states(moves: DataFrame, last: int, fan: int = FAN) -> DataFrame:
+    """key, n, into, out: the states in which the best path enters and leaves each chunk.
+
+    moves: key, n (0 to ``last`` at most), matrix. Matrices go up a tree of ``fan`` children each, then states come down.
+    """
+    import json
+
+    levels = [moves]
+    while last > 0:
+        last //= fan
+
+        def up(table):
+            import pyarrow as pa
+
+            rows = sorted(table.to_pylist(), key=lambda r: r["n"])
+            found = _packed(combined([_unpacked(r["matrix"]) for r in rows]))
+            return pa.table([pa.array([rows[0]["key"]], pa.int64()), pa.array([rows[0]["n"] // fan], pa.int64()), pa.array([found])], ["key", "n", "matrix"])
+
+        level = levels[-1].groupBy("key", F.floor(F.col("n") / fan).alias("above")).applyInArrow(up, "key long, n long, matrix string")
+        levels.append(stored(level, "matrices"))
+
+    @F.pandas_udf("string")
+    def ends(matrices: pd.Series) -> pd.Series:
+        return matrices.map(lambda m: json.dumps(best_end(_unpacked(m))))
+
+    states = levels[-1].select("key", "n", F.lit(json.dumps(START)).alias("into"), ends("matrix").alias("out"))
+
+    def down(table):
+        import pyarrow as pa
+
+        rows = sorted(table.to_pylist(), key=lambda r: r["n"])
+        into, out = (tuple(json.loads(rows[0][k])) for k in ("into", "out"))
+        at = [json.dumps(s) for s in resolve([_unpacked(r["matrix"]) for r in rows], into, out)]
+        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in ("key", "n")]
+        return pa.table([*columns, pa.array(at[:-1]), pa.array(at[1:])], ["key", "n", "into", "out"])
+
+    for level in levels[-2::-1]:
+        above = states.withColumnRenamed("n", "above")
+        met = level.withColumn("above", F.floor(F.col("n") / fan)).join(above.hint("merge"), ["key", "above"])
+        states = stored(met.groupBy("key", "above").applyInArrow(down, "key long, n long, into string, out string"), "states")
+    return states
 
 
 def _load(path: str):
@@ -194,11 +269,26 @@ def _load(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _parts(column, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Slices (start, rows) of an Arrow list or string column with about ``most`` entries or bytes each."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.list_value_length(column) if str(column.type).startswith(("list", "large_list")) else pc.binary_length(column), 0)
+    total = np.cumsum(size.to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield at, end - at
+        at = end
+
+
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """One row for each row of docs: doc_id, ids (array<int>), as the model's own encoding without special ids.
 
     model: a model file that is there on each executor. Null text counts as empty and gives no ids; ``chunk`` must be
-    longer than the longest piece. Only giant documents are shuffled: their matrices, then their chunks' ids.
+    longer than the longest piece. Texts of up to ``giant`` characters go to the library whole, longer ones are scanned in
+    parallel; ids are the same either way. Only giant documents are shuffled: their matrices, then their chunks' ids.
+    Repeated rows give a row each, other columns are ignored, an empty table gives an empty result.
     """
     text = whole(F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
@@ -208,8 +298,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
         sp = _load(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at, n in _parts(batch.column(1)):
+                part = batch.slice(at, n)
                 ids = [np.array(x, np.int32) for x in sp.encode(part.column(1).to_pylist(), num_threads=1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -223,42 +313,31 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for key, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 s = sp.normalize(text)
-                for n, begin in enumerate(range(0, len(s), chunk)):
+                for n, begin in enumerate(range(0, len(s), chunk) if s else [0]):
                     low = max(0, begin - scanner.longest)
                     piece = s[low : begin + chunk + scanner.longest]
                     columns = [[key], [doc], [n], [low], [begin - low], [min(chunk, len(s) - begin) + begin - low], [piece]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "n", "low", "begin", "finish", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.string()], strict=True)], ["key", "doc_id", "n", "low", "begin", "finish", "text"])
 
     chunks = "key long, doc_id long, n long, low long, begin long, finish long, text string"
     large = rows.where(F.length("text") > giant).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    parts = stored(large.mapInArrow(split, chunks).repartition("key", "n"), "chunks")
+    parts = stored(large.mapInArrow(split, chunks), "chunks")
+    n_chunks, last = parts.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not n_chunks:
+        return small
+    tasks = -(-n_chunks // TASK_CHUNKS)
+    parts = parts.repartition(tasks, "key", "n")  # with a number, so that it is kept as it is
 
     def matrices(batches: Iterator) -> Iterator:
-        import json
-
         import pyarrow as pa
 
         scanner = Scanner(_load(model), model_type(model) == BPE)
         for batch in batches:
             rows = batch.to_pylist()
-            found = [json.dumps(scanner.matrix(r["text"], r["begin"], r["finish"], r["n"] == 0, r["low"])) for r in rows]
+            found = [_packed(scanner.matrix(r["text"], r["begin"], r["finish"], r["n"] == 0, r["low"])) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.string())], ["key", "n", "matrix"])
 
-    moves = parts.mapInArrow(matrices, "key long, n long, matrix string")
-
-    def resolved(table):
-        import json
-
-        import pyarrow as pa
-
-        rows = sorted(table.to_pylist(), key=lambda r: r["n"])
-        found = [json.loads(r["matrix"]) for r in rows]
-        states = resolve([([tuple(s) for s in a], [tuple(s) for s in b], m) for a, b, m in found])
-        columns = [pa.array([r["key"] for r in rows], pa.int64()), pa.array([r["n"] for r in rows], pa.int64())]
-        ends = [pa.array([json.dumps(s) for s in x], pa.string()) for x in (states[:-1], states[1:])]
-        return pa.table([*columns, *ends], ["key", "n", "into", "out"])
-
-    ends = moves.groupBy("key").applyInArrow(resolved, "key long, n long, into string, out string")
+    ends = boundary_states(stored(parts.mapInArrow(matrices, "key long, n long, matrix string"), "matrices"), last)
 
     def traced(batches: Iterator) -> Iterator:
         import json
@@ -271,30 +350,33 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             ids = [scanner.trace(r["text"], r["begin"], r["finish"], r["low"], tuple(json.loads(r["into"])), tuple(json.loads(r["out"]))) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["key", "doc_id", "n", "ids"])
 
-    each = parts.join(ends.hint("merge"), ["key", "n"]).select("key", "doc_id", "n", "low", "begin", "finish", "text", "into", "out")
-    ids = each.mapInArrow(traced, "key long, doc_id long, n long, ids array<int>")
+    each = parts.join(ends.repartition(tasks, "key", "n").hint("merge"), ["key", "n"]).select("key", "doc_id", "n", "low", "begin", "finish", "text", "into", "out")
+    ids = stored(each.mapInArrow(traced, "key long, doc_id long, n long, ids array<int>"), "traced")
     joined = ids.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("all"))
     return small.unionByName(joined.select("doc_id", F.flatten(F.col("all.ids")).alias("ids")))
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded with text: what the model decodes ids to. Null ids give the empty text; other columns stay."""
+    """doc_id, ids, text (what the model decodes ids to), ids_crc32 (of little-endian 32-bit ids) for each row of encoded.
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sp = _load(model)
-        for ids in batches:
-            yield pd.Series(sp.decode([[] if x is None else [int(i) for i in x] for x in ids], num_threads=1))
+    Null ids count as none and give the empty text; other columns are left out. An empty table gives an empty result.
+    """
 
-    return encoded.withColumn("text", decode("ids"))
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        sp = _load(model)
+        for batch in batches:
+            for at, n in _parts(batch.column(1)):
+                part = batch.slice(at, n)
+                ids = [[] if x is None else x for x in part.column(1).to_pylist()]
+                text = sp.decode(ids, num_threads=1)
+                crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string()), pa.array(crc, pa.int64())], ["doc_id", "ids", "text", "ids_crc32"])
 
-def pieces_digest(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of little-endian 32-bit ids), text_sha256 (of the decoded text); encoded has ids and text."""
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string, ids_crc32 long")
 
-    @F.pandas_udf("long")
-    def crc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
 
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+def pieces_digest(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, text_sha256 (of the decoded text) for each row of decode_documents()."""
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("text", 256).alias("text_sha256"))

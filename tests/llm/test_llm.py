@@ -353,6 +353,8 @@ def test_chunked_encoding_equals_the_library(spark, tmp_path, kind):
     rng = random.Random(9)
     parts = ["the ", "ing", " ", "é", "x1", "\n", "aaaa", "tion", "==", "日本", "  "]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 200])))) for i in range(12)] + EDGES
+    rows += [(800, "".join(rng.choice(parts) for _ in range(6000))), (801, " " * 400)]  # many chunks: three levels of matrices
+    rows += [(802, "a" * 50), (803, "a" * 51)] if kind == "bpe" else []  # with unigrams, paths of equal scores
     found = pieces.encode_documents(docs_of(spark, rows), model, giant=50, chunk=40)
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in found.collect()) == collections.Counter((i, tuple(sp.encode(t or ""))) for i, t in rows)
@@ -361,6 +363,36 @@ def test_chunked_encoding_equals_the_library(spark, tmp_path, kind):
         assert collections.Counter(r.text_sha256 for r in back) == collections.Counter(hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows)
 
 
+def test_chunks_of_real_texts_and_no_texts(spark):
+    import sentencepiece
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = pieces.encode_documents(docs, model, giant=1500, chunk=700)
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    want = {r.doc_id: sp.encode(r.text or "") for r in docs.collect()}
+    assert {r.doc_id: list(r.ids) for r in found.collect()} == want
+    assert sum(len(x) > 700 for x in want.values()) > 5
+    assert pieces.pieces_digest(pieces.decode_documents(pieces.encode_documents(docs_of(spark, []), model), model)).count() == 0
+
+
+def test_matrices_combine_in_any_order():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    source = "the quick brown fox, then another one jumps over it " * 4
+    scanner, text = pieces.Scanner(sp, True), sp.normalize(source)
+    cuts = [*range(0, len(text), 20), len(text)]
+    parts = [scanner.matrix(text, a, b, a == 0, 0) for a, b in zip(cuts, cuts[1:], strict=False)]
+    left = parts[0]
+    for m in parts[1:]:
+        left = pieces.product(left, m)
+    assert pieces.combined(parts) == left
+    states = pieces.resolve(parts, pieces.START, pieces.best_end(left))
+    ids = [k for (a, b), s, e in zip(zip(cuts, cuts[1:], strict=False), states, states[1:], strict=False) for k in scanner.trace(text, a, b, 0, s, e)]
+    assert ids == sp.encode(source)
+
+
 PAGE = """<html><head><title>no</title><style>.x{display:none}</style><body><h1>Hi &amp; there</h1><p>one<br>two<p>three <b>bold</b><div hidden>no</div><div class="a x">no</div>
 <ul><li>a<li>b<ol start=3><li>c<li>d</ol><li>e</ul><table><tr><th>Name<th>Qty<tr><td>apple<td>3</table><pre>
  x  y
