@@ -2,13 +2,19 @@
 
 A tokenizer and a tree builder with implied end tags turn a page into a stream of elements that open and close; visibility
 rules hide subtrees; a renderer keeps block spacing, list marks and indents, preformatted text, and table cells aligned in
-columns. Everything works on an explicit stack, so nesting may be as deep as a page likes.
+columns. Everything works on an explicit stack, and the places of each open tag are kept beside it, so nesting may be as
+deep as a page likes and time is in proportion to the page.
+
+Text is never cut. Three bounds hold layout alone: a table whose padding would take more than PADDING characters is not
+aligned, tables nested deeper than NESTED are blocks, and indents end at INDENT columns.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,10 +27,13 @@ from .common import whole
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist rp meta link base source track param area map svg math".split())
+PREFORMATTED = frozenset("pre listing xmp".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes audio video canvas datalist rp meta link base source track param area map annotation annotation-xml".split())
+#: Elements of a drawing that show text.
+DRAWN = frozenset("text foreignobject".split())
 HEAD_ONLY = frozenset("base link meta title script style template noscript".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
-BLOCKS = PARAGRAPHS | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li listing main menu nav optgroup option search section summary tr caption thead tbody tfoot".split())
+BLOCKS = PARAGRAPHS | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li listing main menu nav optgroup option search section summary tr caption thead tbody tfoot xmp".split())
 CLOSES_P = BLOCKS - frozenset("body html option optgroup tr caption thead tbody tfoot legend".split())
 #: An element that opens ends open ones of these kinds, up to the nearest fence.
 ENDS = {
@@ -47,15 +56,16 @@ ENDS = {
 P_FENCE = frozenset("table td th button caption html object template body".split())
 CELL_FENCE = frozenset("table td th caption".split())
 
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+BRACE = re.compile(r"[{}]")
+SELECTOR = re.compile(r"[.#]?[\w-]+")
+INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
 NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 BULLET = "- "
-#: Columns are padded up to this width; a longer cell runs over.
-COLUMN = 40
-MOST_SPAN = 1000
+PADDING, NESTED, INDENT = 20_000_000, 50, 1000
+MOST_SPAN, MOST_ROWS = 1000, 65_534
 
 
 class Flow:
@@ -65,7 +75,16 @@ class Flow:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap, self.blank = 0, False
-        self.indent: list[str] = []
+        self.indent: list[int] = []
+        self.pad = self.mark = ""
+
+    def deeper(self, by: int) -> None:
+        by = min(by, INDENT - len(self.pad))
+        self.indent.append(by)
+        self.pad += " " * by
+
+    def shallower(self) -> None:
+        self.pad = self.pad[: len(self.pad) - self.indent.pop()]
         self.mark = ""
 
     def _start(self) -> None:
@@ -73,9 +92,9 @@ class Flow:
             if self.lines and self.gap > 1:
                 self.lines.append("")
             self.gap = 0
-            pad = "".join(self.indent)
+            pad = self.pad
             if self.mark:
-                pad = pad[: len(pad) - len(self.mark)] + self.mark
+                pad = pad[: max(0, len(pad) - len(self.mark))] + self.mark
                 self.mark = ""
             self.line.append(pad)
             self.blank = True
@@ -124,40 +143,56 @@ class Flow:
 
 
 class Grid:
-    """A table that is being read."""
+    """A table that is being read: the cells of a row by the column they start in."""
 
     def __init__(self) -> None:
         self.rows: list[dict[int, list[str]]] = []
-        self.taken: dict[int, int] = {}  # rows that a column is still spanned for
+        self.spans: list[list[int]] = []  # first column, column after the last, rows that it still covers
+        self.here: list[list[int]] = []  # those that reach into this row, the rightmost first
+        self.at = 0
 
     def row(self) -> None:
         self.rows.append({})
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
+        self.spans = [[a, b, n - 1] for a, b, n in self.spans if n > 1]
+        self.here = sorted(self.spans, reverse=True)
+        self.at = 0
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.row()
-        at = 0
-        while at in self.rows[-1] or at in self.taken:
-            at += 1
-        for c in range(at, at + across):
-            self.rows[-1][c] = lines if c == at else []
-            if down > 1:
-                self.taken[c] = down
+        while self.here and self.here[-1][0] <= self.at:
+            self.at = max(self.at, self.here.pop()[1])
+        self.rows[-1][self.at] = lines
+        if down > 1:
+            self.spans.append([self.at, self.at + across, down])
+        self.at += across
 
     def lines(self) -> Iterator[str]:
         width: dict[int, int] = {}
         for row in self.rows:
             for c, lines in row.items():
-                width[c] = max(width.get(c, 0), min(COLUMN, max(map(len, lines), default=0)))
-        for row in self.rows:
-            for i in range(max(map(len, row.values()), default=0)):
-                cells = [(row[c][i] if c in row and i < len(row[c]) else "").ljust(width[c]) for c in range(max(row) + 1) if c in width]
-                yield "  ".join(cells).rstrip()
+                width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
+        columns, reach = sorted(width), [0]
+        for c in columns:
+            reach.append(reach[-1] + width[c] + 2)
+        high = [max(map(len, row.values()), default=0) for row in self.rows]
+        used = [columns[: bisect_right(columns, max(row, default=-1))] for row in self.rows]
+        if sum(h * reach[len(u)] for h, u in zip(high, used, strict=True)) > PADDING:
+            width = dict.fromkeys(width, 0)
+        for row, h, some in zip(self.rows, high, used, strict=True):
+            for i in range(h):
+                yield "  ".join((row[c][i] if c in row and i < len(row[c]) else "").ljust(width[c]) for c in some).rstrip()
+
 
+def _integer(value: str | None, default: int) -> int:
+    """The integer that a value starts with, by ASCII digits; the default without one, or with ten digits and more."""
+    found = INTEGER.match(value or "")
+    return int(found[1]) if found else default
 
-def _number(value: str | None, most: int) -> int:
-    return min(most, max(1, int(value))) if value and value.isdigit() and len(value) < 9 else 1
+
+def _span(value: str | None, most: int, zero: int = 1) -> int:
+    n = _integer(value, 1)
+    return zero if n == 0 else min(most, n) if n > 0 else 1
 
 
 class Page:
@@ -165,8 +200,9 @@ class Page:
 
     def __init__(self) -> None:
         self.stack: list[tuple] = []  # tag, what it undoes
-        self.flows, self.grids, self.lists = [Flow()], [], []
-        self.hidden = self.pre = 0
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each open tag in the stack
+        self.flows, self.grids, self.lists = [Flow()], [], []  # a table that is a block has None for a grid
+        self.hidden = self.pre = self.drawing = self.drawn = 0
         self.fresh = False  # just after <pre>, where a newline is none
         self.hide: set[str] = set()
 
@@ -181,7 +217,7 @@ class Page:
             self.close_until("p", P_FENCE)
         if tag in ENDS:
             self.end_open(*ENDS[tag])
-        if tag in ("td", "th") and self.grids and not any(t == "tr" for t in self._since("table")):
+        if tag in ("td", "th") and self.grids and self.last("tr") <= self.last("table"):
             self.push("tr", {})
         attributes = {}
         if rest.strip(" /\n\t"):
@@ -192,33 +228,30 @@ class Page:
         else:
             self.push(tag, attributes)
 
-    def _since(self, fence: str) -> Iterator[str]:
-        for t, _ in reversed(self.stack):
-            if t == fence:
-                return
-            yield t
+    def last(self, tag: str) -> int:
+        """The place of the innermost open tag of this kind, or -1."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
 
     def end_open(self, kinds: set[str], fence: set[str]) -> None:
-        depth = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t in kinds:
-                depth = i
-            elif t in fence:
-                break
-        while depth is not None and len(self.stack) > depth:
+        """Closes the outermost of these kinds that is open within the innermost fence, and all that it holds."""
+        least = max(map(self.last, fence), default=-1)
+        depth = len(self.stack)
+        for kind in kinds:
+            places = self.places.get(kind)
+            if places and places[-1] > least:
+                depth = min(depth, places[bisect_right(places, least)])
+        while len(self.stack) > depth:
             self.pop()
 
     def close_until(self, tag: str, fence: frozenset[str]) -> bool:
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return True
-            if t in fence:
-                return False
-        return False
+        """Closes the innermost tag of this kind, and all that it holds, unless a fence lies within it."""
+        at = self.last(tag)
+        if at < 0 or any(self.last(t) > at for t in fence):
+            return False
+        while len(self.stack) > at:
+            self.pop()
+        return True
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -248,41 +281,52 @@ class Page:
             if tag in BLOCKS and tag not in ("tr", "thead", "tbody", "tfoot"):
                 flow.block(2 if tag in PARAGRAPHS and not (tag in ("ul", "ol") and self.lists) else 1)
                 undo.append("block")
-            if tag == "pre":
+            if tag in PREFORMATTED:
                 self.pre += 1
-                self.fresh = True
+                self.fresh = tag != "xmp"
                 undo.append("pre")
             elif tag in ("ul", "ol", "menu", "dir"):
-                self.lists.append([tag == "ol", _number(attributes.get("start"), 10**9) - 1])
+                self.lists.append([tag == "ol", _integer(attributes.get("start"), 1) - 1])
                 undo.append("list")
             elif tag == "li":
                 mark = BULLET
                 if self.lists and self.lists[-1][0]:
-                    self.lists[-1][1] = int(attributes["value"]) if attributes.get("value", "").isdigit() else self.lists[-1][1] + 1
+                    self.lists[-1][1] = _integer(attributes.get("value"), self.lists[-1][1] + 1)
                     mark = f"{self.lists[-1][1]}. "
-                flow.indent.append(" " * len(mark))
+                flow.deeper(len(mark))
                 flow.mark = mark
                 undo.append("indent")
             elif tag in ("dd", "blockquote"):
-                flow.indent.append("  ")
+                flow.deeper(2)
                 undo.append("indent")
             elif tag == "table":
-                self.grids.append(Grid())
+                self.grids.append(Grid() if len(self.grids) < NESTED else None)
                 undo.append("table")
             elif tag == "tr" and self.grids:
-                self.grids[-1].row()
-            elif tag in ("td", "th") and self.grids:
+                self.grids[-1].row() if self.grids[-1] else flow.block(1)
+            elif tag in ("td", "th") and self.grids and self.grids[-1]:
                 self.flows.append(Flow())
-                undo += ["cell", _number(attributes.get("colspan"), MOST_SPAN), _number(attributes.get("rowspan"), 65_534)]
+                undo += ["cell", _span(attributes.get("colspan"), MOST_SPAN), _span(attributes.get("rowspan"), MOST_ROWS, MOST_ROWS)]
+            elif tag in ("td", "th"):
+                flow.text(" ")
+            elif tag == "svg":
+                self.drawing += 1
+                undo.append("drawing")
+            elif tag in DRAWN and self.drawing:
+                self.drawn += 1
+                flow.text(" ")
+                undo.append("drawn")
             elif tag == "details" and "open" not in attributes:
                 undo.append("closed")
             elif tag == "q":
                 flow.text('"')
                 undo.append("quote")
+        self.places[tag].append(len(self.stack))
         self.stack.append((tag, undo))
 
     def pop(self) -> None:
         tag, undo = self.stack.pop()
+        self.places[tag].pop()
         if "hidden" in undo:
             self.hidden -= 1
         if "quote" in undo:
@@ -292,18 +336,22 @@ class Page:
             cell = self.flows.pop()
             self.grids[-1].cell(cell.result(), undo[at + 1], undo[at + 2])
         if "table" in undo:
-            flow = self.flows[-1]
-            for line in self.grids.pop().lines():
+            flow, grid = self.flows[-1], self.grids.pop()
+            for line in grid.lines() if grid else ():
                 flow.plain(line)
                 flow.end()
+        if "drawing" in undo:
+            self.drawing -= 1
+        if "drawn" in undo:
+            self.drawn -= 1
+            self.flows[-1].text(" ")
         if "list" in undo:
             self.lists.pop()
         if "pre" in undo:
             self.pre -= 1
         if "indent" in undo:
             self.flows[-1].end()
-            self.flows[-1].indent.pop()
-            self.flows[-1].mark = ""
+            self.flows[-1].shallower()
         if "block" in undo:
             self.flows[-1].block(2 if tag in PARAGRAPHS and not (tag in ("ul", "ol") and self.lists) else 1)
 
@@ -317,9 +365,11 @@ class Page:
         elif tag == "input" and attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url"):
             self.flows[-1].text(attributes.get("value", ""))
 
-    def characters(self, s: str) -> None:
-        if not self.hidden and s and not (self.stack and "closed" in self.stack[-1][1]):
-            s = html.unescape(s) if "&" in s else s
+    def characters(self, s: str, raw: bool = False) -> None:
+        if self.hidden or (self.drawing and not self.drawn):
+            return
+        if s and not (self.stack and "closed" in self.stack[-1][1]):
+            s = html.unescape(s) if "&" in s and not raw else s
             if self.pre:
                 self.flows[-1].plain(s.removeprefix("\n") if self.fresh else s)
                 self.fresh = False
@@ -327,10 +377,17 @@ class Page:
                 self.flows[-1].text(s)
 
     def styles(self, css: str) -> None:
-        """Elements that a rule with one plain selector (tag, .class or #id) does not show."""
-        for selectors, body in RULE.findall(css):
-            if NO_DISPLAY.search(body):
-                self.hide |= {s for s in (x.strip() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s)}
+        """Elements that a rule with one plain selector (tag, .class or #id) does not show; rules for print don't count."""
+        outer, at = [], 0
+        for brace in BRACE.finditer(css):
+            if brace[0] == "{":
+                outer.append((css[at : brace.start()], brace.end()))
+            elif outer:
+                selectors, begin = outer.pop()
+                elsewhere = any(s.lstrip().startswith("@") and "print" in s and "screen" not in s for s, _ in outer)
+                if not elsewhere and begin >= at and NO_DISPLAY.search(css, begin, brace.start()):
+                    self.hide |= {s for s in (x.strip() for x in selectors.split(",")) if SELECTOR.fullmatch(s)}
+            at = brace.end()
 
     def finish(self) -> str:
         while self.stack:
@@ -372,8 +429,8 @@ def render(source: str) -> str:
                 inner = source[at : close.start() if close else n]
                 if tag == "style":
                     page.styles(inner)
-                elif tag == "textarea":
-                    page.characters(inner)
+                elif tag in ("textarea", "xmp"):
+                    page.characters(inner, raw=tag == "xmp")
                 at = close.start() if close else n
         else:
             page.characters("<")
@@ -384,7 +441,7 @@ def render(source: str) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: page_id, text.
 
-    A null or empty page gives the empty text. Repeated rows give a row each; other columns are ignored; an empty table
+    A null or empty page gives the empty text. Fallbacks of object and the text of svg and math are shown. Repeated rows give a row each; other columns are ignored; an empty table
     gives an empty result. One pass without a shuffle.
     """
 

@@ -9,6 +9,7 @@ opened beyond the bound the fullest one closes. Pieces arrive through a window i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -65,42 +66,51 @@ class Bins:
 
 
 def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of texts by a vocabulary file that is there on each executor.
+    """Ids of texts by a file of ``tokenizers`` that is there on each executor, with that file's own settings.
 
-    ``.tiktoken``: byte-level ranks, several times faster than the ``tokenizers`` file of the same vocabulary, whose ids
-    are equal; that one (``.json`` beside it) codes a text on which the fast library breaks off. Else a file of tokenizers.
+    If the same vocabulary lies beside it as byte-level ranks (``.tiktoken``), those code the text, several times faster
+    and with equal ids; added tokens are cut out first, as the file's own coder does. A text on which the ranks' library
+    breaks off goes to the file's own coder.
     """
+    import os
 
-    def plain(file: str) -> Callable[[list[str]], list[list[int]]]:
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    own: list = []
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def slow(texts: list[str]) -> list[list[int]]:
         from tokenizers import Tokenizer
 
-        tk = Tokenizer.from_file(file)
-        tk.encode_special_tokens = True
-        return lambda texts: [e.ids for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
+        own[:] = own or [Tokenizer.from_file(path)]
+        return [e.ids for e in own[0].encode_batch_fast(texts, add_special_tokens=False)]
 
-    if not path.endswith(".tiktoken"):
-        return plain(path)
+    ranked = path.removesuffix("json") + "tiktoken"
+    if not path.endswith(".json") or not os.path.exists(ranked):
+        return slow
     import base64
+    import json
 
     import tiktoken
     from public_tokenizers import PATTERN
 
-    with open(path, "rb") as f:
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        return slow
+    ids = {t["content"]: t["id"] for t in added}
+    with open(ranked, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list = []
+    cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)) + ")") if ids else None
 
     def one(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
+            if cuts is None or not cuts.search(text):
+                return fast.encode_ordinary(text)
+            return [k for part in cuts.split(text) for k in ([ids[part]] if part in ids else fast.encode_ordinary(part))]
         except BaseException as e:  # its panics are no Exceptions
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            slow[:] = slow or [plain(path.removesuffix("tiktoken") + "json")]
-            return slow[0]([text])[0]
+            return slow([text])[0]
 
     return lambda texts: [one(t) for t in texts]
 
@@ -116,7 +126,7 @@ def tokenize_pieces(
 ) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32 and, if kept, ids.
 
-    tokenizer: see encoder(). Strings of special tokens in a text are ordinary text. Null text counts as empty; an empty text is the end id alone.
+    tokenizer: see encoder(). A string of an added token in a text is that token, as in the file. Null text counts as empty; an empty text is the end id alone.
     """
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     id_type = T.LongType()

@@ -190,14 +190,24 @@ def test_wide_bitmaps_lose_no_link():
 # packing
 
 
+def test_ranks_code_whole_tables_as_the_file_does(spark):
+    from tokenizers import Tokenizer
+
+    file = tokenizer_file("byte_bpe_50k.json")
+    code, tk = packing.encoder(file), Tokenizer.from_file(file)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["<|endoftext|>", "x<|endoftext|> y <|endoftext", "\u2028 \u3000  \x00", "a" * 5000, " " * 3000, "\n\n\n  \n", "\ufffd\ufeffé"]
+    assert code(texts) == [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
+    assert any(50256 in x for x in code(texts[-7:]))
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    rows = sample(60, 4) + [(700, "word " * 3000), (701, "<|endoftext|> é 😀   \n\n x")] + EDGES
+    rows = sample(60, 4) + [(700, "word " * 3000), (701, "<|endoftext|> é 😀   \n\n x"), (702, "a <|endoftext|> b<|endoftext|><|endoftext|>  "), (703, " \t\n" * 3000)] + EDGES
     tk = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     ids = [np.array(e.ids + [2], "<u4") for e in tk.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
-    found = packing.pack_documents(docs_of(spark, rows), tokenizer_file("byte_bpe_50k.tiktoken"), size=256, open_bins=8).collect()
+    found = packing.pack_documents(docs_of(spark, rows), tokenizer_file("byte_bpe_50k.json"), size=256, open_bins=8).collect()
     cut = [(rows[k][0], n, s, length, zlib.crc32(x[s : s + length].tobytes())) for k, x in enumerate(ids) for n, (s, length) in enumerate(packing.cut(len(x), 256))]
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == collections.Counter(cut)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in found)
@@ -408,6 +418,54 @@ def test_pages(spark):
     assert html_text.render("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
 
 
+def page_of(rng, shown, gone, depth=0):
+    """Markup of random elements, with the words it shows and hides in their order."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "block", "list", "table", "hidden", "pre", "inline", "loose"] if depth < 5 else ["text", "inline", "hidden"])
+        word = f"w{len(shown)}x"
+        if kind in ("text", "inline", "pre", "loose"):
+            shown.append(word)
+            out.append({"text": f" {word} ", "inline": f" <b>{word[:2]}</b>{word[2:]} ", "pre": f"<pre>{word}</pre>", "loose": f"<p>{word}</i></section> "}[kind])
+        elif kind == "hidden":
+            gone.append(f"h{len(gone)}y")
+            out.append(rng.choice(["<script>{}</script>", "<div hidden>{}</div>", "<p style='display:none'>{}</p>", "<!-- {} -->", "<template><p>{}</template>", "<em class=off>{}</em>"]).format(gone[-1]))
+        elif kind == "list":
+            out.append("<ul>" + "".join("<li>" + page_of(rng, shown, gone, depth + 1) for _ in range(rng.randint(1, 3))) + "</ul>")
+        elif kind == "table":
+            out.append("<table>" + "".join(f"<tr><td>{page_of(rng, shown, gone, depth + 3)}" for _ in range(rng.randint(1, 3))) + "</table>")
+        else:
+            tag = rng.choice(["div", "section", "h2", "blockquote"])
+            out.append(f"<{tag}>{page_of(rng, shown, gone, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_pages_show_every_visible_word_once_and_in_order():
+    rng = random.Random(4)
+    for _ in range(150):
+        shown, gone = [], []
+        text = html_text.render("<style>.off{display: none} @media print{p{display:none}}</style>" + page_of(rng, shown, gone))
+        assert re.findall(r"w\d+x", text) == shown
+        assert not re.search(r"h\d+y", text)
+
+
+def test_any_markup_is_a_page():
+    rng = random.Random(5)
+    parts = ["<", ">", "</", "<div", "<td colspan='²'>", "<td rowspan=0>", "<table>", "</table>", "<li value=" + "9" * 5000 + ">", "<ol start=-3>", "<tr>", "<p>", "</p>", '"', "'", "&#99999999;", "&amp", "<style>", "{", "}", "<svg>", "<text>", "</svg>", "<xmp>", "<!--", "<a", "x", " ", "\n", "<pre>", "</pre>", "<select><option>", "<details>", "<summary>"]
+    for _ in range(3000):
+        html_text.render("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))))
+
+
+def test_page_layout_has_no_width_bound():
+    wide = "word " * 30
+    rows = html_text.render(f"<table><tr><td>{wide}<td>b<tr><td>c<td>d</table>").split("\n")
+    assert rows[0].index("b") == rows[1].index("d") == len(wide.strip()) + 2
+    assert html_text.render("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>") == "ab     c\nd   e  f"
+    assert html_text.render("<ol start=-1><li>a<li value='+7'>b<li value=²>c</ol>") == "-1. a\n7. b\n8. c"
+    deep = html_text.render("<table><tr><td>a" * 300 + "<blockquote>z" * 900)
+    assert deep.count("a") == 300 and deep.count("z") == 900
+
+
 # the pipeline
 
 
