@@ -35,7 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences of up to 1024 tokens."""
-    return pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), keep_ids=False)
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
 
 
 STAGES = [
