@@ -7,9 +7,9 @@
 2. A prefix shingle that one node alone has tells nothing, and a node with fewer than k others can't link. Both go, and
    with them most documents: all that follows reads the *members*, one row for each node that is left, with its shared
    shingles, its whole set, and a bitmap whose width follows the set's size.
-3. Hubs: for each shared shingle the node with most shared shingles is the hub (the original among its copies), and
-   every other is paired with the hubs it shares k shingles with: six at most. They are verified, best hub first. That
-   joins large groups of copies with few pairs for each member.
+3. Hubs: of the nodes that have one of their few smallest shared shingles in common, the one with most shared shingles is
+   the hub (the original among its copies), and every other is paired with the hubs it meets so twice: eight at most.
+   They are verified, best hub first. That joins large groups of copies with few pairs for each member.
 4. Nodes of different components meet in the groups of their *heads*, their few smallest shared shingles. Groups above a
    size are split into blocks and each pair of blocks is a group of its own. In each, a signature tree (OR- and
    AND-combined bitmaps, size ranges, component if it is one) is traversed against itself: a pair of tree nodes whose
@@ -48,6 +48,8 @@ HEAD = 8
 NONE = np.iinfo(np.int64).max
 #: Members of a group that are compared without a tree.
 FEW = 12
+#: Smallest shared shingles of a node by which it meets hubs.
+HUB_TOKENS = 16
 #: Node pairs that are expanded at once, and bytes of bitmaps that are compared at once.
 FRONTIER, COMPARED = 20_000, 1 << 24
 #: Shared shingles that may be broadcast: 50 bytes each.
@@ -204,13 +206,16 @@ def members_of(sig: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
 
     Only the texts that stand for such a node are read into sets: a node's smallest text digest picks them.
     """
-    rows = sig.where("n > 0").select("node", "n", F.xxhash64("node").alias("mark"), F.explode("prefix").alias("token"))
-    shared = shared_in(rows, "mark").groupBy("node", "n").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-    kept = stored(shared.where(F.size("tokens") >= _least(F.col("n"))).withColumn("head", F.slice("tokens", 1, HEAD)), "kept")
-    few = kept.count()
-    need = sig.where("n > 0").join(small_or_merge(kept.select("node"), few), "node", "left_semi").groupBy("node").agg(F.min("same").alias("same"))
+    mark = F.xxhash64("node").alias("mark")  # nodes with the same mark have their shingles together, which costs time alone
+    rows = sig.where("n > 0").select(mark, F.explode("prefix").alias("token"))
+    shared = shared_in(rows, "mark").groupBy("mark").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    shared = stored(shared, "shared")
+    few = shared.count()
+    nodes = sig.where("n > 0").select("node", "n", "same", mark).groupBy("mark", "node", "n").agg(F.min("same").alias("same"))
+    kept = nodes.join(shared.hint("merge"), "mark").where(F.size("tokens") >= _least(F.col("n")))
+    kept = stored(kept.select("node", "n", "same", "tokens", F.slice("tokens", 1, HEAD).alias("head")), "kept")
     keyed = texts.select(F.unhex(F.md5("text")).alias("same"), "text")
-    picked = keyed.join(small_or_merge(stored(need, "need"), few), "same").groupBy("node").agg(F.first("text").alias("text"))
+    picked = keyed.join(small_or_merge(kept.select("node", "same"), few), "same").groupBy("node").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -219,12 +224,13 @@ def members_of(sig: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t.as_py()) for t in part.column(1)]
-                columns = [part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([wide_bits(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "bits"])
+                sets = [shingles(t.as_py()) for t in part.column("text")]
+                columns = [part.column(c) for c in ("node", "n", "tokens", "head")]
+                columns += [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([wide_bits(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "tokens", "head", "shingles", "bits"])
 
-    sets = picked.mapInArrow(run, "node binary, shingles array<long>, bits binary")
-    return stored(kept.hint("merge").join(sets, "node").select("node", "n", "tokens", "head", "shingles", "bits"), "members")
+    found = picked.join(kept.drop("same").hint("merge"), "node")
+    return stored(found.mapInArrow(run, "node binary, n long, tokens array<long>, head array<long>, shingles array<long>, bits binary"), "members")
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -239,14 +245,16 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a: hub, b: node, first: whether a is b's best hub) that share k shingles: six at most for each node."""
-    rows = members.select("node", "n", F.size("tokens").alias("score"), F.explode("tokens").alias("token"))
+    """Pairs (a: hub, b: node, first: whether a is b's best hub) of alike size: eight at most for each node."""
+    some = members.select("node", "n", F.size("tokens").alias("score"), F.slice("tokens", 1, HUB_TOKENS).alias("tokens"))
+    rows = stored(some, "hub_tokens").select("node", "n", "score", F.explode("tokens").alias("token"))
     top = rows.groupBy("token").agg(F.max(F.struct("score", "node", "n")).alias("top"), F.count(F.lit(1)).alias("met")).where("met > 1")
     hubs = stored(top.select("token", F.col("top.node").alias("a"), F.col("top.n").alias("n_a")), "hubs")
     met = rows.join(small_or_merge(hubs), "token").where("node <> a")
     met = met.where((F.col("n") * DEN >= F.col("n_a") * NUM) & (F.col("n_a") * DEN >= F.col("n") * NUM))
     both = met.groupBy("a", "n_a", F.col("node").alias("b"), "n").agg(F.count(F.lit(1)).alias("both"))
-    both = stored(both.where(F.col("both") > F.floor(F.least("n", "n_a") / 20)).select("a", "b", "both"), "hub_pairs")
+    both = both.where((F.col("both") > 1) | (F.least("n", "n_a") < 20)).select("a", "b", "both")
+    both = stored(both, "hub_pairs")
     best = both.groupBy("b").agg(F.max(F.struct("both", "a")).alias("best"))
     return both.join(small_or_merge(best), "b").select("a", "b", (F.col("a") == F.col("best.a")).alias("first"))
 
@@ -505,9 +513,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = node_components(members_of(sig, texts, words))
     placed = sig.select("doc_id", "n", "node").join(small_or_merge(roots), "node", "left")
     placed = placed.select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least.hint("merge"), "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    placed = stored(placed, "placed")
+    least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    out = placed.join(small_or_merge(stored(least, "least")), "root", "left")  # a row alone is its own component
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
