@@ -31,24 +31,55 @@ SCOPE = 200
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "weak_account", "weak_secret", "endpoint")
 
+#: Matches of a text whose places are summed at once.
+BLOCK = 256
+
 _SPAN = "array<struct<start:int,kind:int,end:int,value:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _hits(text: Column, pattern: str, kind: int, group: int | None = None) -> Column:
-    """Leftmost non-overlapping matches as structs (start, kind, end, length of the group), in code points."""
+    """Leftmost non-overlapping matches as structs (start, kind, end, length of the group), in code points.
+
+    Lengths of what lies between and of the matches are summed in blocks, then blocks by their sums: an appended list is
+    copied, and so no list grows beyond a block or the number of blocks.
+    """
     p = F.lit(pattern)
-    pieces, hits = F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, both: Column) -> Column:
-        start = acc["at"] + F.length(both["piece"])
-        end = start + F.length(both["hit"])
-        value = F.length(F.regexp_extract(both["hit"], pattern, group)) if group else F.length(both["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def measured(hits: Column) -> Column:
+        pieces = F.slice(F.split(text, p, -1), F.lit(1), F.size(hits))
+        value = lambda hit: F.length(F.regexp_extract(hit, pattern, group)) if group else F.length(hit)
+        return F.zip_with(pieces, hits, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size"), value(b).alias("value")))
+
+    def blocks(all_: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return F.transform(at, lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(block: Column, first: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + x["size"]
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(block, F.struct(first.alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    def firsts(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        total = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+        step = lambda acc, b: F.struct((acc["at"] + total(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+    def listed(all_: Column) -> Column:
+        several = _let(blocks(all_), lambda parts: F.flatten(F.zip_with(parts, firsts(parts), placed)))
+        return F.when(F.size(all_) <= BLOCK, placed(all_, F.lit(0))).otherwise(several)
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda a, b: F.struct(a.alias("piece"), b.alias("hit")))
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    hits = F.regexp_extract_all(text, p, F.lit(0))
+    return _let(_let(hits, measured), listed)
 
 
 def _when(test: Column, spans: Column) -> Column:
@@ -120,8 +151,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts as empty; an empty text has no spans and the digest of the empty text. Equal texts have equal spans.
     """
     found = stored(scan(docs.withColumnRenamed(id_col, "__id"), text_col, ("__id",)), "secrets")
-    rows = found.join(link_parts(found, scope).hint("merge"), "key", "left")
-    rows = rows.withColumn("linked", F.coalesce("linked", F.array().cast(_SPAN)))
+    none = F.array().cast(_SPAN)
+    linked = stored(link_parts(found, scope), "linked")
+    met = found.where("key is not null").join(small_or_merge(linked), "key", "left").withColumn("linked", F.coalesce("linked", none))
+    rows = met.unionByName(found.where("key is null").withColumn("linked", none))  # most rows: they need no join
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return rows.select(
         F.col("__id").alias("doc_id"),
@@ -145,7 +178,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
     found = scan(docs, text_col, (text_col,)).where("size(base) > 0 or size(weak) > 0")
     keyed = found.withColumn("key", F.unhex(F.sha2(F.col(f"`{text_col}`"), 256))).select("key", "base", "weak")
     found = stored(keyed.groupBy("key").agg(F.first("base").alias("base"), F.first("weak").alias("weak")), "secrets")
-    spans = found.join(link_parts(found.where("size(weak) > 0"), scope).hint("merge"), "key", "left")
+    spans = found.join(small_or_merge(stored(link_parts(found.where("size(weak) > 0"), scope), "linked")), "key", "left")
     spans = spans.select(F.col("key").alias("__key"), F.sort_array(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN)))).alias("__spans"))
     spans = stored(spans.where("size(__spans) > 0"), "masks")
     text = F.col(f"`{text_col}`")
