@@ -2,7 +2,7 @@
 
 score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed terms of a text. The factors learn what pairs
 of terms add beyond their weights. The machine is fitted on the driver on a bounded sample of labelled rows; terms that
-don't tell the labels apart (chi-squared) have no weight, so long clean texts gather no noise. Scoring reads every whole
+tell the labels apart neither alone nor in a pair (chi-squared) have no weight, so long clean texts gather no noise. Scoring reads every whole
 text once, without a shuffle, with a model of bounded size.
 """
 
@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, whole
+from .common import crc_mod, drop_stored, stored, whole
 
 #: Labelled rows that the machine is fitted on, the first in order of a hash of the id; all if fewer.
 TRAIN_ROWS = 20_000
 #: Hash space of terms, terms with weights, least rows with a term, least chi-squared, factors of a term.
 BUCKETS, TERMS, LEAST_ROWS, LEAST_CHI2, FACTORS = 1 << 20, 4096, 5, 20.0, 8
+#: The most frequent other terms, which are tried in pairs; least rows with a pair, and its least chi-squared.
+PAIR_TERMS, PAIR_ROWS, PAIR_CHI2 = 1024, 20, 60.0
 THRESHOLD = 0.7
 #: Words of which a worker remembers the term.
 MEMORY = 400_000
@@ -60,6 +62,44 @@ class Machine:
         return float(sigmoid(np.float64(z)))
 
 
+def chi_squared(have: np.ndarray, both: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """Of what ``have`` rows have and ``both`` of them with label 1, against n rows and ``pos`` with label 1."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = n * (both * n - have * pos) ** 2 / (have * (n - have) * pos * (n - pos))
+    return np.where(have < n, np.nan_to_num(found), 0)
+
+
+def telling(have: np.ndarray, both: np.ndarray, n: int, pos: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that tell alone, and the most frequent others; ``have`` and ``both`` have a number for each term."""
+    chi2 = np.where(have >= LEAST_ROWS, chi_squared(have, both, n, pos), 0)
+    alone = np.flatnonzero(chi2 >= LEAST_CHI2)
+    alone = alone[np.argsort(-chi2[alone], kind="stable")[:TERMS]]
+    others = np.where((have >= PAIR_ROWS) & (have < n), have, 0)
+    others[alone] = 0
+    frequent = np.argsort(-others, kind="stable")[:PAIR_TERMS]
+    return np.sort(alone), np.sort(frequent[others[frequent] > 0])
+
+
+def in_pairs(frequent: np.ndarray, flat: np.ndarray, row_of: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Those of the frequent terms that tell together with another one."""
+    n, pos = len(labels), int(labels.sum())
+    place = np.full(BUCKETS, -1, np.int32)
+    place[frequent] = np.arange(len(frequent))
+    hit = place[flat] >= 0
+    col, row = place[flat[hit]], row_of[hit]
+    have, both = np.zeros((2, len(frequent), len(frequent)), np.float32)
+    for at in range(0, n, 4096):
+        part = (row >= at) & (row < at + 4096)
+        x = np.zeros((min(4096, n - at), len(frequent)), np.float32)
+        x[row[part] - at, col[part]] = 1
+        have += x.T @ x
+        toxic = x[labels[at : at + 4096] > 0]
+        both += toxic.T @ toxic
+    tells = (have >= PAIR_ROWS) & (chi_squared(have.astype(float), both.astype(float), n, pos) >= PAIR_CHI2)
+    np.fill_diagonal(tells, False)
+    return frequent[tells.any(1)]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 400, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> Machine:
     """Adam on the whole sample's logistic loss. One class only: the score is that class's smoothed share."""
     n, pos = len(rows), int(labels.sum())
@@ -70,13 +110,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 400, rate: flo
     row_of = np.repeat(np.arange(n), [len(r) for r in rows])
     have = np.bincount(flat, minlength=BUCKETS).astype(float)
     both = np.bincount(flat, weights=labels[row_of], minlength=BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = n * (both * n - have * pos) ** 2 / (have * (n - have) * pos * (n - pos))
-    chi2 = np.where((have >= LEAST_ROWS) & (have < n), np.nan_to_num(chi2), 0)
-    chosen = np.flatnonzero(chi2 >= LEAST_CHI2)
+    alone, frequent = telling(have, both, n, pos)
+    chosen = np.sort(np.concatenate([alone, in_pairs(frequent, flat, row_of, labels)]))
     if not len(chosen):
         return none
-    chosen = np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")[:TERMS]])
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     hit = place[flat] >= 0
@@ -108,21 +145,37 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 400, rate: flo
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Machine:
     """A machine from labelled rows whose crc32(id) mod 3 is not 1. Of an id's labels the largest counts; null ones don't.
 
-    The sample's ids are at most ``rows`` longs, so their broadcast is bounded; what comes to the driver is the sample's
-    terms, about 2 KB a row. Of documents with the same id one text counts.
+    The sample's ids are at most ``rows`` longs, so their broadcast is bounded. Terms are counted on the executors; what
+    comes to the driver is a count for each telling or frequent term and, of a row, its terms among those: 20 KB at most
+    however long its text is. Of documents with the same id one text counts.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), 3) != 1))
-    known = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
+    known = usable.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).alias("__label"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: terms(t).tobytes())
+    @F.pandas_udf("array<int>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return texts.map(terms)
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), whole(F.col(f"`{text_col}`")).alias("__text")).join(F.broadcast(sample), "__id")
-    found = texts.groupBy("__id", "__label").agg(F.max("__text").alias("__text")).select("__id", "__label", packed("__text").alias("terms")).toPandas()
-    found = found.sort_values("__id")
-    return fit([np.frombuffer(x, np.int32) for x in found["terms"]], found["__label"].to_numpy(float))
+    one = texts.groupBy("__id", "__label").agg(F.max("__text").alias("__text"))
+    found = stored(one.select("__id", "__label", hashed("__text").alias("terms")), "terms")
+    n, pos = (int(x or 0) for x in found.agg(F.count(F.lit(1)), F.sum("__label")).first())
+    counts = found.select("__label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("have"), F.sum("__label").alias("both"))
+    counts = counts.where(F.col("have") >= LEAST_ROWS).toPandas()
+    have, both = np.zeros((2, BUCKETS))
+    have[counts["term"]], both[counts["term"]] = counts["have"], counts["both"]
+    wanted = np.concatenate(telling(have, both, n, pos)) if 0 < pos < n else np.empty(0, np.int64)
+
+    @F.pandas_udf("binary")
+    def packed(lists: pd.Series) -> pd.Series:
+        asked = np.zeros(BUCKETS, bool)
+        asked[wanted] = True
+        return lists.map(lambda x: x[asked[x]].astype(np.int32).tobytes())
+
+    sent = found.select("__id", "__label", packed("terms").alias("terms")).toPandas().sort_values("__id")
+    drop_stored(found)
+    return fit([np.frombuffer(x, np.int32) for x in sent["terms"]], sent["__label"].to_numpy(float))
 
 
 def score_with(model: Machine, text: Column) -> Column:

@@ -299,6 +299,39 @@ def test_machine_learns_a_pair():
     assert score("insult", "group") > 0.7 and score("insult") < 0.3 and score("group") < 0.3 and score() < 0.3
 
 
+def test_machine_learns_a_pair_without_marginals():
+    """Each word comes with either label alike, alone and together; only one without the other is toxic."""
+    rows, labels = [], []
+    for i in range(800):
+        a, b = i % 2, i // 2 % 2
+        rows.append(toxicity.terms(" ".join([f"w{i % 37}"] + ["insult"] * a + ["group"] * b)))
+        labels.append(float(a != b))
+    m = toxicity.fit(rows, np.array(labels))
+    assert set(m.term.tolist()) >= {toxicity.term("insult"), toxicity.term("group")}
+    place = {int(t): k for k, t in enumerate(m.term)}
+    score = lambda *w: m.score([place[toxicity.term(x)] for x in w])
+    assert score("insult", "group") < 0.3 and score("insult") > 0.7 and score("group") > 0.7 and score() < 0.3
+
+
+def test_scores_are_those_of_the_machine(spark):
+    rng = random.Random(6)
+    rows, labels = [(900, None), (901, "")], []
+    for i in range(200):
+        bad = rng.random() < 0.4
+        rows.append((i, " ".join([f"w{rng.randrange(60)}" for _ in range(rng.choice([2, 40, 4000]))] + ["idiot", "Fool"] * bad)))
+        labels.append((i, int(bad)))
+    df, marks = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.train(df, marks)
+    plain = toxicity.fit([toxicity.terms(t) for i, t in sorted(rows) if i < 900 and zlib.crc32(str(i).encode()) % 3 != 1], np.array([float(x) for i, x in labels if zlib.crc32(str(i).encode()) % 3 != 1]))
+    assert np.array_equal(m.term, plain.term) and np.allclose(m.weight, plain.weight, atol=1e-6)
+    found = {r.doc_id: r.score for r in toxicity.score_toxicity(df, marks).collect()}
+    place = {int(t): k for k, t in enumerate(m.term)}
+    for i, text in rows:
+        here = sorted({place[k] for k in (zlib.crc32(w.encode()) % toxicity.BUCKETS for w in set(re.findall(r"\w+", (text or "").lower()))) if k in place})
+        z = m.bias + sum(m.weight[k] for k in here) + sum(float(m.factor[a] @ m.factor[b]) for n, a in enumerate(here) for b in here[n + 1 :])
+        assert abs(found[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     rows, labels = [(None, "idiot"), (5000, None)], []
