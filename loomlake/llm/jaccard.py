@@ -36,15 +36,16 @@ WORDS = 5
 #: Link if NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
 #: Bits of a tree's bitmaps, and the least and greatest width of a member's own, which has WIDE for each shingle or more.
-BITS, WIDE, WIDEST = 1024, 16, 1 << 16
+BITS, WIDE, WIDEST = 1024, 8, 1 << 16
 SKETCH_BITS = 24
 #: Common buckets that order shingles. The list only orders; a shorter one costs time, not links.
 COMMON = 65_536
 #: Members of a group that one task compares; longer lists are split into blocks of half of it.
 GROUP = 4096
 FANOUT = 8
-#: Smallest shared shingles of a node. Pairs with a common one meet in its group, others in the groups of all.
-HEAD = 8
+#: Smallest shared shingles of a node, as 32-bit hashes. Pairs with a common one meet in its group, others in the groups
+#: of all shared shingles. Shingles with one hash share a group, which costs time alone.
+HEAD = 16
 NONE = np.iinfo(np.int64).max
 #: Members of a group that are compared without a tree.
 FEW = 12
@@ -213,7 +214,7 @@ def members_of(sig: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     few = shared.count()
     nodes = sig.where("n > 0").select("node", "n", "same", mark).groupBy("mark", "node", "n").agg(F.min("same").alias("same"))
     kept = nodes.join(shared.hint("merge"), "mark").where(F.size("tokens") >= _least(F.col("n")))
-    kept = stored(kept.select("node", "n", "same", "tokens", F.slice("tokens", 1, HEAD).alias("head")), "kept")
+    kept = stored(kept.select("node", "n", "same", "tokens", F.transform(F.slice("tokens", 1, HEAD), lambda t: F.hash(t)).alias("head")), "kept")
     keyed = texts.select(F.unhex(F.md5("text")).alias("same"), "text")
     picked = keyed.join(small_or_merge(kept.select("node", "same"), few), "same").groupBy("node").agg(F.first("text").alias("text"))
 
@@ -230,7 +231,7 @@ def members_of(sig: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, ["node", "n", "tokens", "head", "shingles", "bits"])
 
     found = picked.join(kept.drop("same").hint("merge"), "node")
-    return stored(found.mapInArrow(run, "node binary, n long, tokens array<long>, head array<long>, shingles array<long>, bits binary"), "members")
+    return stored(found.mapInArrow(run, "node binary, n long, tokens array<long>, head array<int>, shingles array<long>, bits binary"), "members")
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -423,7 +424,7 @@ def met_pairs(members: DataFrame, label: Column, by_head: bool) -> DataFrame:
     shared shingle and stays if k groups give it.
     """
     bits = F.col("bits") if by_head else F.lit(b"")
-    marked = members.select("node", "n", bits.alias("bits"), F.xxhash64(label).alias("mark"), "head", F.col("head" if by_head else "tokens").alias("tokens"))
+    marked = members.select("node", "n", bits.alias("bits"), F.xxhash64(label).alias("mark"), "head", F.col("head" if by_head else "tokens").cast("array<bigint>").alias("tokens"))
     rows = shared_in(marked.select("node", "n", "bits", "mark", "head", F.explode("tokens").alias("token")), "mark")
     half = GROUP // 2
     sizes = stored(rows.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.ceil(F.col("count") / half).cast("int").alias("blocks")), "sizes")
