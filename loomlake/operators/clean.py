@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import edges_bin, equi_width_bin, is_finite, order_key, to_number, zero_if_not_finite
+from ..functions.shared import small_or_merge
+from .ranges import exact_quantiles, numbered
 
 
 def keep_columns(df: DataFrame, keep: list[str], target: str) -> DataFrame:
@@ -43,8 +45,8 @@ def map_encode(df: DataFrame, column: str, codes: dict[str, int], out: str) -> D
 def ordinal_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """Place among the sorted distinct values, from 0. The distinct values are ranked, not the rows."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = values.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(ranked, column, "left")
+    ranked = numbered(values, [column], out).withColumn(out, F.col(out).cast("int"))
+    return df.join(small_or_merge(ranked), column, "left")
 
 
 def detect_task(df: DataFrame, target: str) -> DataFrame:
@@ -65,24 +67,27 @@ def equi_width(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     return coded.withColumns({c: equi_width_bin(F.col(c), F.col(f"__lo_{c}"), F.col(f"__hi_{c}"), bins) for c in columns}).drop(*ends.columns)
 
 
-def quantile_edges(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
-    """One row: for each column its distinct exact quantiles, both ends included."""
-    levels = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return df.agg(*[F.array_distinct(F.percentile(c, levels)).alias(f"__edges_{c}") for c in columns])
+def quantile_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
+    """Of each column its distinct exact quantiles, both ends included."""
+    found = exact_quantiles(df, columns, [i / bins for i in range(bins + 1)])
+    return {c: list(dict.fromkeys(e)) for c, e in found.items()}
+
+
+def _literal(edges: list[float]):
+    return F.array(*map(F.lit, edges)).cast("array<double>")
 
 
 def quantile_bins(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """Equal values share a bin; a constant column is bin 0."""
     edges = quantile_edges(df, columns, bins)
-    coded = df.crossJoin(F.broadcast(edges))  # one row
-    return coded.withColumns({c: edges_bin(F.col(c).cast("double"), F.col(f"__edges_{c}")) for c in columns}).drop(*edges.columns)
+    return df.withColumns({c: edges_bin(F.col(c).cast("double"), _literal(edges[c])) for c in columns})
 
 
 def discretise_target(df: DataFrame, target: str, out: str, most: int = 20, bins: int = 10) -> DataFrame:
     """More distinct values than ``most``: quantile bins, else the value as an integer."""
-    one = quantile_edges(df, [target], bins).crossJoin(df.agg(F.count_distinct(target).alias("__n")))
-    code = F.when(F.col("__n") > most, edges_bin(F.col(target).cast("double"), F.col(f"__edges_{target}"))).otherwise(F.col(target).cast("int"))
-    return df.crossJoin(F.broadcast(one)).withColumn(out, code).drop(f"__edges_{target}", "__n")
+    if df.select(target).distinct().limit(most + 2).where(F.col(target).isNotNull()).count() <= most:
+        return df.withColumn(out, F.col(target).cast("int"))
+    return df.withColumn(out, edges_bin(F.col(target).cast("double"), _literal(quantile_edges(df, [target], bins)[target])))
 
 
 def constant_columns(df: DataFrame, columns: list[str], eps: float = 1e-10) -> DataFrame:
@@ -104,8 +109,8 @@ def first_by_index(df: DataFrame, keys: list[str], index: str, order: list[str])
 
 
 def enumerate_rows(df: DataFrame, order: list[str], out: str, groups: list[str] | None = None) -> DataFrame:
-    """Numbers from 0 in a stable order, for each group. Without groups all rows meet in one task."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*(groups or [])).orderBy(*order)) - 1)
+    """Numbers from 0 in a stable order, for each group; by ranges, so that no group meets in one task."""
+    return numbered(df, order, out, groups)
 
 
 def stratified_folds(df: DataFrame, label: str | None, keys: list[str], folds: int = 5, seed: int = 42, parts: int = 64) -> DataFrame:
@@ -134,8 +139,13 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], n: int, seed:
     left = F.least(F.lit(n), F.sum("count").over(Window.partitionBy())) - F.sum("__floor").over(Window.partitionBy())
     more = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("__share") - F.col("__floor"), 9)), label))
     quotas = floors.withColumn("__quota", F.col("__floor") + (more <= left).cast("int")).select(label, "__quota")
+    return _first_of_class(df, label, keys, n, seed).join(F.broadcast(quotas), label).where("__rank <= __quota").drop("__rank", "__quota")
+
+
+def _first_of_class(df: DataFrame, label: str, keys: list[str], n: int, seed: int) -> DataFrame:
+    """The first n rows of each class in the random order; each task gives n of a class at most to the ranking."""
     rank = F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, *keys), *keys))
-    return df.join(F.broadcast(quotas), label).withColumn("__rank", rank).where("__rank <= __quota").drop("__rank", "__quota")
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= n)
 
 
 def class_quota_sample(df: DataFrame, label: str, keys: list[str], n: int, seed: int = 42) -> DataFrame:
@@ -143,8 +153,7 @@ def class_quota_sample(df: DataFrame, label: str, keys: list[str], n: int, seed:
     sizes = df.groupBy(label).count()
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("count") / F.sum("count").over(Window.partitionBy())))
     quotas = sizes.withColumn("__quota", quota).select(label, "__quota")
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, *keys), *keys))
-    return df.join(F.broadcast(quotas), label).withColumn("__rank", rank).where("__rank <= __quota").drop("__rank", "__quota")
+    return _first_of_class(df, label, keys, n, seed).join(F.broadcast(quotas), label).where("__rank <= __quota").drop("__rank", "__quota")
 
 
 def uniform_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
@@ -154,10 +163,9 @@ def uniform_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> Da
 
 def systematic_sample(df: DataFrame, order: list[str], n: int, groups: list[str] | None = None) -> DataFrame:
     """Rows floor(i * step) for i below n, step = rows / n; all if fewer."""
-    w = Window.partitionBy(*(groups or []))
-    rows = enumerate_rows(df, order, "__i", groups).withColumn("__step", F.greatest(F.lit(1.0), F.count(F.lit(1)).over(w) / n))
+    rows = numbered(df, order, "__i", groups, "__rows").withColumn("__step", F.greatest(F.lit(1.0), F.col("__rows") / n))
     at = F.ceil(F.col("__i") / F.col("__step"))
-    return rows.where(F.floor(at * F.col("__step")) == F.col("__i")).drop("__i", "__step")
+    return rows.where(F.floor(at * F.col("__step")) == F.col("__i")).drop("__i", "__rows", "__step")
 
 
 def scale(train: DataFrame, rows: DataFrame, columns: list[str], how: str = "minmax") -> DataFrame:

@@ -2,40 +2,70 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..functions.tails import digamma
 
+#: Counts that a task keeps at once.
+CELLS = 1 << 24
+
 
 def pair_information(df: DataFrame, codes: list[str], label: str, bins: int) -> DataFrame:
     """i, j (i <= j), mi in nats of the pair's joint code with the label; the diagonal is the feature's own.
 
-    Each row becomes one array of (pair, code) structs that is exploded into a partial aggregate, so a task holds
-    pairs * bins^2 * classes groups at most, whatever the rows. Codes must lie below ``bins``.
+    Rows are counted where they are read: a task keeps the counts of bins^2 codes for each pair and class, up to CELLS,
+    and gives out those that aren't 0; beyond that it gives them out batch by batch. Codes must lie below ``bins``. Rows
+    with a null code or label take no part.
     """
     d = len(codes)
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(codes[i]) * bins + F.col(codes[j])).cast("int").alias("code")) for i in range(d) for j in range(i, d)]
-    counts = df.select(F.col(label).alias("y"), F.explode(F.array(*cells)).alias("c")).groupBy("c.i", "c.j", "c.code", "y").count()
-    counts = counts.groupBy("i", "j", "code").agg(F.sum("count").alias("nx"), F.collect_list(F.struct("y", "count")).alias("ys"))
-    counts = counts.select("i", "j", "nx", F.explode("ys").alias("c")).select("i", "j", "nx", "c.y", F.col("c.count").alias("n"))
-    classes = df.groupBy(F.col(label).alias("y")).count().withColumnRenamed("count", "ny")
-    total = df.agg(F.count(F.lit(1)).alias("rows_all"))
-    joined = counts.join(F.broadcast(classes), "y").crossJoin(F.broadcast(total))  # classes are labels, total is one row
-    return joined.groupBy("i", "j").agg(F.sum(F.col("n") / F.col("rows_all") * F.log(F.col("n") * F.col("rows_all") / (F.col("nx") * F.col("ny")))).alias("mi"))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    block = max(1, CELLS // (bins * bins))
+    kind = df.select(label).schema[0].dataType.simpleString()
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def given(y, first: int, cells: np.ndarray) -> pa.RecordBatch:
+            p, code = np.nonzero(cells)
+            i, j = (np.array([pairs[first + q][side] for q in range(len(cells))], np.int32)[p] for side in (0, 1))
+            columns = [pa.array(i), pa.array(j), pa.array(code.astype(np.int32)), pa.repeat(y, len(p)), pa.array(cells[p, code])]
+            return pa.RecordBatch.from_arrays(columns, ["i", "j", "code", "y", "n"])
+
+        for batch in batches:
+            classes = batch.column(d).dictionary_encode()
+            which, rows = classes.indices.to_numpy(), np.stack([batch.column(c).to_numpy() for c in range(d)])
+            for k, y in enumerate(classes.dictionary):
+                own = rows[:, which == k]
+                for first in range(0, len(pairs), block):
+                    some = pairs[first : first + block]
+                    cells = np.stack([np.bincount(own[i] * bins + own[j], minlength=bins * bins) for i, j in some])
+                    if len(pairs) > block or (len(held) + 1) * cells.size > CELLS and y not in held:
+                        yield given(y, first, cells)
+                    else:
+                        held[y] = held[y] + cells if y in held else cells
+        for y, cells in held.items():
+            yield given(y, 0, cells)
+
+    usable = df.select(*[F.col(c).cast("int") for c in codes], label).dropna()
+    counts = usable.mapInArrow(count, f"i int, j int, code int, y {kind}, n long").groupBy("i", "j", "code", "y").agg(F.sum("n").alias("n"))
+    total = lambda *k: F.sum("n").over(Window.partitionBy("i", "j", *k))  # noqa: E731  over bins^2 codes and the classes
+    sized = counts.select("i", "j", F.col("n").cast("double").alias("n"), total("code").alias("nx"), total("y").alias("ny"), total().alias("rows"))
+    return sized.groupBy("i", "j").agg(F.sum(F.col("n") / F.col("rows") * F.log(F.col("n") * F.col("rows") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
 def co_information(df: DataFrame, codes: list[str], label: str, bins: int) -> DataFrame:
     """I, j (i < j), coi = I_i + I_j - I_ij; positive for redundancy, negative for synergy."""
-    mi = pair_information(df, codes, label, bins)
-    own = mi.where("i = j").groupBy().pivot("i", list(range(len(codes)))).agg(F.first("mi"))
-    one = own.select(F.array(*[F.col(str(i)) for i in range(len(codes))]).alias("own"))
-    joined = mi.where("i < j").crossJoin(F.broadcast(one))  # one row
-    return joined.select("i", "j", (F.get("own", F.col("i")) + F.get("own", F.col("j")) - F.col("mi")).alias("coi"))
+    mi = stored(pair_information(df, codes, label, bins), "information")
+    own = lambda side: F.broadcast(mi.where("i = j").select(F.col("i").alias(side), F.col("mi").alias(f"of_{side}")))  # noqa: E731  features
+    joined = mi.where("i < j").join(own("i"), "i").join(own("j"), "j")
+    return joined.select("i", "j", (F.col("of_i") + F.col("of_j") - F.col("mi")).alias("coi"))
 
 
 def knn_information(points: np.ndarray, label: np.ndarray, k: int = 3) -> float:
@@ -145,14 +175,7 @@ def knn_co_information(df: DataFrame, features: list[str], label: str, k: int =
     noise = lambda f: F.sqrt(-2 * F.log(uniform(2 * f))) * F.cos(2 * np.pi * uniform(2 * f + 1)) * 1e-10
     x = [(F.col(c).cast("double") - scale[2 * f]) / (scale[2 * f + 1] or 1.0) + noise(f) for f, c in enumerate(features)]
     tree = F.create_map(*[c for t, y in enumerate(classes) for c in (F.lit(y), F.lit(t + 1))])
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/loomlake").rstrip("/")
-
-    def kept(part: DataFrame, name: str) -> DataFrame:
-        path = f"{shared}/loomlake-{name}-{uuid.uuid4().hex}"
-        part.write.parquet(path)
-        return spark.read.parquet(path)
-
-    points = kept(copies.select(F.xxhash64(*every).alias("id"), tree[F.col(label)].alias("t"), F.array(*x).alias("x")), "points")
+    points = stored(copies.select(F.xxhash64(*every).alias("id"), tree[F.col(label)].alias("t"), F.array(*x).alias("x")), "points")
     counts = [n, *sizes.values()]
     leaves = [max(1, min(8192, c // leaf_rows)) for c in counts]
     want = min(1.0, 32 * sum(leaves) / n)
@@ -205,7 +228,7 @@ def knn_co_information(df: DataFrame, features: list[str], label: str, k: int =
 
     cell, key = ["p", "t", "leaf"], ["p", "t", "id", "a", "b"]
     own = deal(True)
-    first = kept(own.groupBy(*cell).applyInPandas(inside, "p int, t int, id long, a double, b double, d array<double>, others array<int>"), "near")
+    first = stored(own.groupBy(*cell).applyInPandas(inside, "p int, t int, id long, a double, b double, d array<double>, others array<int>"), "near")
     asks = first.select(*key, F.explode("others").alias("leaf"))
     more = asks.groupBy(*cell).cogroup(own.groupBy(*cell)).applyInPandas(asked, "p int, t int, id long, a double, b double, d array<double>")
     least = F.array(*[F.lit(min(k, c - 1)) for c in counts])

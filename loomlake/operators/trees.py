@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import at_quantiles, running
+
 DECILES = tuple(i / 10 for i in range(1, 10))
 
 
@@ -69,30 +71,27 @@ def gain_of(n: Column, s: Column, q: Column, nl: Column, sl: Column) -> Column:
 
 def best_stump(df: DataFrame, feature: str, y: str, least: int = 5) -> DataFrame:
     """M1: threshold, gain, n_left over all exact thresholds of a feature: equal values are summed first, then run."""
-    cells = df.groupBy(F.col(feature).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"))
-    running = Window.partitionBy().orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy()
-    run = cells.select("x", F.sum("n").over(running).alias("nl"), F.sum("s").over(running).alias("sl"), F.sum("n").over(all_).alias("n"), F.sum("s").over(all_).alias("s"), F.lead("x").over(Window.partitionBy().orderBy("x")).alias("next"))
+    known = df.where(F.col(feature).isNotNull())
+    cells = known.groupBy(F.col(feature).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"))
+    run = running(cells, [], ["x"], ["n", "s"]).select("x", F.col("run_n").alias("nl"), F.col("run_s").alias("sl"), F.col("all_n").alias("n"), F.col("all_s").alias("s"))
     cut = run.where((F.col("nl") >= least) & (F.col("n") - F.col("nl") >= least)).withColumn("gain", gain_of(F.col("n"), F.col("s"), F.lit(0), F.col("nl"), F.col("sl")))
-    return cut.orderBy(F.desc(F.round("gain", 6)), "x").limit(1).select(((F.col("x") + F.col("next")) / 2).alias("threshold"), "gain", F.col("nl").cast("long").alias("n_left"))
+    best = cut.orderBy(F.desc(F.round("gain", 6)), "x").limit(1)
+    above = known.select(F.col(feature).cast("double").alias("next")).join(F.broadcast(best), F.col("next") > F.col("x"))  # one row
+    return above.groupBy("x", "gain", "nl").agg(F.min("next").alias("next")).select(((F.col("x") + F.col("next")) / 2).alias("threshold"), "gain", F.col("nl").cast("long").alias("n_left"))
 
 
 def split_gains(df: DataFrame, candidates: dict[str, Column], y: str, leaf: Column | None = None, levels: tuple[float, ...] = DECILES, least: int = 5) -> DataFrame:
     """Leaf, candidate, threshold, gain, n, n_left: all thresholds at quantiles of each leaf and candidate.
 
-    Two aggregations whatever the leaves and candidates: exact quantiles, then conditional sums beside them.
+    One aggregation whatever the leaves, candidates and thresholds: rows and sums for each distinct value. Running sums
+    over them give both the exact quantiles and what lies at or below each.
     """
-    rows = df.select((leaf if leaf is not None else F.lit(0)).alias("leaf"), F.col(y).cast("double").alias("y"), *[c.alias(k) for k, c in candidates.items()])
     names = list(candidates)
-    cuts = rows.groupBy("leaf").agg(F.array(*[F.array_distinct(F.percentile(k, F.array(*map(F.lit, levels)))) for k in names]).alias("cuts"))
-    joined = rows.join(F.broadcast(cuts), "leaf")  # a row for each leaf of a model
-    values = F.array(*[F.col(k) for k in names])
-    sides = joined.select("leaf", "y", F.posexplode(F.arrays_zip(values.alias("x"), F.col("cuts").alias("c"))).alias("k", "z"))
-    spread = sides.select("leaf", "y", "k", F.col("z.x").alias("x"), F.explode("z.c").alias("threshold"))
-    left = F.col("x") <= F.col("threshold")
-    sums = spread.groupBy("leaf", "k", "threshold").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"), F.count_if(left).cast("double").alias("nl"), F.sum(F.when(left, F.col("y")).otherwise(0.0)).alias("sl")
-    )
+    values = F.array(*[candidates[k].cast("double") for k in names])
+    rows = df.select((leaf if leaf is not None else F.lit(0)).alias("leaf"), F.col(y).cast("double").alias("y"), F.posexplode(values).alias("k", "x"))
+    cells = rows.where("x is not null").groupBy("leaf", "k", "x").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"))
+    at = at_quantiles(cells, ["leaf", "k"], "x", list(levels), ["n", "s"])
+    sums = at.groupBy("leaf", "k", F.col("quantile").alias("threshold")).agg(F.max("run_n").alias("nl"), F.max_by("run_s", "run_n").alias("sl"), F.max("all_n").alias("n"), F.max("all_s").alias("s"))
     kept = sums.where((F.col("nl") >= least) & (F.col("n") - F.col("nl") >= least))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)
     gain = gain_of(F.col("n"), F.col("s"), F.lit(0), F.col("nl"), F.col("sl"))
@@ -254,6 +253,6 @@ def cross_validate(df: DataFrame, subsets: dict[str, list[tuple[str, ...]]], y:
             t, p = F.col(y).cast("double"), m.predict()
             n, r2 = test.agg(F.count(F.lit(1)), 1 - F.avg((t - p) * (t - p)) / F.var_pop(t)).first()
             rows.append((method, size, k, train.count(), n, r2, sum(bool(x.features) for x in m.nodes.values()), None))
-        except Exception as e:
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:  # a lost executor is no result
             rows.append((method, size, k, None, None, None, None, str(e)[:200]))
     return df.sparkSession.createDataFrame(rows, "method string, max_splits int, fold int, n_train long, n_test long, r2 double, total_splits int, error string")

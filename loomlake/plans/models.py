@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_path
 from ..operators import graph as G
 from ..operators import linalg as L
 from ..operators import trees as T
@@ -211,19 +210,14 @@ def s2(spark, d):
 
 @query("S3_read_examples", "SELECT c_mktsegment AS dataset, c_custkey AS metadata_row_index, c_acctbal AS bal FROM customer")
 def s3(spark, d):
-    from pyspark.sql import SparkSession
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/loomlake"
-    path = f"{shared.rstrip('/')}/loomlake-examples-{uuid.uuid4().hex}"
+    path = new_path(spark, "examples")
     c = table(spark, d, "customer")
     example = F.struct(
         F.to_json(F.struct(F.col("c_acctbal").alias("bal"))).alias("input"), F.col("c_mktsegment").alias("output"), (F.col("c_custkey") % 5).cast("int").alias("metadata_fold"), F.lit("regression").alias("metadata_task_type"), F.lit("tpc").alias("metadata_source"), F.col("c_custkey").alias("metadata_row_index"), F.lit(5).alias("metadata_n_classes")
     )
     sets = c.groupBy("c_mktsegment").agg(F.collect_list(example).alias("examples")).select(F.array(F.struct(F.col("c_mktsegment").alias("dataset"), "examples")).alias("datasets"))
-    N.write_lines(sets, path)
-    docs = SparkSession.active().read.schema(N.DOCUMENT).json(path)
-    rows = docs.select(F.explode("datasets").alias("s")).select("s.dataset", F.explode("s.examples").alias("e")).select("dataset", "e.*")
-    return N.parse_input(rows, ["bal"], lenient=True).select("dataset", "metadata_row_index", "bal")
+    sets.write.option("maxRecordsPerFile", 1).json(path)  # a document is a part
+    return N.parse_input(N.read_examples(spark, path), ["bal"], lenient=True).select("dataset", "metadata_row_index", "bal")
 
 
 @query("S6_planted_table")

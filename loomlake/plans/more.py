@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_path
 from ..functions.tails import sign_test
 from ..operators import clean as C
 from ..operators import graph as G
@@ -36,8 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def shared(spark, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/loomlake"
-    return f"{folder.rstrip('/')}/loomlake-{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 _TRUTH = "truth AS (SELECT i, j, CASE WHEN i = 0 AND j = 1 THEN 'synergy' WHEN j = 3 THEN 'noise' ELSE 'unknown' END AS kind FROM coi)"
@@ -103,7 +101,7 @@ _LEVELS = "[0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]"
 
 @query("M3_split_gains_leafwise", f"WITH b AS (SELECT l_quantity AS x, l_linestatus AS leaf, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), t AS (SELECT leaf, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM b GROUP BY 1), q AS (SELECT DISTINCT leaf, unnest(quantile_cont(x, {_LEVELS})) AS threshold FROM b GROUP BY leaf), g AS (SELECT leaf, threshold, CAST(count(*) FILTER (x <= threshold) AS DOUBLE) AS nl, CAST(coalesce(sum(y) FILTER (x <= threshold), 0) AS DOUBLE) AS sl FROM b JOIN q USING (leaf) GROUP BY ALL) SELECT leaf, threshold, round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, 5) AS gain FROM g JOIN t USING (leaf) WHERE nl >= 2 AND n - nl >= 2")
 def m3(spark, d):
-    t = _binary(spark, d).join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus").distinct(), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    t = table(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("double"))
     gains = T.split_gains(t, {"x": F.col("l_quantity")}, "y", F.col("l_linestatus"), tuple(i / 10 for i in range(2, 9)), 2)
     return rounded(gains.select("leaf", "threshold", "gain"), "gain", digits=5)
 
