@@ -2,52 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests.
-DEFAULT_SHARED = "/tmp/checkpoints/loomlake"
-
-#: Rows that may be broadcast: about 100 bytes each, so 50 MB at most in a driver or executor.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = DEFAULT_SHARED
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomlake-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files behind a frame that stored() returned."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/loomlake-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
+from ..functions.shared import BROADCAST_ROWS, drop_stored, new_path, shared_dir, small_or_merge, stored
 
-def small_or_merge(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose rows were counted and are few; beyond that a sort-merge join, which AQE splits by skew."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= limit else df.hint("merge")
+__all__ = ["BROADCAST_ROWS", "crc_mod", "drop_stored", "new_path", "shared_dir", "small_or_merge", "stored", "whole"]
 
 
 def whole(text: Column) -> Column:
