@@ -45,15 +45,17 @@ def strong_components(edges: DataFrame, nodes: DataFrame, percentile: float = 0.
     """Node, label: the smallest node that edges at or above the percentile reach.
 
     absolute: of the non-zero |weights|; synergy: of -weight where negative; synergy_all: of -weight, zeros included.
-    Labels spread by rounds of minima, each from a checkpoint-free small table: nodes are features.
+    Nodes are features: their links come to the driver, for at most MOST_NODES nodes.
     """
     strength = {"absolute": F.abs(F.col(value)), "synergy": -F.col(value), "synergy_all": F.greatest(-F.col(value), F.lit(0.0))}[mode]
     rows = edges.withColumn("__s", strength)
     rows = rows.where("__s > 0") if mode != "synergy_all" else rows
     cut = rows.agg(F.percentile("__s", F.lit(percentile)).alias("__cut"))
     strong = rows.crossJoin(F.broadcast(cut)).where("__s >= __cut and __s > 0")  # one row
-    links = both_ways(strong, value).select("i", "j").collect()  # features, not rows: bounded by MOST_NODES^2
-    label = {r[0]: r[0] for r in nodes.select("node").collect()}
+    label = {r[0]: r[0] for r in nodes.select("node").limit(MOST_NODES + 1).collect()}
+    if len(label) > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    links = both_ways(strong, value).select("i", "j").collect()  # features, not rows: at most MOST_NODES^2
 
     def find(x: int) -> int:
         while label[x] != x:
@@ -98,13 +100,13 @@ def disagreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def inject_edges(edges: DataFrame, how: str, value: str = "coi", known: DataFrame | None = None) -> DataFrame:
-    """Median: |w| below the median turns positive; shift: the lower quartile is taken off; known: |w| at known pairs."""
+    """Median: |w| for weights above the median; shift: the lower quartile is taken off; known: |w| at known pairs."""
     if how == "known":
         marked = edges.join(known.select("i", "j", F.lit(True).alias("__k")), ["i", "j"], "left")
         return marked.withColumn(value, F.when(F.col("__k"), F.abs(F.col(value))).otherwise(F.col(value))).drop("__k")
-    level = F.percentile(F.abs(F.col(value)), F.lit(0.5)) if how == "median" else F.percentile(value, F.lit(0.25))
+    level = F.percentile(value, F.lit(0.5 if how == "median" else 0.25))
     one = edges.crossJoin(F.broadcast(edges.agg(level.alias("__l"))))  # one row
-    new = F.when(F.abs(F.col(value)) < F.col("__l"), F.abs(F.col(value))).otherwise(F.col(value)) if how == "median" else F.col(value) - F.col("__l")
+    new = F.when(F.col(value) > F.col("__l"), F.abs(F.col(value))).otherwise(F.col(value)) if how == "median" else F.col(value) - F.col("__l")
     return one.withColumn(value, new).drop("__l")
 
 

@@ -85,7 +85,7 @@ def effect_sizes(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, F.col("n").cast("long").alias("n"), dz.alias("dz"), d.alias("d"), (d * pooled_j).alias("g"), (dz * paired_j).alias("g_paired"))
 
 
-def bootstrap_mean(pairs: DataFrame, order: list[str], resamples: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_mean(pairs: DataFrame, order: list[str], resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """ST12: mean, lo, hi of the mean delta's percentile interval. Draws are md5 of (seed, resample, place) modulo n.
 
     The table is one of results, some hundred rows: places are joined to places, so rows meet no other rows.
@@ -100,7 +100,7 @@ def bootstrap_mean(pairs: DataFrame, order: list[str], resamples: int = 200, see
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))
 
 
-def permutation_p(df: DataFrame, x: str, y: str, order: list[str], rounds: int = 100, seed: int = 42) -> DataFrame:
+def permutation_p(df: DataFrame, x: str, y: str, order: list[str], rounds: int = 10_000, seed: int = 42) -> DataFrame:
     """ST13: rho and the share of permutations (md5 order) with a correlation of ranks as great."""
     ranked = df.select(average_rank(x, [], False).alias("x"), average_rank(y, [], False).alias("y"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("i"))
     turns = ranked.select("i", "y", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
@@ -111,6 +111,15 @@ def permutation_p(df: DataFrame, x: str, y: str, order: list[str], rounds: int =
     return each.crossJoin(F.broadcast(rho)).groupBy("rho").agg(F.avg((F.abs("r") >= F.abs("rho") - 1e-12).cast("double")).alias("p"))  # one row
 
 
+def friedman_plain(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
+    """ST2: k, n, chi2 without a correction of ties: 12 n / (k (k + 1)) times the squared gaps of mean ranks to (k + 1) / 2."""
+    ranked = df.withColumn("__r", average_rank(value, [block]))
+    mean = ranked.groupBy(method).agg(F.avg("__r").alias("r"), F.count(F.lit(1)).alias("n"))
+    total = mean.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
+    gaps = F.expr("ss - s * (k + 1) + k * (k + 1) * (k + 1) / 4D")
+    return total.select(F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n"), (F.expr("12D * n / (k * (k + 1))") * gaps).alias("chi2"))
+
+
 def required_n(r: Column, alpha_z: float = 1.96, power_z: float = 0.842) -> Column:
     """ST14: rows for a correlation r to be found."""
     return F.ceil((alpha_z + power_z) ** 2 / (F.atanh(r) * F.atanh(r)) + 3)
@@ -140,7 +149,7 @@ def rope_shares(pairs: DataFrame, keys: list[str], rope: float = 0.01, closed: b
     return pairs.groupBy(*keys).agg(share(~inside & (d < 0)).alias("left"), share(inside).alias("rope"), share(~inside & (d > 0)).alias("right"))
 
 
-def bayesian_signed_rank(pairs: DataFrame, rope: float = 0.01, draws: int = 500, seed: int = 1) -> DataFrame:
+def bayesian_signed_rank(pairs: DataFrame, rope: float = 0.01, draws: int = 10_000, seed: int = 1) -> DataFrame:
     """ST10: left, rope, right: Monte-Carlo shares under a Dirichlet prior with a pseudo-row of 0, for some hundred rows."""
     rows = pairs.select("delta", F.lit(1).alias("all"))
 

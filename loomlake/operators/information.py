@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import stored
 from ..functions.tails import digamma
+from .metrics import kendall_tau, spearman
 
 #: Counts that a task keeps at once.
 CELLS = 1 << 24
@@ -277,25 +278,50 @@ def keep_strongest(edges: DataFrame, share: float, value: str = "coi") -> DataFr
 
 
 def agreement(a: DataFrame, b: DataFrame, keys: list[str], value: str = "coi") -> DataFrame:
-    """One row: pearson of the values and of their absolutes, sign agreement, flips among |a| > .001."""
-    j = a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys)
+    """One row: pearson of the values and of their absolutes, spearman, kendall, sign agreement, and flips
+    among the edges with abs(a) above .001.
+    """
+    j = stored(a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys), "agreement")
     x, y = F.col("x"), F.col("y")
-    return j.agg(
+    one = j.agg(
         F.count(F.lit(1)).alias("n"),
         F.corr("x", "y").alias("pearson"),
         F.corr(F.abs(x), F.abs(y)).alias("pearson_abs"),
         F.avg((F.signum(x) == F.signum(y)).cast("int")).alias("sign_agreement"),
         F.avg(F.when(F.abs(x) > 0.001, (F.signum(x) != F.signum(y)).cast("int"))).alias("sign_flip_rate"),
     )
+    rho, tau = spearman(j, "x", "y", []).select(F.col("rho").alias("spearman")), kendall_tau(j, "x", "y").select(F.col("tau").alias("kendall"))
+    return one.crossJoin(rho).crossJoin(tau)  # one row each
+
+
+def reproducibility(runs: DataFrame, keys: list[str], run: str, value: str = "coi") -> DataFrame:
+    """Keys, cv (deviation over mean, null for means near 0), same_sign: the share of runs with the first run's sign."""
+    rows = runs.withColumn("__sign", F.signum(value))
+    each = rows.groupBy(*keys).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"), F.min_by("__sign", run).alias("first"), F.collect_list("__sign").alias("signs"))
+    same = F.size(F.filter("signs", lambda s: s == F.col("first"))) / F.size("signs")
+    return each.select(*keys, F.when(F.abs("m") > 1e-6, F.col("sd") / F.abs("m")).alias("cv"), same.alias("same_sign"))
+
+
+def mixed_co_information(own: DataFrame, joint: DataFrame) -> DataFrame:
+    """A10: i, j, coi = I_i + I_j - I_ij with single terms (i, mi) by one estimator and joint ones (i, j, mi) by another."""
+    side = lambda c: own.select(F.col("i").alias(c), F.col("mi").alias(f"of_{c}"))
+    return joint.where("i < j").join(F.broadcast(side("i")), "i").join(F.broadcast(side("j")), "j").select("i", "j", (F.col("of_i") + F.col("of_j") - F.col("mi")).alias("coi"))
+
+
+def range_counts(points: DataFrame, key: str, coords: tuple[str, str], radius: str, cell: float) -> DataFrame:
+    """Key, n: other points nearer than the point's own radius by the greater of both gaps.
+
+    Points are dealt to squares of a side ``cell`` and each asks the squares that its radius meets; points with the same
+    place are counted once and weigh as many. Cells and radii of like size keep a square's rows few.
+    """
+    x, y = coords
+    square = lambda c, by=None: F.floor((F.col(c) + by if by is not None else F.col(c)) / cell)
+    there = points.groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__n")).withColumns({"__i": square("__x"), "__j": square("__y")})
+    r = F.col(radius)
+    around = lambda c: F.sequence(square(c, -r), square(c, r))
+    asks = points.select(key, x, y, r.alias("__r"), F.explode(around(x)).alias("__i")).withColumn("__j", F.explode(F.sequence(F.floor((F.col(y) - F.col("__r")) / cell), F.floor((F.col(y) + F.col("__r")) / cell))))
+    near = (F.abs(F.col(x) - F.col("__x")) < F.col("__r")) & (F.abs(F.col(y) - F.col("__y")) < F.col("__r"))
+    found = asks.join(there, ["__i", "__j"]).where(near).groupBy(key).agg(F.sum("__n").alias("__n"))
+    return points.select(key, r.alias("__r")).join(found, key, "left").select(key, (F.coalesce("__n", F.lit(0)) - (F.col("__r") > 0).cast("long")).alias("n"))
 
 
-def batches_of(it: Iterator, n: int) -> Iterator[list]:
-    """Lists of up to n items."""
-    part: list = []
-    for x in it:
-        part.append(x)
-        if len(part) == n:
-            yield part
-            part = []
-    if part:
-        yield part

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .results import average_rank
+from .ranges import running
 
 
 def balanced_accuracy(df: DataFrame, truth: str, prediction: str, keys: list[str]) -> DataFrame:
@@ -21,12 +21,25 @@ def balanced_accuracy(df: DataFrame, truth: str, prediction: str, keys: list[str
 def roc_auc(df: DataFrame, positive: Column, score: str, keys: list[str]) -> DataFrame:
     """Mann-Whitney by average ranks; null with one class. Distinct scores are counted before they are ranked."""
     counts = df.groupBy(*keys, F.col(score).alias("__s")).agg(F.count(F.lit(1)).alias("__n"), F.count_if(positive).alias("__p"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("__rank", F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0))
+    ranked = running(counts, keys, ["__s"], ["__n"]).withColumn("__rank", F.col("run___n") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0))
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("__rank") * F.col("__p")).alias("r"), F.sum("__p").cast("double").alias("p"), F.sum("__n").cast("double").alias("n"))
     return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.expr("(r - p * (p + 1) / 2) / (p * (n - p))")).alias("auc"))
 
 
+def weighted_auc(df: DataFrame, truth: str, scores: dict[str, str], keys: list[str]) -> DataFrame:
+    """For more than two classes: each class against the rest by its own score, weighted by the class's rows.
+
+    scores: a column for each class. Null where a class has no rows, or all of them.
+    """
+    classes = F.array(*[F.struct(F.lit(c).alias("c"), F.col(s).cast("double").alias("s")) for c, s in scores.items()])
+    spread = df.select(*keys, F.col(truth).alias("__t"), F.explode(classes).alias("x")).select(*keys, "__t", F.col("x.c").alias("__c"), F.col("x.s").alias("__score"))
+    each = roc_auc(spread, F.col("__t") == F.col("__c"), "__score", [*keys, "__c"])
+    sizes = spread.where("__t = __c").groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    both = each.join(sizes, [*keys, "__c"], "left").groupBy(*keys)
+    found = both.agg((F.sum(F.col("auc") * F.col("__n")) / F.sum("__n")).alias("auc"), F.count_if(F.col("auc").isNull()).alias("__none"))
+    return found.select(*keys, F.when(F.col("__none") == 0, F.col("auc")).alias("auc"))
+
+
 def r_squared(df: DataFrame, truth: str, prediction: str, keys: list[str]) -> DataFrame:
     """From sums in one pass; null where the truth is constant."""
     y, p = F.col(truth), F.col(prediction)
@@ -68,8 +81,12 @@ def whole_modules(modules: DataFrame, labels: DataFrame, item: str = "feature",
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """Pearson of average ranks."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", average_rank(x, keys, False)).withColumn("__y", average_rank(y, keys, False))
+    """Pearson of average ranks. Distinct values are counted and numbered by ranges; keys aren't null."""
+    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("__vx"), F.col(y).alias("__vy"))
+    for c in ("x", "y"):
+        cells = running(ranked.groupBy(*keys, f"__v{c}").agg(F.count(F.lit(1)).alias("__n")), keys, [f"__v{c}"], ["__n"])
+        place = cells.select(*keys, f"__v{c}", (F.col("run___n") - (F.col("__n") - 1) / F.lit(2.0)).alias(f"__{c}"))
+        ranked = ranked.join(place, [*keys, f"__v{c}"])
     return ranked.groupBy(*keys).agg(F.corr("__x", "__y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def paired(df: DataFrame, method: str, a: str, b: str, keys: list[str], value: str) -> DataFrame:
     """Keys, a, b, delta = b - a for the keys that both methods have; null deltas go."""
@@ -14,6 +16,26 @@ def paired(df: DataFrame, method: str, a: str, b: str, keys: list[str], value: s
     return side(a, "a").join(side(b, "b"), keys).withColumn("delta", F.col("b") - F.col("a")).where("delta is not null")
 
 
+def paired_by_place(df: DataFrame, method: str, a: str, b: str, groups: list[str], order: list[str], value: str) -> DataFrame:
+    """Groups, place, a, b, delta: rows of both methods with the same place in the order; of groups in which the
+    methods have not as many rows there is none.
+    """
+    side = lambda m, name: numbered(df.where(F.col(method) == m), order, "place", groups, f"__n_{name}").select(*groups, "place", f"__n_{name}", F.col(value).alias(name))
+    met = side(a, "a").join(side(b, "b"), [*groups, "place"]).where("__n_a = __n_b")
+    return met.select(*groups, "place", "a", "b", (F.col("b") - F.col("a")).alias("delta"))
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts with the part's number, columns by name."""
+    return reduce(lambda a, b: a.unionByName(b), [p.select(F.lit(i).alias("part"), "*") for i, p in enumerate(parts)])
+
+
+def last_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with the same keys the last in the order, as a table of keys holds it."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return df.withColumn("__r", rank).where("__r = 1").drop("__r")
+
+
 def lookup_last(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Left join to the last row of right for each key; where both have a column the left value counts if not null."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))

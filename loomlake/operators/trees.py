@@ -105,7 +105,7 @@ def best_splits(gains: DataFrame) -> DataFrame:
 
 
 def candidates_for(features: list[str], strategy: str, modules: list[list[str]] | None = None, seed: int = 42, most: int = 50) -> list[tuple[str, ...]]:
-    """Axis: single features; random: also subsets of 2 to 5; modules: also modules and the pairs of small ones."""
+    """Axis: single features; random: also subsets of 2 to 5; modules: also modules and the pairs of small ones."""
     out = [(f,) for f in features]
     if strategy == "random":
         rng = np.random.default_rng(seed)
@@ -117,6 +117,25 @@ def candidates_for(features: list[str], strategy: str, modules: list[list[str]]
     return list(dict.fromkeys(out))
 
 
+def beam_subsets(features: list[str], modules: list[list[str]], beam: int, rounds: int = 1, weights: dict[tuple[str, str], float] | None = None, seed: int = 42) -> list[tuple[str, ...]]:
+    """M7: subsets of ``beam`` features, one a round: a module drawn from those of two and more. Of a larger one the
+    features with the greatest sum of abs weights to the others in it, or without weights drawn ones; a smaller one
+    is filled up with drawn features. Without a module all are drawn.
+    """
+    rng, beam = np.random.default_rng(seed), min(beam, len(features))
+    valid = [m for m in modules if len(m) >= 2]
+    drawn = lambda some, n: rng.choice(sorted(some), n, replace=False).tolist()
+    size = lambda a, b: abs((weights or {}).get((a, b), (weights or {}).get((b, a), 0.0)))
+    out = []
+    for _ in range(rounds):
+        chosen = list(valid[rng.integers(len(valid))]) if valid else []
+        if len(chosen) > beam:
+            chosen = sorted(chosen, key=lambda f: (-sum(size(f, g) for g in chosen if g != f), f))[:beam] if weights else drawn(chosen, beam)  # noqa: B023
+        chosen += drawn(set(features) - set(chosen), beam - len(chosen))
+        out.append(tuple(sorted(chosen)))
+    return list(dict.fromkeys(out))
+
+
 def ridge_direction(df: DataFrame, features: tuple[str, ...], y: str, alphas: tuple[float, ...] = (1.0,)) -> tuple[float, ...]:
     """M4, M5: ridge weights from one aggregation of moments; of several penalties the one with the least GCV error."""
     f = [F.col(x).cast("double") for x in features]
@@ -172,9 +191,13 @@ def grow(df: DataFrame, subsets: list[tuple[str, ...]], y: str, splits: int = 10
     return model
 
 
-def grow_sum(df: DataFrame, subsets: list[tuple[str, ...]], y: str, splits: int = 10, least: int = 5, levels: tuple[float, ...] = DECILES) -> list[Model]:
+def grow_sum(
+    df: DataFrame, subsets: list[tuple[str, ...]], y: str, splits: int = 10, least: int = 5, levels: tuple[float, ...] = DECILES, depth: int | None = None, late_roots: int = 0
+) -> list[Model]:
     """A sum of trees grown jointly: each round scores every leaf of all trees and the root of a new one on
-    the current residuals and takes the greatest gain, of equals the first leaf; a new root comes last.
+    the current residuals and takes the greatest gain, of equals the first leaf; a new root comes last. Leaves at
+    ``depth`` aren't split. With ``late_roots`` (M9: 3) a new root, which starts as the residuals' mean, is opened only
+    when no leaf can be split, so many times in a row at most.
 
     The two new leaves get the means of the residuals in place of their parent's value, as in the surveyed system, and
     at the end the leaves of each tree in turn are set to the means of what the other trees leave. Residuals of all rows
@@ -184,20 +207,26 @@ def grow_sum(df: DataFrame, subsets: list[tuple[str, ...]], y: str, splits: int
     n, total = df.agg(F.count(F.lit(1)), F.sum(t)).first()
     models = [Model({0: Node(0, 0, 0, float(total) / n if n else 0.0, n)})]
     names = {"+".join(s): s for s in subsets}
-    width = 2 * splits + 1
-    for _ in range(splits):
-        open_ = [k * width + i for k, m in enumerate(models) for i, x in m.nodes.items() if not x.features and x.n >= 2 * least]
-        open_ += [len(models) * width] if n >= 2 * least else []
-        if not open_:
+    width, made, tries = 2 * splits + 1, 0, 0
+    while made < splits:
+        open_ = [k * width + i for k, m in enumerate(models) for i, x in m.nodes.items() if not x.features and x.n >= 2 * least and (depth is None or x.depth < depth)]
+        open_ += [len(models) * width] if n >= 2 * least and not late_roots else []
+        if not open_ and not late_roots:
             break
         places = F.array(*[m.leaf_of() + F.lit(k * width) for k, m in enumerate(models)], F.lit(len(models) * width))
         part = df.withColumn("__residual", t - predict_sum(models)).withColumn("__leaf", F.explode(places)).where(F.col("__leaf").isin(open_))
         weights = {(s, i): ridge_direction(part.where(F.col("__leaf") == i), s, "__residual") if len(s) > 1 else (1.0,) for s in subsets for i in open_}
         candidates = {k: F.coalesce(*[F.when(F.col("__leaf") == i, projection(s, weights[s, i])) for i in open_]) if len(s) > 1 else projection(s, (1.0,)) for k, s in names.items()}
-        scored = best_splits(split_gains(part, candidates, "__residual", F.col("__leaf"), levels, least)).collect()
+        scored = best_splits(split_gains(part, candidates, "__residual", F.col("__leaf"), levels, least)).collect() if open_ else []
         best = max(scored, key=lambda r: (round(r["gain"], 9), -r["leaf"]), default=None)
         if best is None or best["gain"] <= 1e-10:
-            break
+            tries += 1
+            if tries > late_roots:
+                break
+            k = len(models)
+            models.append(Model({0: Node(k, 0, 0, float(df.agg(F.avg(t - predict_sum(models))).first()[0] or 0.0), n)}))
+            continue
+        made, tries = made + 1, 0
         k, leaf = divmod(best["leaf"], width)
         if k == len(models):
             models.append(Model({0: Node(k, 0, 0, 0.0, n)}))
@@ -226,16 +255,49 @@ def to_class(p: Column, closed: bool = True) -> Column:
     return (p >= 0.5 if closed else p > 0.5).cast("int")
 
 
-def one_vs_rest(df: DataFrame, subsets: list[tuple[str, ...]], y: str, classes: list, splits: int, **options) -> Column:
-    """The class whose tree scores most; the budget of splits is shared, of equals the first class wins."""
-    scores = []
-    for c in classes:
-        m = grow(df.withColumn("__one", (F.col(y) == F.lit(c)).cast("double")), subsets, "__one", max(1, splits // len(classes)), **options)
-        scores.append(m.predict())
+def one_vs_rest_scores(df: DataFrame, subsets: list[tuple[str, ...]], y: str, classes: list, splits: int, **options) -> list[Column]:
+    """The score of a tree for each class against the rest; the budget of splits is shared."""
+    one = lambda c: df.withColumn("__one", (F.col(y) == F.lit(c)).cast("double"))
+    return [grow(one(c), subsets, "__one", max(1, splits // len(classes)), **options).predict() for c in classes]
+
+
+def top_class(scores: list[Column], classes: list) -> Column:
+    """The class with the greatest score, of equals the first."""
     every = F.array(*scores)
     return F.element_at(F.array(*map(F.lit, classes)), F.array_position(every, F.array_max(every)).cast("int"))
 
 
+def softmax(scores: list[Column]) -> list[Column]:
+    """Probabilities of the classes, from the scores less their greatest one."""
+    top = F.greatest(*scores)
+    total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
+    return [F.exp(s - top) / total for s in scores]
+
+
+def one_vs_rest(df: DataFrame, subsets: list[tuple[str, ...]], y: str, classes: list, splits: int, **options) -> Column:
+    """The predicted class."""
+    return top_class(one_vs_rest_scores(df, subsets, y, classes, splits, **options), classes)
+
+
+def baseline(df: DataFrame, features: list[str], y: str, kind: str, trees: int = 100, seed: int = 42):
+    """A fitted Spark ML model: ridge (penalty 1 on the sum of squares), logistic (C = 1, 1000 rounds) or forest.
+
+    ``y`` holds numbers, for logistic and forest classes from 0. Penalties follow the row count, as those models scale theirs by it.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    n = max(1, df.count())
+    models = {
+        "ridge": lambda: LinearRegression(featuresCol="__x", labelCol=y, regParam=1.0 / n, standardization=False, solver="normal"),
+        "logistic": lambda: LogisticRegression(featuresCol="__x", labelCol=y, regParam=1.0 / n, standardization=False, maxIter=1000),
+        "forest": lambda: RandomForestClassifier(featuresCol="__x", labelCol=y, numTrees=trees, seed=seed),
+    }
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), models[kind]()]).fit(df)
+
+
 def complexity(nodes: DataFrame) -> DataFrame:
     """n_splits, mean and greatest arity (weights beyond 1e-10), mean leaf depth."""
     inner = F.size("features") > 0

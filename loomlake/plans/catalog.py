@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import models, more, results, tabular
+from . import extra, models, more, results, tabular
 
-_PARTS = (tabular, results, models, more)
+_PARTS = (tabular, results, models, more, extra)
 
 
 def queries() -> dict:

@@ -67,6 +67,20 @@ mi AS (SELECT i, j, sum(n / t * ln(n * t / (nx * ny))) AS mi FROM (SELECT i, j,
 COI = MI + ", coi AS (SELECT m.i, m.j, a.mi + b.mi - m.mi AS coi FROM mi m JOIN mi a ON a.i = m.i AND a.j = m.i JOIN mi b ON b.i = m.j AND b.j = m.j WHERE m.i < m.j)"
 
 
+def coi_of(codes: str, name: str) -> str:
+    """The co-information of another table of codes, as a table of that name."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, b{i} * 10 + b{j} AS code, label AS y FROM {codes}" for i in range(4) for j in range(i, 4))
+    return f"""{name}_cells AS (SELECT i, j, code, y, count(*) AS n FROM ({cells}) GROUP BY ALL),
+{name}_mi AS (SELECT i, j, sum(n / t * ln(n * t / (nx * ny))) AS mi FROM (SELECT i, j, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY i, j, code) AS DOUBLE) AS nx,
+    CAST(sum(n) OVER (PARTITION BY i, j, y) AS DOUBLE) AS ny, CAST(sum(n) OVER (PARTITION BY i, j) AS DOUBLE) AS t FROM {name}_cells) GROUP BY i, j),
+{name} AS (SELECT m.i, m.j, a.mi + b.mi - m.mi AS coi FROM {name}_mi m JOIN {name}_mi a ON a.i = m.i AND a.j = m.i JOIN {name}_mi b ON b.i = m.j AND b.j = m.j WHERE m.i < m.j)"""
+
+
+_EDGES = ", ".join(f"list_sort(list_distinct(quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e{i}" for i, c in enumerate(FEATURES))
+#: Codes by quantile bins.
+QUANTILE_CODES = f"quantile_codes AS (SELECT l_returnflag AS label, {', '.join(f'CAST(len(list_filter(e{i}[2:-2], lambda v: v <= {c})) AS INTEGER) AS b{i}' for i, c in enumerate(FEATURES))} FROM lineitem, (SELECT {_EDGES} FROM lineitem))"
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.information import co_information
 

@@ -11,7 +11,7 @@ from ..operators import trees as T
 from ..operators.metrics import r_squared
 from ..sources import nested as N
 from ..sources import synthetic
-from .inputs import COI, FEATURES, edges, matrix, rounded, runs, table
+from .inputs import COI, FEATURES, RUNS, edges, matrix, rounded, runs, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -61,7 +61,7 @@ def g15(spark, d):
     return G.disagreement(n.select("node", (F.col("node") % 5).alias("label")), n.select("node", F.col("n_regionkey").alias("label")))
 
 
-@query("G16_inject_edges", f"WITH {COI}, m AS (SELECT quantile_cont(abs(coi), 0.5) AS l FROM coi) SELECT i, j, round(CASE WHEN abs(coi) < l THEN abs(coi) ELSE coi END, 6) AS coi FROM coi, m")
+@query("G16_inject_edges", f"WITH {COI}, m AS (SELECT quantile_cont(coi, 0.5) AS l FROM coi) SELECT i, j, round(CASE WHEN coi > l THEN abs(coi) ELSE coi END, 6) AS coi FROM coi, m")
 def g16(spark, d):
     return rounded(G.inject_edges(edges(spark, d), "median"), "coi")
 
@@ -194,11 +194,7 @@ def m18(spark, d):
 
 @query("M16_baseline_ridge")
 def m16(spark, d):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    df = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(_binary(spark, d))
-    m = LinearRegression(featuresCol="x", labelCol="y", regParam=0.01).fit(df)
+    m = T.baseline(_binary(spark, d), FEATURES, "y", "ridge").stages[-1]
     return spark.createDataFrame([(round(m.summary.r2, 6), round(m.intercept, 6))], "r2 double, intercept double")
 
 
@@ -234,6 +230,6 @@ def s7(spark, d):
     return N.tidy_results(nested).select("dataset", "method", "fold", "score")
 
 
-@query("S13_nested_results")
+@query("S13_nested_results", f"WITH {RUNS} SELECT dataset, method, CAST(count(*) AS INTEGER) AS n FROM runs GROUP BY ALL")
 def s13(spark, d):
     return N.nested_results(runs(spark, d).select("dataset", "method", "fold", "max_splits", "score"), ["dataset", "method"]).select("dataset", "method", F.size("rows").alias("n"))

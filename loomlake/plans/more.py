@@ -17,7 +17,7 @@ from ..operators import results as R
 from ..operators import trees as T
 from ..sources import nested as N
 from ..sources import synthetic
-from .inputs import COI, FEATURES, METHOD_MEANS, RUNS, coded, edges, matrix, means, rounded, runs, table
+from .inputs import COI, FEATURES, METHOD_MEANS, RUNS, coded, coi_of, edges, matrix, means, rounded, runs, table
 from .results import PAIRS, pairs
 
 Q: dict = {}
@@ -48,12 +48,18 @@ def a12(spark, d):
     return rounded(e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("coi").alias("mean_coi"), F.avg((F.col("coi") < 0).cast("double")).alias("share_negative")), "mean_coi")
 
 
-@query("A15_reproducibility")
+def _seed(k: int) -> str:
+    return f"p{k} AS (SELECT * FROM codes ORDER BY md5('{k}|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey LIMIT 2000), {coi_of(f'p{k}', f'c{k}')}"
+
+
+@query(
+    "A15_reproducibility",
+    f"WITH {COI}, {_seed(1)}, {_seed(2)}, {_seed(3)}, u AS (SELECT 1 AS seed, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3), f AS (SELECT *, first_value(sign(coi)) OVER (PARTITION BY i, j ORDER BY seed) AS s FROM u) SELECT i, j, round(CASE WHEN abs(avg(coi)) > 1e-6 THEN stddev_pop(coi) / abs(avg(coi)) END, 6) AS cv, round(avg(CASE WHEN sign(coi) = s THEN 1.0 ELSE 0.0 END), 6) AS same_sign FROM f GROUP BY i, j",
+)
 def a15(spark, d):
     parts = [I.co_information(C.uniform_sample(coded(spark, d), ["l_orderkey", "l_linenumber", "l_partkey"], 2000, seed), FEATURES, "label", 10).withColumn("seed", F.lit(seed)) for seed in (1, 2, 3)]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    by = every.groupBy("i", "j").agg(F.avg("coi").alias("m"), F.stddev_pop("coi").alias("sd"))
-    return rounded(by.select("i", "j", F.when(F.abs("m") > 1e-6, F.col("sd") / F.abs("m")).alias("cv")), "cv")
+    return rounded(I.reproducibility(every, ["i", "j"], "seed"), "cv", "same_sign")
 
 
 @query("A32_interaction_term", "SELECT l_orderkey, l_linenumber, l_partkey, sign(l_quantity - 25) * sign(l_discount - 0.05) AS xor, CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN 1.0 ELSE -1.0 END AS both_high FROM lineitem")
@@ -96,6 +102,8 @@ def _binary(spark, d):
     return matrix(spark, d).withColumn("y", (F.col("label") == "R").cast("double"))
 
 
+_MOMENTS = "m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM b), g AS (SELECT 1 + sum((a - ma) * (a - ma)) AS aa, 1 + sum((b - mb) * (b - mb)) AS bb, 1 + sum((c - mc) * (c - mc)) AS cc, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (c - mc)) AS ac, sum((b - mb) * (c - mc)) AS bc, sum((a - ma) * (y - my)) AS ya, sum((b - mb) * (y - my)) AS yb, sum((c - mc) * (y - my)) AS yc FROM b, m)"
+_DETERMINANT = "aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac)"
 _LEVELS = "[0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]"
 
 
@@ -106,7 +114,13 @@ def m3(spark, d):
     return rounded(gains.select("leaf", "threshold", "gain"), "gain", digits=5)
 
 
-@query("M4_ridge_direction")
+@query(
+    "M4_ridge_direction",
+    f"""WITH b AS (SELECT CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b, CAST(l_discount AS DOUBLE) AS c, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), {_MOMENTS}
+SELECT 'l_quantity' AS feature, round((ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc)) / ({_DETERMINANT}), 6) AS weight FROM g
+UNION ALL SELECT 'l_extendedprice', round((aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac)) / ({_DETERMINANT}), 6) FROM g
+UNION ALL SELECT 'l_discount', round((aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)) / ({_DETERMINANT}), 6) FROM g""",
+)
 def m4(spark, d):
     w = T.ridge_direction(_binary(spark, d), tuple(FEATURES[:3]), "y")
     return spark.createDataFrame([(f, round(x, 6)) for f, x in zip(FEATURES, w, strict=False)], "feature string, weight double")
@@ -189,10 +203,10 @@ def st17(spark, d):
     return pairs(spark, d).groupBy("dataset").agg(F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") < 0).alias("losses"))
 
 
-@query("ST17_sign_test_p")
+@query("ST17_sign_test_p", f"WITH {PAIRS}, w AS (SELECT dataset, count(*) FILTER (delta > 0) AS w, count(*) FILTER (delta < 0) AS l FROM pairs GROUP BY 1) SELECT dataset, round(least(1.0, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda i: exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1)))) / power(2.0, w + l)), 6) AS p FROM w")
 def st17p(spark, d):
     rows = st17(spark, d).collect()  # a row for each dataset
-    return spark.createDataFrame([(r["dataset"], sign_test(r["wins"], r["losses"])) for r in rows], "dataset string, p double")
+    return rounded(spark.createDataFrame([(r["dataset"], sign_test(r["wins"], r["losses"])) for r in rows], "dataset string, p double"), "p")
 
 
 @query("ST18_claims", f"WITH {METHOD_MEANS} SELECT dataset, count(*) FILTER (abs(0.42 - score) / abs(0.42) / 0.02 <= 1) AS n_match, count(*) AS n FROM means GROUP BY 1")
@@ -203,9 +217,16 @@ def st18(spark, d):
     return means(spark, d).groupBy("dataset").agg(F.count_if(status == "MATCH").alias("n_match"), F.count(F.lit(1)).alias("n"))
 
 
-@query("U6_distinct_subsets", "SELECT user_id, list_sort(list_distinct(list(event_type))) AS kinds FROM events GROUP BY 1")
+@query("U6_distinct_subsets", "WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) SELECT user_id, list(event_type ORDER BY first) AS kinds FROM f GROUP BY 1")
 def u6(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.array_distinct(F.collect_list("event_type"))).alias("kinds"))
+    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))  # one for each, so lists are short
+    return first.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("first", "event_type")))["event_type"].alias("kinds"))
+
+
+@query("U2_stacked_parts", "SELECT 0 AS part, o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def u2(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    return R.stacked([o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0")])
 
 
 @query("O5_top_gaps", f"WITH {RUNS}, m AS (SELECT method, avg(arity) AS v FROM runs GROUP BY 1), g AS (SELECT method, v - lag(v) OVER (ORDER BY v) AS gap FROM m) SELECT method, round(gap, 6) AS gap FROM g WHERE gap IS NOT NULL ORDER BY gap DESC LIMIT 3")

@@ -38,6 +38,21 @@ def j1(spark, d):
     return rounded(pairs(spark, d), "delta")
 
 
+@query(
+    "J2_paired_by_place",
+    f"WITH {RUNS}, s AS (SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY score, max_splits, fold) - 1 AS place, count(*) OVER (PARTITION BY dataset, method) AS c FROM runs WHERE NOT (dataset = 'P' AND method = '{A}' AND fold = 0)) SELECT dataset, a.place, a.score AS a, b.score AS b, round(b.score - a.score, 6) AS delta FROM (SELECT * FROM s WHERE method = '{A}') a JOIN (SELECT * FROM s WHERE method = '{B}') b USING (dataset, place, c)",
+)
+def j2(spark, d):
+    r = runs(spark, d).where(~((F.col("dataset") == "P") & (F.col("method") == A) & (F.col("fold") == 0)))  # one dataset's counts differ
+    return rounded(R.paired_by_place(r, "method", A, B, ["dataset"], ["score", "max_splits", "fold"], "score"), "delta")
+
+
+@query("J3_paired_last", f"WITH {RUNS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, method, fold ORDER BY max_splits DESC) AS r FROM runs) WHERE r = 1) SELECT dataset, fold, a.score AS a, b.score AS b, round(b.score - a.score, 6) AS delta FROM (SELECT * FROM l WHERE method = '{A}') a JOIN (SELECT * FROM l WHERE method = '{B}') b USING (dataset, fold)")
+def j3(spark, d):
+    last = R.last_of_key(runs(spark, d), ["dataset", "method", "fold"], ["max_splits"])
+    return rounded(R.paired(last, "method", A, B, ["dataset", "fold"], "score"), "delta")
+
+
 @query(
     "J4_lookup_last",
     "WITH l AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT c_custkey, event_type, value FROM customer LEFT JOIN (SELECT user_id AS c_custkey, event_type, value FROM l WHERE r = 1) USING (c_custkey)",
@@ -377,6 +392,16 @@ def st1(spark, d):
     return rounded(H.friedman(b, "block", "method", "score").drop("p"), "chi2", "kendall_w", "critical_distance")
 
 
+@query(
+    "ST2_friedman_plain",
+    f"""WITH {RUNS}, b AS (SELECT dataset || '/' || max_splits || '/' || fold AS block, method, score FROM runs), r AS (SELECT block, method, rank() OVER (PARTITION BY block ORDER BY score DESC) + (count(*) OVER (PARTITION BY block, score) - 1) / 2.0 AS r FROM b),
+m AS (SELECT method, avg(r) AS r, count(*) AS n FROM r GROUP BY 1) SELECT CAST(count(*) AS INTEGER) AS k, CAST(max(n) AS INTEGER) AS n, round(12.0 * max(n) / (count(*) * (count(*) + 1)) * sum(power(r - (SELECT count(*) + 1 FROM m) / 2.0, 2)), 6) AS chi2 FROM m""",
+)
+def st2(spark, d):
+    b = runs(spark, d).withColumn("block", F.concat_ws("/", "dataset", "max_splits", "fold"))
+    return rounded(H.friedman_plain(b, "block", "method", "score"), "chi2")
+
+
 @query("ST1_friedman_p")
 def st1p(spark, d):
     b = runs(spark, d).withColumn("block", F.concat_ws("/", "dataset", "max_splits", "fold"))
@@ -427,14 +452,20 @@ def st11(spark, d):
 @query(
     "ST12_bootstrap",
     f"""WITH {PAIRS}, p AS (SELECT delta, row_number() OVER (ORDER BY dataset, max_splits, fold) - 1 AS i, count(*) OVER () AS n FROM pairs),
-d AS (SELECT b, CAST('0x' || left(md5('42|' || b || '|' || i), 8) AS BIGINT) % n AS i FROM p, (SELECT unnest(range(0, 200)) AS b)), m AS (SELECT b, avg(delta) AS m FROM d JOIN p USING (i) GROUP BY 1)
+d AS (SELECT b, CAST('0x' || left(md5('42|' || b || '|' || i), 8) AS BIGINT) % n AS i FROM p, (SELECT unnest(range(0, 10000)) AS b)), m AS (SELECT b, avg(delta) AS m FROM d JOIN p USING (i) GROUP BY 1)
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""",
 )
 def st12(spark, d):
     return rounded(H.bootstrap_mean(pairs(spark, d), ["dataset", "max_splits", "fold"]), "mean", "lo", "hi")
 
 
-@query("ST13_permutation_p")
+_PERMUTED = f"""WITH {METHOD_MEANS}, r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS x, rank() OVER (ORDER BY arity) + (count(*) OVER (PARTITION BY arity) - 1) / 2.0 AS y,
+    row_number() OVER (ORDER BY dataset, method) - 1 AS i FROM means), t AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY md5('42|' || b || '|' || i)) - 1 AS i FROM r, (SELECT unnest(range(0, 10000)) AS b)),
+c AS (SELECT b, corr(CAST(r.x AS DOUBLE), CAST(t.y AS DOUBLE)) AS c FROM t JOIN r USING (i) GROUP BY 1), o AS (SELECT corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)) AS rho FROM r)
+SELECT round(rho, 6) AS rho, round(avg(CASE WHEN abs(c) >= abs(rho) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p FROM c, o GROUP BY rho"""
+
+
+@query("ST13_permutation_p", _PERMUTED)
 def st13(spark, d):
     return rounded(H.permutation_p(means(spark, d), "score", "arity", ["dataset", "method"]), "rho", "p")
 

@@ -8,7 +8,7 @@ from ..functions import scalar as S
 from ..operators import clean as C
 from ..operators import information as I
 from ..operators import metrics as M
-from .inputs import CODES, COI, FEATURES, KEYS, MI, bin_sql, coded, edges, matrix, rounded, runs, table
+from .inputs import COI, FEATURES, KEYS, MI, QUANTILE_CODES, bin_sql, coded, coi_of, edges, matrix, rounded, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -207,16 +207,28 @@ def p23(spark, d):
     return rounded(I.keep_strongest(edges(spark, d), 0.5), "coi")
 
 
-@query("A13_estimator_agreement")
+_AGREED = ["pearson", "pearson_abs", "spearman", "kendall", "sign_agreement", "sign_flip_rate"]
+_AGREE = """j AS (SELECT a.coi AS x, b.coi AS y FROM coi a JOIN other b USING (i, j)), rk AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM j),
+kt AS (SELECT sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))) AS tau FROM j p, j q)
+SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(abs(x), abs(y)), 6) AS pearson_abs, round(corr(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)), 6) AS spearman, round(max(tau), 6) AS kendall,
+    round(avg(CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END), 6) AS sign_agreement, round(avg(CASE WHEN abs(x) > 0.001 THEN CASE WHEN sign(x) <> sign(y) THEN 1.0 ELSE 0.0 END END), 6) AS sign_flip_rate FROM rk, kt"""
+
+
+@query("A13_estimator_agreement", f"WITH {COI}, {QUANTILE_CODES}, {coi_of('quantile_codes', 'other')}, {_AGREE}")
 def a13(spark, d):
     quantile = I.co_information(C.quantile_bins(matrix(spark, d), FEATURES, 10), FEATURES, "label", 10)
-    return rounded(I.agreement(edges(spark, d), quantile, ["i", "j"]), "pearson", "pearson_abs", "sign_agreement", "sign_flip_rate")
+    return rounded(I.agreement(edges(spark, d), quantile, ["i", "j"]), *_AGREED)
+
 
+_PART = f"""s AS (SELECT label, count(*) AS c FROM codes GROUP BY 1), f AS (SELECT *, 2000.0 * c / sum(c) OVER () AS sh, floor(2000.0 * c / sum(c) OVER ()) AS fl FROM s),
+q AS (SELECT label, fl + CASE WHEN row_number() OVER (ORDER BY round(sh - fl, 9) DESC, label) <= 2000 - sum(fl) OVER () THEN 1 ELSE 0 END AS quota FROM f),
+part AS (SELECT * FROM (SELECT codes.*, quota, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), {K}) AS r FROM codes JOIN q USING (label)) WHERE r <= quota)"""
 
-@query("A14_subsample_stability")
+
+@query("A14_subsample_stability", f"WITH {COI}, {_PART}, {coi_of('part', 'other')}, {_AGREE}")
 def a14(spark, d):
     part = C.stratified_sample(coded(spark, d), "label", KEYS, 2000)
-    return rounded(I.agreement(edges(spark, d), I.co_information(part, FEATURES, "label", 10), ["i", "j"]), "pearson", "pearson_abs", "sign_agreement", "sign_flip_rate")
+    return rounded(I.agreement(edges(spark, d), I.co_information(part, FEATURES, "label", 10), ["i", "j"]), *_AGREED)
 
 
 @query("A8_knn_co_information")
@@ -240,6 +252,20 @@ def a17(spark, d):
     return rounded(M.roc_auc(table(spark, d, "lineitem"), F.col("l_returnflag") == "R", "l_extendedprice", ["l_linestatus"]), "auc")
 
 
+_ONE = " UNION ALL ".join(f"SELECT '{c}' AS c, l_linestatus AS g, l_returnflag = '{c}' AS pos, CAST({s} AS DOUBLE) AS s FROM lineitem" for c, s in (("A", "l_extendedprice"), ("N", "l_quantity"), ("R", "l_discount")))
+
+
+@query(
+    "A17_weighted_auc",
+    f"""WITH o AS ({_ONE}), r AS (SELECT c, g, pos, rank() OVER (PARTITION BY c, g ORDER BY s) + (count(*) OVER (PARTITION BY c, g, s) - 1) / 2.0 AS rk FROM o),
+a AS (SELECT c, g, sum(CASE WHEN pos THEN rk ELSE 0 END) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY ALL)
+SELECT g AS l_linestatus, CASE WHEN bool_and(p > 0 AND p < n) THEN round(sum(CASE WHEN p > 0 AND p < n THEN (r - p * (p + 1) / 2) / (p * (n - p)) * p END) / sum(p), 6) END AS auc FROM a GROUP BY 1""",
+)
+def a17w(spark, d):
+    scores = {"A": "l_extendedprice", "N": "l_quantity", "R": "l_discount"}
+    return rounded(M.weighted_auc(table(spark, d, "lineitem"), "l_returnflag", scores, ["l_linestatus"]), "auc")
+
+
 @query("A18_r_squared", "SELECT l_returnflag, round(1 - sum(power(l_extendedprice - l_quantity * 2000, 2)) / (count(*) * var_pop(l_extendedprice)), 6) AS r2 FROM lineitem GROUP BY 1")
 def a18(spark, d):
     t = table(spark, d, "lineitem").withColumn("p", F.col("l_quantity") * 2000)
@@ -281,7 +307,13 @@ def a21(spark, d):
     return M.whole_modules(n.select(F.col("n_regionkey").alias("module"), F.col("n_nationkey").alias("feature")), n.select(F.col("n_nationkey").alias("feature"), (F.col("n_nationkey") % 3).alias("label")))
 
 
-@query("A22_silhouette")
+_SILHOUETTE = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), c AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id GROUP BY ALL),
+m AS (SELECT vec_id, own, max(CASE WHEN own = other THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM p JOIN c ON c.label = p.other GROUP BY ALL)
+SELECT round(sum(CASE WHEN c.n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) / count(*), 6) AS silhouette FROM m JOIN c ON c.label = m.own"""
+
+
+@query("A22_silhouette", _SILHOUETTE)
 def a22(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return rounded(M.silhouette(e, "label", "v", "vec_id"), "silhouette")
@@ -297,6 +329,6 @@ def a31(spark, d):
     return rounded(M.spearman(table(spark, d, "orders"), "o_totalprice", "o_custkey", ["o_orderstatus"]), "rho")
 
 
-@query("A31_kendall_tau", "WITH n AS (SELECT s_suppkey AS k, s_acctbal AS x, s_nationkey AS y FROM supplier WHERE s_suppkey <= 100) SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(sign(a.x - b.x) * sign(a.x - b.x)) * sum(sign(a.y - b.y) * sign(a.y - b.y))), 6) AS tau FROM n a JOIN n b ON a.k < b.k")
+@query("A31_kendall_tau", "WITH n AS (SELECT s_suppkey AS k, s_acctbal AS x, s_nationkey AS y FROM supplier) SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(sign(a.x - b.x) * sign(a.x - b.x)) * sum(sign(a.y - b.y) * sign(a.y - b.y))), 6) AS tau FROM n a JOIN n b ON a.k < b.k")
 def a31k(spark, d):
     return rounded(M.kendall_tau(table(spark, d, "supplier"), "s_acctbal", "s_nationkey"), "tau")

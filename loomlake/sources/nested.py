@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 EXAMPLE = (
     "input string, output string, metadata_fold int, metadata_task_type string, metadata_source string, metadata_row_index bigint, metadata_n_classes int"
 )
@@ -73,6 +75,28 @@ def write_parts(df: DataFrame, path: str, order: str, rows: int) -> None:
     df.repartitionByRange(n, order).sortWithinPartitions(order).write.mode("overwrite").option("maxRecordsPerFile", rows).json(path)
 
 
+def byte_parts(df: DataFrame, dataset: str, order: list[str], most: int, overhead: int = 50) -> DataFrame:
+    """Df with part: datasets follow one another into parts of fewer than ``most`` bytes of JSON; a dataset that is
+    larger by itself has parts of its own, of ``rows // (bytes // most + 1)`` rows each.
+
+    Only a size for each dataset comes to the driver; rows are numbered within their dataset by ranges.
+    """
+    sizes = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns))) + 1).alias("bytes")).orderBy(dataset).collect()
+    first, chunk, part, used = {}, {}, 0, overhead
+    for name, n, size in sizes:
+        if used + size >= most and used > overhead:
+            part, used = part + 1, overhead
+        first[name] = part
+        if overhead + size < most:
+            used += size
+        else:
+            chunk[name] = max(1, n // (size // most + 1))
+            part += -(-n // chunk[name])
+    lookup = lambda d, kind: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col(dataset)] if d else F.lit(None).cast(kind)
+    places = numbered(df, order, "__place", [dataset])
+    return places.withColumn("part", (lookup(first, "int") + F.coalesce(F.floor(F.col("__place") / lookup(chunk, "int")), F.lit(0))).cast("int")).drop("__place")
+
+
 def write_by_dataset(df: DataFrame, path: str, column: str = "dataset") -> None:
     """A checkpoint that a later run reads by dataset."""
     df.write.mode("overwrite").partitionBy(column).parquet(path)
