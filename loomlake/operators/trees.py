@@ -279,19 +279,23 @@ def one_vs_rest(df: DataFrame, subsets: list[tuple[str, ...]], y: str, classes:
     return top_class(one_vs_rest_scores(df, subsets, y, classes, splits, **options), classes)
 
 
+def ridge_line(df: DataFrame, features: tuple[str, ...], y: str, alpha: float = 1.0) -> tuple[tuple[float, ...], float]:
+    """Weights and intercept of a ridge regression, the penalty on the sum of squares, from two aggregations."""
+    weights = ridge_direction(df, features, y, (alpha,))
+    return weights, float(df.agg(F.avg(F.col(y).cast("double") - projection(features, weights))).first()[0])
+
+
 def baseline(df: DataFrame, features: list[str], y: str, kind: str, trees: int = 100, seed: int = 42):
-    """A fitted Spark ML model: ridge (penalty 1 on the sum of squares), logistic (C = 1, 1000 rounds) or forest.
+    """A fitted Spark ML pipeline: logistic (C = 1, 1000 rounds) or forest; ``y`` holds classes from 0.
 
-    ``y`` holds numbers, for logistic and forest classes from 0. Penalties follow the row count, as those models scale theirs by it.
+    The logistic penalty is 1 on the sum of losses, so it is divided by the rows here.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
     n = max(1, df.count())
     models = {
-        "ridge": lambda: LinearRegression(featuresCol="__x", labelCol=y, regParam=1.0 / n, standardization=False, solver="normal"),
         "logistic": lambda: LogisticRegression(featuresCol="__x", labelCol=y, regParam=1.0 / n, standardization=False, maxIter=1000),
         "forest": lambda: RandomForestClassifier(featuresCol="__x", labelCol=y, numTrees=trees, seed=seed),
     }

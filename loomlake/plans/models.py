@@ -194,8 +194,10 @@ def m18(spark, d):
 
 @query("M16_baseline_ridge")
 def m16(spark, d):
-    m = T.baseline(_binary(spark, d), FEATURES, "y", "ridge").stages[-1]
-    return spark.createDataFrame([(round(m.summary.r2, 6), round(m.intercept, 6))], "r2 double, intercept double")
+    df = _binary(spark, d)
+    weights, intercept = T.ridge_line(df, tuple(FEATURES), "y")
+    line = df.withColumn("p", T.projection(tuple(FEATURES), weights) + intercept).withColumn("all", F.lit(1))
+    return rounded(r_squared(line, "y", "p", ["all"]).select("r2", F.lit(intercept).alias("intercept")), "r2", "intercept")
 
 
 @query("S2_read_lines", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

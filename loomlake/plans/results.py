@@ -402,7 +402,13 @@ def st2(spark, d):
     return rounded(H.friedman_plain(b, "block", "method", "score"), "chi2")
 
 
-@query("ST1_friedman_p")
+#: With five methods there are four degrees of freedom, whose tail has a closed form.
+_FRIEDMAN_P = f"""WITH {RUNS}, b AS (SELECT dataset || '/' || max_splits || '/' || fold AS block, method, score FROM runs), r AS (SELECT block, method, rank() OVER (PARTITION BY block ORDER BY score DESC) + (count(*) OVER (PARTITION BY block, score) - 1) / 2.0 AS r FROM b),
+t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM r GROUP BY block, r)), s AS (SELECT sum(s * s) AS ss, max(n) AS n, CAST(count(*) AS DOUBLE) AS k FROM (SELECT CAST(sum(r) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY method)),
+x AS (SELECT (12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS c FROM s, t) SELECT round(c, 6) AS chi2, round(exp(-c / 2) * (1 + c / 2), 6) AS p FROM x"""
+
+
+@query("ST1_friedman_p", _FRIEDMAN_P)
 def st1p(spark, d):
     b = runs(spark, d).withColumn("block", F.concat_ws("/", "dataset", "max_splits", "fold"))
     return rounded(H.friedman(b, "block", "method", "score").select("chi2", "p"), "chi2", "p")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import quantile_bins, stratified_folds
+from ..operators.clean import equi_width, quantile_bins, stratified_folds
 from ..operators.information import pair_information
 
 
@@ -111,7 +111,7 @@ def variant(spark: SparkSession, name: str, rows: int | None = None, seed: int =
 
 def validate_variant(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
     """Check, item, value, ok: counts, class balance, information of xor members and noise (none), of each module's
-    term (some), and correlation of copies. Information is of quantile bins, whose bias is taken off the bounds.
+    term (some), and correlation of copies. Information is of binned values, whose bias is taken off the bounds.
     """
     v = VARIANTS[name]
     n, balance = df.agg(F.count(F.lit(1)), F.avg("output")).first()
@@ -121,7 +121,7 @@ def validate_variant(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
     terms = {f"T{m}": term(kind, members) for m, (kind, members, _) in enumerate(v.modules)}
     names = [f"X{i}" for i in [*xor, *noise]]
     wide = df.select("output", *names, *[F.col(f"X{i}") for i in {i for p in v.copies for i in p} - {*xor, *noise}], *[t.alias(k) for k, t in terms.items()])
-    coded = quantile_bins(wide, [*names, *terms], bins)
+    coded = equi_width(quantile_bins(wide, names, bins), list(terms), bins)  # terms may have two values
     own = {}
     for c in [*names, *terms]:  # a feature alone: its diagonal
         own[c] = pair_information(coded, [c], "output", bins).first()["mi"]
