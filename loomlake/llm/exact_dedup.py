@@ -52,8 +52,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     batch = batch or uuid.uuid4().hex
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.unhex(F.sha2(whole(F.col(text_col)), 256)).alias("digest"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.unhex(F.sha2(whole(F.col(f"`{text_col}`")), 256)).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
     )
     keys = stored(rows, "keys")  # row numbers are fixed from here on
@@ -85,7 +85,7 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id
     gone = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     drop = stored(gone.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "drop")
     twice = stored(gone.where("kept and n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "twice")
-    keyed = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__text", F.sha2(whole(F.col(text_col)), 256))
+    keyed = docs.withColumn("__doc", F.col(f"`{id_col}`").cast("long")).withColumn("__text", F.sha2(whole(F.col(f"`{text_col}`")), 256))
     same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha"))
     n_drop, n_twice = drop.count(), twice.count()
     kept = keyed.join(small_or_merge(drop, n_drop), same, "left_anti") if n_drop else keyed

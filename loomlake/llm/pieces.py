@@ -369,14 +369,17 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for at, n in _parts(batch.column(1)):
                 part = batch.slice(at, n)
-                ids = [[] if x is None else x for x in part.column(1).to_pylist()]
-                text = sp.decode(ids, num_threads=1)
-                crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string()), pa.array(crc, pa.int64())], ["doc_id", "ids", "text", "ids_crc32"])
+                lists = part.column(1)
+                ends, values, none = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.is_null().to_numpy(zero_copy_only=False)
+                ids = [values[a:a] if null else values[a:b] for a, b, null in zip(ends, ends[1:], none, strict=False)]
+                text = sp.decode([x.tolist() for x in ids], num_threads=1)
+                crc = [zlib.crc32(x.tobytes()) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(text, pa.string()), pa.array(crc, pa.int64())], ["doc_id", "ids", "text", "ids_crc32"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string, ids_crc32 long")
 
 
 def pieces_digest(decoded: DataFrame) -> DataFrame:
     """doc_id, n_ids, ids_crc32, text_sha256 (of the decoded text) for each row of decode_documents()."""
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+    n_ids = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
+    return decoded.select("doc_id", n_ids.alias("n_ids"), "ids_crc32", F.sha2("text", 256).alias("text_sha256"))

@@ -1,5 +1,6 @@
 import random
-import uuid
+
+from loomlake.llm.common import new_path
 
 
 def tables(spark):
@@ -20,7 +21,7 @@ def tables(spark):
             text.append("password=abcdef0123456789abcdef")
         rows.append((i, " ".join(text)))
         labels.append((i, int(bad)))
-    folder = f"/tmp/checkpoints/loomlake/tables-{uuid.uuid4().hex}"
+    folder = new_path(spark, "tables")
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder, rows, labels

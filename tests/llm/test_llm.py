@@ -446,6 +446,10 @@ def test_chunks_of_real_texts_and_no_texts(spark):
     assert {r.doc_id: list(r.ids) for r in found.collect()} == want
     assert sum(len(x) > 700 for x in want.values()) > 5
     assert pieces.pieces_digest(pieces.decode_documents(pieces.encode_documents(docs_of(spark, []), model), model)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, want[min(want)])], "doc_id long, ids array<int>")
+    back = {r.doc_id: (r.n_ids, r.ids_crc32, r.text_sha256) for r in pieces.pieces_digest(pieces.decode_documents(odd, model)).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert back[1][2] == back[2][2] == none and back[2][:2] == (0, 0) and back[1][1] == 0 and back[3][1] == zlib.crc32(np.array(want[min(want)], "<u4").tobytes())
 
 
 def test_matrices_combine_in_any_order():
@@ -553,3 +557,25 @@ def test_pipeline_stages_against_brute_force(spark):
     assert len(seen["secrets"]) == len(seen["near_duplicates"]) and not any(base_spans(r.text) for r in seen["secrets"])
     assert {r.doc_id for r in seen["packing"]} == {r.doc_id for r in seen["secrets"]}
     assert corpus_pipeline.run(spark, folder).count() == len(seen["packing"])
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark):
+    """Nulls, empty texts, repeated rows and ids, a very long text: every clean text stays once."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i % 977}" for i in range(40_000))
+    rows = [*EDGES, (905, "x y z w"), (906, long), (907, long + " end"), (908, "token=abcdefghijkl0123 é")]
+    folder = common.new_path(spark, "odd")
+    spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, folder), name)
+    texts = collections.Counter(r.text or "" for r in docs.collect())
+    assert set(texts.values()) == {1} and "token=" not in " ".join(texts) and any("[SECRET]" in t for t in texts)
+    assert {t for t in texts if not t.startswith("word")} >= {"", " \t\n", "x y z w"} and sum(t.startswith("word") for t in texts) == 1
+    assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == len(texts)
+    empty = common.new_path(spark, "empty")
+    docs.where("false").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
