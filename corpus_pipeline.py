@@ -1,4 +1,7 @@
-"""Documents to packed training sequences: five stages, each of which works on all that the one before kept."""
+"""Documents to packed training sequences: five stages, each of which works on all that the one before kept.
+
+Null texts count as empty in every stage and stay null in what it returns; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +17,33 @@ from loomlake.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more for toxicity go; the machine learns from these documents' labels."""
+    """Documents that score 0.7 or more for toxicity go; the machine learns from these documents' labels.
+
+    Without labels every score is 0.5, and all stay; a text without words has the score of the bias.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays, of repeated rows one; null and empty texts are equal."""
     return drop_exact_copies(docs, DigestIndex(spark))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle similarities of 0.8 or more the one with the smallest doc_id stays."""
+    """Of documents linked by shingle similarities of 0.8 or more the one with the smallest doc_id stays.
+
+    Texts without words link with nothing and stay, as do rows without an id.
+    """
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; every document stays."""
+    """Secrets are masked in the texts; every document stays, and n_chars follows a text that changed."""
     return mask_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of up to 1024 tokens."""
+    """Pieces of all documents, placed in sequences of up to 1024 tokens; an empty text is the end id alone."""
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
 
 
