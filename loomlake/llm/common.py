@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.shared import BROADCAST_ROWS, drop_stored, new_path, shared_dir, small_or_merge, stored
+from ..functions.shared import BROADCAST_ROWS, drop_stored, new_path, shared_dir, small_or_merge, spread, stored
 
-__all__ = ["BROADCAST_ROWS", "crc_mod", "drop_stored", "new_path", "shared_dir", "small_or_merge", "stored", "whole"]
+__all__ = ["BROADCAST_ROWS", "crc_mod", "drop_stored", "new_path", "shared_dir", "small_or_merge", "spread", "stored", "whole"]
 
 
 def whole(text: Column) -> Column:

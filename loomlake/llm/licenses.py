@@ -1,9 +1,12 @@
 """Licence scans: units of text against licence templates by the Dice coefficient of their word bigrams.
 
-A unit is a line, a paragraph (what stands between blank lines) or the whole text; units are normalised to lower-case
-words. Texts without any of a few telling words can't match and are not split. Sizes prune: a unit is compared with a template only if the two sizes allow the least coefficient, and units whose
-word count alone rules out every template never become bigrams. Templates are a bounded list of literals, so the scan is
-one narrow pass; only units that match are shuffled.
+A unit is a line, up to ``WRAP`` lines that follow one another (notices are wrapped, and stand in other text), a paragraph
+(what stands between blank lines) or the whole text; units are normalised to lower-case words. A match has one at least of
+the templates' bigrams that hold a telling word, so texts without any are not split, and only lines near one are joined.
+Sizes prune: a unit is
+compared with a template only if the two sizes allow the least coefficient, and units whose word count alone rules out
+every template never become bigrams. Templates are a bounded list of literals, so the scan is one narrow pass; only units
+that match are shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import whole
 
 THRESHOLD = 0.8
+#: Lines that are read as one unit.
+WRAP = 24
 
 # Public licence notices.
 TEMPLATES = {
@@ -35,6 +40,14 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -53,26 +66,52 @@ def size_bounds(n: int, threshold: float) -> tuple[float, float]:
 def telling_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
     """Words of which a text that matches any template has one at least.
 
-    A match shares n * threshold / (2 - threshold) of a template's n bigrams at least, so the longest words of a template
-    are taken until fewer bigrams than that lack them all.
+    A match shares n * threshold / (2 - threshold) of a template's n bigrams at least, so words of a template are taken
+    until fewer bigrams than that lack them all: the longest first, of equal ones the one that the most bigrams have.
     """
     chosen: list[str] = []
     for pairs in sets.values():
-        words = sorted({w for p in pairs for w in p.split()} - {*chosen}, key=lambda w: (-len(w), w))
-        while sum(not {*p.split()} & {*chosen} for p in pairs) >= size_bounds(len(pairs), threshold)[0]:
-            chosen.append(words.pop(0))
+        while len(left := [p for p in pairs if not {*p.split()} & {*chosen}]) >= size_bounds(len(pairs), threshold)[0]:
+            words = {w for p in left for w in p.split()}
+            chosen.append(min(words, key=lambda w: (-min(len(w), 5), -sum(w in p.split() for p in left), -len(w), w)))  # noqa: B023
     return chosen
 
 
-def _units(text: Column) -> Column:
-    parts = F.concat(F.split(text, r"\r?\n"), F.split(text, r"\r?\n[ \t]*\r?\n"), F.array(text))
-    return F.array_distinct(parts)
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def telling_pattern(sets: dict[str, list[str]], told: list[str]) -> str:
+    """Finds in normalised text, with a blank at both ends, a bigram of a template that holds a telling word."""
+    follow: dict[str, list[str]] = {}
+    for a, b in sorted({tuple(p.split()) for pairs in sets.values() for p in pairs if {*p.split()} & {*told}}):
+        follow.setdefault(a, []).append(b)
+    return " (?:" + "|".join(f"{a} (?:{'|'.join(b)})" for a, b in follow.items()) + ") "
+
+
+def _units(text: Column, pattern: str, wrap: int) -> Column:
+    """Distinct normalised units of a text that may match; lines without words aren't counted as lines."""
+    blank = F.lit(" ")
+
+    def of(lines: Column) -> Column:
+        at = lambda i: F.coalesce(F.try_element_at(lines, i.cast("int")), F.lit(""))
+        before = lambda i: F.when(i > 1, F.substring_index(at(i - 1), " ", -1)).otherwise("")
+        around = lambda i: F.concat(blank, before(i), blank, at(i), blank, F.substring_index(at(i + 1), " ", 1), blank)
+        near = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: around(i).rlike(pattern))
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - (wrap - 1), F.lit(1)), i))))
+        longest = lambda i: F.least(F.lit(wrap), F.size(lines) - i + 1)
+        joined = lambda i: F.transform(F.sequence(F.lit(1), longest(i)), lambda n: F.array_join(F.slice(lines, i.cast("int"), n.cast("int")), " "))
+        return F.concat(F.flatten(F.transform(starts, joined)), F.array(F.array_join(lines, " ")))
+
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), _normal), lambda x: x != "")
+    paragraphs = F.transform(F.split(text, r"\r?\n[ \t]*\r?\n"), _normal)
+    return F.array_distinct(F.concat(F.element_at(F.transform(F.array(lines), of), 1), paragraphs))
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrap: int = WRAP) -> DataFrame:
     """One row for each row of docs and template that some unit of its text matches: doc_id, license_id, dice, n_units.
 
-    dice is the best coefficient, n_units the distinct units that reach the threshold. Null, empty and one-word texts
+    dice is the best coefficient, n_units the distinct normalised units that reach the threshold. Null, empty and one-word texts
     have no bigrams and match nothing; a template without a bigram matches nothing. Texts that match no template have no
     row. Repeated rows give their rows each. An empty table gives an empty result.
     """
@@ -82,9 +121,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), whole(F.col(f"`{text_col}`")).alias("text"))
     told = telling_words(sets, threshold)
     any_of = lambda low: functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in told), F.lit(False))
+    pattern = telling_pattern(sets, told)
     rows = rows.where(F.exists(F.array(F.lower("text")), any_of))  # an array of one: lower() runs once
-    units = rows.select("doc_id", "row", F.explode(_units(F.col("text"))).alias("unit"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")), " ")
+    rows = rows.where(F.concat(F.lit(" "), _normal(F.col("text")), F.lit(" ")).rlike(pattern))
+    units = rows.select("doc_id", "row", F.explode(_units(F.col("text"), pattern, wrap)).alias("unit"))
+    words = F.split("unit", " ")
     units = units.select("doc_id", "row", words.alias("words")).where(F.size("words") > least)
     units = units.where(F.size(F.array_distinct("words")) <= most + 1)  # distinct bigrams are as many less one, at least
     pairs = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))

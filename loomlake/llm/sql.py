@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, THRESHOLD
+from .licenses import TEMPLATES, THRESHOLD, WRAP
 from .secrets import ACCESS, ACCOUNT, ASSIGN, ASSIGN_VALUE, ENDPOINT, HEX, SCOPE, WEAK_VALUE
 
 
@@ -68,8 +68,10 @@ _BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' '
 ORACLES["op1_license_scan"] = f"""
 WITH t AS (SELECT license_id, {_BIGRAMS} AS b FROM (SELECT license_id, {_WORDS.format('body')} AS w FROM (VALUES {_TEMPLATES}) v(license_id, body))),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
-u AS (SELECT DISTINCT rid, doc_id, unit FROM (SELECT rid, doc_id,
-    unnest(list_concat(list_concat(string_split_regex(x, '\r?\n'), string_split_regex(x, '\r?\n[ \t]*\r?\n')), [x])) AS unit FROM d)),
-g AS (SELECT rid, doc_id, {_BIGRAMS} AS b FROM (SELECT rid, doc_id, {_WORDS.format('unit')} AS w FROM u) WHERE len(w) > 1 AND len(list_distinct(w)) <= 400),
-m AS (SELECT rid, doc_id, license_id, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t)
+l AS (SELECT *, list_filter(string_split_regex(x, '\r?\n'), lambda v: regexp_matches(lower(v), '[a-z0-9]')) AS lines FROM d),
+s AS (SELECT rid, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l),
+n AS (SELECT rid, doc_id, array_to_string(lines[i:i + n - 1], ' ') AS unit FROM (SELECT *, unnest(range(1, least({WRAP}, len(lines) - i + 1) + 1)) AS n FROM s)),
+u AS (SELECT DISTINCT rid, doc_id, w FROM (SELECT rid, doc_id, {_WORDS.format('unit')} AS w FROM (SELECT * FROM n UNION ALL SELECT rid, doc_id, unnest(list_concat(string_split_regex(x, '\r?\n[ \t]*\r?\n'), [x])) AS unit FROM d))),
+g AS (SELECT rid, doc_id, {_BIGRAMS} AS b FROM u WHERE len(w) > 1 AND len(list_distinct(w)) <= 400),
+m AS (SELECT rid, doc_id, license_id, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t WHERE len(g.b) BETWEEN len(t.b) * 0.6 AND len(t.b) * 1.6)
 SELECT doc_id, license_id, max(CAST(dice AS DOUBLE)) AS dice, count(*) AS n_units FROM m WHERE dice >= {THRESHOLD} GROUP BY rid, doc_id, license_id"""
