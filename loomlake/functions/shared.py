@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast, of about 100 bytes each.
 BROADCAST_ROWS = 500_000
+#: Bytes for each core up to which a table in few files is dealt anew.
+SMALL_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,21 @@ def drop_stored(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame, each: int = SMALL_BYTES) -> DataFrame:
+    """A table in fewer files than there are cores, and of up to ``each`` bytes for each core, is dealt to all of them.
+
+    A file of one row group is one task's however many splits it has. Larger tables, and those of more files, stay as
+    they are: no rows are moved.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    size = sum((p := path(f)).getFileSystem(conf).getFileStatus(p).getLen() for f in files)
+    return df.repartition(cores) if size <= each * cores else df
+
+
 def small_or_merge(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side whose rows were counted and are few; beyond that a sort-merge join, which AQE splits by skew."""
     rows = df.count() if rows is None else rows
