@@ -121,19 +121,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 400, rate: flo
     params = [np.array([none.bias]), np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.05, (len(chosen), FACTORS))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
 
-    def summed(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        return np.stack([np.bincount(at, weights=values[:, f], minlength=size) for f in range(values.shape[1])], 1)
-
+    by_term = np.argsort(col, kind="stable")
+    row_by_term = row[by_term]
+    some_rows, row_starts = np.unique(row, return_index=True)  # entries lie in order of rows
+    _, term_starts = np.unique(col[by_term], return_index=True)  # each chosen term has entries
+    sums = np.zeros((n, FACTORS))
     for t in range(1, rounds + 1):
         b, w, v = params
-        sums = summed(v[col], row, n)
-        squares = np.bincount(row, weights=(v[col] ** 2).sum(1), minlength=n)
+        sums[some_rows] = np.add.reduceat(v[col], row_starts)
+        squares = np.bincount(row, weights=(v**2).sum(1)[col], minlength=n)
         z = b[0] + np.bincount(row, weights=w[col], minlength=n) + 0.5 * ((sums**2).sum(1) - squares)
         g = (sigmoid(z) - labels) / n
+        of_term = np.bincount(col, weights=g[row], minlength=len(w))
         grads = [
             np.array([g.sum()]),
-            np.bincount(col, weights=g[row], minlength=len(w)) + l2 * w,
-            summed(g[row, None] * (sums[row] - v[col]), col, len(w)) + 10 * l2 * v,
+            of_term + l2 * w,
+            np.add.reduceat((g[:, None] * sums)[row_by_term], term_starts) - of_term[:, None] * v + 10 * l2 * v,
         ]
         for k, grad in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * grad
