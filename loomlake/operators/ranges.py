@@ -14,19 +14,21 @@ from ..functions.shared import small_or_merge, stored
 _PART = "__part"
 
 
-def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: list[str]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: list[str], few_keys: bool = False) -> DataFrame:
     """df with run_c, the sum of c up to each row in the order of its key, and all_c, the key's sum, for each c of sums.
 
-    Keys aren't null. Rows that the order doesn't tell apart lie in one range, in any order.
+    Keys aren't null; few_keys: they are columns or leaves, which spares a count. Rows that the order doesn't tell apart
+    lie in one range, in any order.
     """
     ranged = stored(df.repartitionByRange(*keys, *order).withColumn(_PART, F.spark_partition_id()), "ranges")
     totals = ranged.groupBy(*keys, _PART).agg(*[F.sum(c).alias(f"__{c}") for c in sums])
     ahead = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = [F.coalesce(F.sum(f"__{c}").over(ahead), F.lit(0)).alias(f"__from_{c}") for c in sums]
     every = [F.sum(f"__{c}").over(Window.partitionBy(*keys)).alias(f"all_{c}") for c in sums]
-    before = stored(totals.select(*keys, _PART, *starts, *every), "starts")
+    before = totals.select(*keys, _PART, *starts, *every)  # fewer rows than ranges and keys together
+    before = F.broadcast(before) if few_keys or not keys else small_or_merge(stored(before, "starts"))
     inside = Window.partitionBy(_PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumns({f"run_{c}": F.sum(c).over(inside) for c in sums}).join(small_or_merge(before), [_PART, *keys])
+    placed = ranged.withColumns({f"run_{c}": F.sum(c).over(inside) for c in sums}).join(before, [_PART, *keys])
     return placed.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"__from_{c}") for c in sums}).drop(_PART, *[f"__from_{c}" for c in sums])
 
 
@@ -39,13 +41,13 @@ def numbered(df: DataFrame, order: list[str | Column], out: str, keys: list[str]
 
 
 def at_quantiles(cells: DataFrame, keys: list[str], value: str, levels: list[float], sums: list[str]) -> DataFrame:
-    """keys, level (its place), quantile, run_c and all_c of sums at the last value that isn't above the quantile.
+    """keys (few), level (its place), quantile, run_c and all_c of sums at the last value that isn't above the quantile.
 
     cells has a row for each key and distinct value, with ``n`` rows and the sums. Quantiles are exact, between two ranks
     in proportion. A key has a row for each level.
     """
     every = list(dict.fromkeys(["n", *sums]))
-    run = running(cells, keys, [value], every)
+    run = running(cells, keys, [value], every, few_keys=True)
     first, last = F.col("run_n") - F.col("n"), F.col("run_n") - 1
     hits = []
     for i, p in enumerate(levels):
