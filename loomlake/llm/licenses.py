@@ -2,7 +2,7 @@
 
 A unit is a line, up to ``WRAP`` lines that follow one another (notices are wrapped, and stand in other text), a paragraph
 (what stands between blank lines) or the whole text; units are normalised to lower-case words. A match has one at least of
-the templates' bigrams that hold a telling word, so texts without any are not split, and only lines near one are joined.
+a few telling bigrams, so texts without any are not split, and only lines near one are joined.
 Sizes prune: a unit is
 compared with a template only if the two sizes allow the least coefficient, and units whose word count alone rules out
 every template never become bigrams. Templates are a bounded list of literals, so the scan is one narrow pass; only units
@@ -11,7 +11,7 @@ that match are shuffled.
 
 from __future__ import annotations
 
-import functools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -63,45 +63,60 @@ def size_bounds(n: int, threshold: float) -> tuple[float, float]:
     return n * threshold / (2 - threshold) - 1e-9, n * (2 - threshold) / threshold + 1e-9
 
 
-def telling_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
-    """Words of which a text that matches any template has one at least.
+def telling_bigrams(sets: dict[str, list[str]], threshold: float) -> list[str]:
+    """Bigrams of which a text that matches any template has one at least.
 
-    A match shares n * threshold / (2 - threshold) of a template's n bigrams at least, so words of a template are taken
-    until fewer bigrams than that lack them all: the longest first, of equal ones the one that the most bigrams have.
+    A match shares n * threshold / (2 - threshold) of a template's n bigrams at least, so it lacks the others at most:
+    one more of a template's bigrams than that are taken, those with the longest words, which prose has least.
     """
-    chosen: list[str] = []
+    chosen: set[str] = set()
     for pairs in sets.values():
-        while len(left := [p for p in pairs if not {*p.split()} & {*chosen}]) >= size_bounds(len(pairs), threshold)[0]:
-            words = {w for p in left for w in p.split()}
-            chosen.append(min(words, key=lambda w: (-min(len(w), 5), -sum(w in p.split() for p in left), -len(w), w)))  # noqa: B023
-    return chosen
+        lacks = len(pairs) - math.ceil(size_bounds(len(pairs), threshold)[0])
+        chosen.update(sorted(pairs, key=lambda p: (-len(p), p))[: lacks + 1])
+    return sorted(chosen)
 
 
-def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-
-
-def telling_pattern(sets: dict[str, list[str]], told: list[str]) -> str:
-    """Finds in normalised text, with a blank at both ends, a bigram of a template that holds a telling word."""
+def pattern_of(bigrams_: list[str]) -> str:
+    """Finds one of the bigrams in normalised text with a blank at both ends."""
     follow: dict[str, list[str]] = {}
-    for a, b in sorted({tuple(p.split()) for pairs in sets.values() for p in pairs if {*p.split()} & {*told}}):
+    for a, b in (p.split() for p in bigrams_):
         follow.setdefault(a, []).append(b)
     return " (?:" + "|".join(f"{a} (?:{'|'.join(b)})" for a, b in follow.items()) + ") "
 
 
-def _units(text: Column, pattern: str, wrap: int) -> Column:
-    """Distinct normalised units of a text that may match; lines without words aren't counted as lines."""
-    blank = F.lit(" ")
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def _units(text: Column, pattern: str, wrap: int, most: int) -> Column:
+    """Distinct normalised units of a text that may match; lines without words aren't counted as lines.
+
+    Lines are joined around one with a telling bigram, and not beyond a line that has more than ``most`` words by itself.
+    """
+    blank, at_least = F.lit(" "), lambda places, i: F.array_min(F.filter(places, lambda t: t >= i))
 
     def of(lines: Column) -> Column:
         at = lambda i: F.coalesce(F.try_element_at(lines, i.cast("int")), F.lit(""))
         before = lambda i: F.when(i > 1, F.substring_index(at(i - 1), " ", -1)).otherwise("")
         around = lambda i: F.concat(blank, before(i), blank, at(i), blank, F.substring_index(at(i + 1), " ", 1), blank)
-        near = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: around(i).rlike(pattern))
-        starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - (wrap - 1), F.lit(1)), i))))
-        longest = lambda i: F.least(F.lit(wrap), F.size(lines) - i + 1)
-        joined = lambda i: F.transform(F.sequence(F.lit(1), longest(i)), lambda n: F.array_join(F.slice(lines, i.cast("int"), n.cast("int")), " "))
-        return F.concat(F.flatten(F.transform(starts, joined)), F.array(F.array_join(lines, " ")))
+        every = F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1)))
+        marked = F.struct(
+            F.filter(every, lambda i: around(i).rlike(pattern)).alias("near"),
+            F.filter(every, lambda i: F.size(F.array_distinct(F.split(at(i), " "))) > most).alias("long"),
+        )
+
+        def joined(m: Column) -> Column:
+            starts = F.array_distinct(F.flatten(F.transform(m["near"], lambda i: F.sequence(F.greatest(i - (wrap - 1), F.lit(1)), i))))
+
+            def from_(i: Column) -> Column:
+                first = at_least(m["near"], i) - i + 1
+                last = F.least(F.lit(wrap), F.size(lines) - i + 1, at_least(m["long"], i) - i)
+                sizes = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+                return F.transform(sizes, lambda n: F.array_join(F.slice(lines, i, n), " "))
+
+            return F.concat(F.flatten(F.transform(starts, from_)), F.array(F.array_join(lines, " ")))
+
+        return F.element_at(F.transform(F.array(marked), joined), 1)
 
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), _normal), lambda x: x != "")
     paragraphs = F.transform(F.split(text, r"\r?\n[ \t]*\r?\n"), _normal)
@@ -119,12 +134,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     bounds = {k: size_bounds(len(b), threshold) for k, b in sets.items()}
     least, most = min((lo for lo, _ in bounds.values()), default=1), max((hi for _, hi in bounds.values()), default=0)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), whole(F.col(f"`{text_col}`")).alias("text"))
-    told = telling_words(sets, threshold)
-    any_of = lambda low: functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in told), F.lit(False))
-    pattern = telling_pattern(sets, told)
-    rows = rows.where(F.exists(F.array(F.lower("text")), any_of))  # an array of one: lower() runs once
+    pattern = pattern_of(telling_bigrams(sets, threshold))
     rows = rows.where(F.concat(F.lit(" "), _normal(F.col("text")), F.lit(" ")).rlike(pattern))
-    units = rows.select("doc_id", "row", F.explode(_units(F.col("text"), pattern, wrap)).alias("unit"))
+    units = rows.select("doc_id", "row", F.explode(_units(F.col("text"), pattern, wrap, int(most) + 1)).alias("unit"))
     words = F.split("unit", " ")
     units = units.select("doc_id", "row", words.alias("words")).where(F.size("words") > least)
     units = units.where(F.size(F.array_distinct("words")) <= most + 1)  # distinct bigrams are as many less one, at least
