@@ -45,7 +45,7 @@ def spread(df: DataFrame, each: int = SMALL_BYTES) -> DataFrame:
     A file of one row group is one task's however many splits it has. Larger tables, and those of more files, stay as
     they are: no rows are moved.
     """
-    spark, files = df.sparkSession, df.inputFiles()
+    spark, files = df.sparkSession, df._jdf.inputFiles()  # an array in the JVM: of many files none is named here
     cores = spark.sparkContext.defaultParallelism
     if not 0 < len(files) < cores:
         return df
