@@ -75,3 +75,12 @@ u AS (SELECT DISTINCT rid, doc_id, w FROM (SELECT rid, doc_id, {_WORDS.format('u
 g AS (SELECT rid, doc_id, {_BIGRAMS} AS b FROM u WHERE len(w) > 1 AND len(list_distinct(w)) <= 400),
 m AS (SELECT rid, doc_id, license_id, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t WHERE len(g.b) BETWEEN len(t.b) * 0.6 AND len(t.b) * 1.6)
 SELECT doc_id, license_id, max(CAST(dice AS DOUBLE)) AS dice, count(*) AS n_units FROM m WHERE dice >= {THRESHOLD} GROUP BY rid, doc_id, license_id"""
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n AS ni, b.n AS nj, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT i, j FROM p WHERE 100 * c >= 80 * (ni + nj - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.doc_id)
+SELECT doc_id, len(any_value(s)) AS n_shingles, min(root) AS component_id FROM r JOIN s USING (doc_id) GROUP BY doc_id"""
