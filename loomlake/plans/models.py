@@ -153,6 +153,29 @@ def m2(spark, d):
     return rounded(rounded(gains.select("candidate", "threshold", "gain", "n_left"), "gain", digits=5), "threshold")
 
 
+_FIRST = f"""WITH b AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), t AS (SELECT count(*) AS n, CAST(sum(y) AS DOUBLE) AS s FROM b), g AS ({_SPLITS}),
+best AS (SELECT * FROM g WHERE nl >= 5 AND n - nl >= 5 ORDER BY round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, 9) DESC, candidate, threshold LIMIT 1)"""
+
+
+@query(
+    "M10_single_split",
+    f"{_FIRST} SELECT 0 AS node, candidate AS feature, round(threshold, 6) AS threshold, round(s / n, 6) AS value, CAST(n AS BIGINT) AS n FROM best UNION ALL SELECT 1, NULL, 0.0, round(sl / nl, 6), CAST(nl AS BIGINT) FROM best UNION ALL SELECT 2, NULL, 0.0, round((s - sl) / (n - nl), 6), CAST(n - nl AS BIGINT) FROM best",
+)
+def m10one(spark, d):
+    m = T.grow(_binary(spark, d), T.candidates_for(FEATURES, "axis"), "y", 1)
+    return rounded(m.table(spark).select("node", F.get("features", F.lit(0)).alias("feature"), "threshold", "value", "n"), "value", "threshold")
+
+
+_SIDE = " ".join(f"WHEN '{c}' THEN {c}" for c in FEATURES)
+
+
+@query("M11_single_split_predict", f"{_FIRST} SELECT round(CASE WHEN CASE candidate {_SIDE} END <= threshold THEN sl / nl ELSE (s - sl) / (n - nl) END, 6) AS p, count(*) AS n, round(avg(y), 6) AS mean_y FROM b, best GROUP BY 1")
+def m11one(spark, d):
+    df = _binary(spark, d)
+    m = T.grow(df, T.candidates_for(FEATURES, "axis"), "y", 1)
+    return df.select(F.round(m.predict(), 6).alias("p"), "y").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("mean_y"))
+
+
 @query("M10_grow_tree")
 def m10(spark, d):
     m = T.grow(_binary(spark, d), T.candidates_for(FEATURES, "axis"), "y", 4)

@@ -126,7 +126,17 @@ def m4(spark, d):
     return spark.createDataFrame([(f, round(x, 6)) for f, x in zip(FEATURES, w, strict=False)], "feature string, weight double")
 
 
-@query("M5_ridge_penalties")
+#: Of a penalty: weights w = (G + a I)^-1 t, error syy - w t - a w w, and degrees 3 - a trace (G + a I)^-1.
+_PENALTIES = f"""WITH b AS (SELECT CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b, CAST(l_discount AS DOUBLE) AS c, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), {_MOMENTS},
+p AS (SELECT z.p, (SELECT n FROM m) AS n, (SELECT sum((y - my) * (y - my)) FROM b, m) AS yy, aa - 1 + z.p AS aa, bb - 1 + z.p AS bb, cc - 1 + z.p AS cc, ab, ac, bc, ya, yb, yc FROM g, (VALUES (0.01), (0.1), (1.0), (10.0)) z(p)),
+q AS (SELECT *, {_DETERMINANT} AS det FROM p),
+w AS (SELECT *, (ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc)) / det AS w1, (aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac)) / det AS w2,
+    (aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)) / det AS w3, 3 - p * (bb * cc - bc * bc + aa * cc - ac * ac + aa * bb - ab * ab) / det AS freedom FROM q),
+best AS (SELECT * FROM w ORDER BY (yy - w1 * ya - w2 * yb - w3 * yc - p * (w1 * w1 + w2 * w2 + w3 * w3)) / n / power(1 - (1 + freedom) / n, 2), p LIMIT 1)
+SELECT 'l_quantity' AS feature, round(w1, 6) AS weight FROM best UNION ALL SELECT 'l_extendedprice', round(w2, 6) FROM best UNION ALL SELECT 'l_discount', round(w3, 6) FROM best"""
+
+
+@query("M5_ridge_penalties", _PENALTIES)
 def m5(spark, d):
     w = T.ridge_direction(_binary(spark, d), tuple(FEATURES[:3]), "y", (0.01, 0.1, 1.0, 10.0))
     return spark.createDataFrame([(f, round(x, 6)) for f, x in zip(FEATURES, w, strict=False)], "feature string, weight double")
