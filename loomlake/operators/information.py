@@ -63,10 +63,10 @@ def pair_information(df: DataFrame, codes: list[str], label: str, bins: int) ->
 
 def co_information(df: DataFrame, codes: list[str], label: str, bins: int) -> DataFrame:
     """I, j (i < j), coi = I_i + I_j - I_ij; positive for redundancy, negative for synergy."""
-    mi = stored(pair_information(df, codes, label, bins), "information")
-    own = lambda side: F.broadcast(mi.where("i = j").select(F.col("i").alias(side), F.col("mi").alias(f"of_{side}")))  # noqa: E731  features
-    joined = mi.where("i < j").join(own("i"), "i").join(own("j"), "j")
-    return joined.select("i", "j", (F.col("of_i") + F.col("of_j") - F.col("mi")).alias("coi"))
+    mi = pair_information(df, codes, label, bins)
+    own = lambda side: F.max(F.when(F.col("i") == F.col("j"), F.col("mi"))).over(Window.partitionBy(side))  # noqa: E731  features
+    both = mi.select("i", "j", "mi", own("i").alias("of_i"), own("j").alias("of_j"))
+    return both.where("i < j").select("i", "j", (F.col("of_i") + F.col("of_j") - F.col("mi")).alias("coi"))
 
 
 def knn_information(points: np.ndarray, label: np.ndarray, k: int = 3) -> float:
