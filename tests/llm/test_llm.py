@@ -152,6 +152,15 @@ def test_jaccard_join_with_hubs_and_stage(spark):
     assert jaccard.jaccard_join(docs_of(spark, [])).count() == 0
 
 
+def test_jaccard_join_without_broadcasts(spark, monkeypatch):
+    """What is done where every side is too large to be sent: the same links."""
+    monkeypatch.setattr(jaccard, "small_or_merge", lambda df, *_, **__: df.hint("merge"))
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    rows = sample(120, 6) + EDGES
+    found = jaccard.jaccard_join(docs_of(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
+
+
 def test_shingler_segments_and_tree():
     text = " ".join(f"w{i}" for i in range(2000)) + " É Ab"
     whole, old = jaccard.Shingler()(text), jaccard.SEGMENT
