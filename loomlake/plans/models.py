@@ -236,8 +236,7 @@ def s3(spark, d):
     example = F.struct(
         F.to_json(F.struct(F.col("c_acctbal").alias("bal"))).alias("input"), F.col("c_mktsegment").alias("output"), (F.col("c_custkey") % 5).cast("int").alias("metadata_fold"), F.lit("regression").alias("metadata_task_type"), F.lit("tpc").alias("metadata_source"), F.col("c_custkey").alias("metadata_row_index"), F.lit(5).alias("metadata_n_classes")
     )
-    sets = c.groupBy("c_mktsegment").agg(F.collect_list(example).alias("examples")).select(F.array(F.struct(F.col("c_mktsegment").alias("dataset"), "examples")).alias("datasets"))
-    sets.write.option("maxRecordsPerFile", 1).json(path)  # a document is a part
+    N.example_documents(c, "c_mktsegment", example).write.option("maxRecordsPerFile", 1).json(path)  # a document is a part
     return N.parse_input(N.read_examples(spark, path), ["bal"], lenient=True).select("dataset", "metadata_row_index", "bal")
 
 

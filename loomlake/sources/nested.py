@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import numbered
@@ -27,10 +27,22 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: str = RECORD)
 
 
 def read_examples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Part, position, dataset and the fields of each example of documents in one or more parts."""
-    docs = read_array(spark, paths, DOCUMENT).withColumn("part", F.input_file_name())
-    sets = docs.select("part", F.explode("datasets").alias("d")).select("part", "d.dataset", F.posexplode("d.examples").alias("position", "e"))
-    return sets.select("part", "position", "dataset", "e.*")
+    """Part, position, dataset and the fields of each example of documents in one or more parts.
+
+    Each example gets its dataset's name before the array is exploded, else every row carries the whole document along.
+    A document is parsed as one row; writers keep them small (``example_documents``, ``byte_parts``).
+    """
+    docs = read_array(spark, paths, DOCUMENT)
+    named = lambda d: F.transform(d["examples"], lambda e, i: F.struct(i.alias("position"), d["dataset"].alias("dataset"), e.alias("e")))
+    every = F.flatten(F.transform(F.filter("datasets", lambda d: d["examples"].isNotNull()), named))
+    return docs.select(F.input_file_name().alias("part"), F.explode(every).alias("x")).select("part", "x.position", "x.dataset", "x.e.*")
+
+
+def example_documents(df: DataFrame, dataset: str, example: Column, most: int = 50_000) -> DataFrame:
+    """S3: a row for each document, of one dataset and of up to ``most`` examples; larger datasets have several."""
+    chunk = F.floor(F.monotonically_increasing_id() / most)
+    some = df.select(F.col(dataset).alias("dataset"), example.alias("example"), chunk.alias("chunk")).groupBy("dataset", "chunk")
+    return some.agg(F.collect_list("example").alias("examples")).select(F.array(F.struct("dataset", "examples")).alias("datasets"))
 
 
 def parse_input(df: DataFrame, features: list[str], lenient: bool = False) -> DataFrame:

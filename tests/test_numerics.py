@@ -99,3 +99,19 @@ def test_nested_json(spark, tmp_path):
     assert [(r.dataset, r.x, r.y) for r in rows] == [("d", 1.5, 0.0), ("d", 0.0, 0.0)]
     (tmp_path / "l.jsonl").write_text('{"input":{"x":1.0},"output":1}\n\n{"broken\n')
     assert nested.read_lines(spark, str(tmp_path / "l.jsonl")).count() == 1
+
+
+def test_large_documents_are_not_carried_by_each_example(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 3).select(F.when(F.col("id") % 10 > 0, F.lit("d")).alias("d"), "id")
+    example = F.struct(F.lit("{}").alias("input"), F.col("id").alias("metadata_row_index"))
+    docs = nested.example_documents(df, "d", example, 100)
+    assert docs.agg(F.max(F.size(F.col("datasets")[0]["examples"]))).first()[0] <= 100
+    docs.write.option("maxRecordsPerFile", 1).json(str(tmp_path / "docs"))
+    (tmp_path / "docs" / "more.json").write_text('{"datasets":[{"dataset":"none"},{"dataset":"e","examples":[{"metadata_row_index":-1},{"metadata_row_index":-2}]}]}')
+    every = nested.read_examples(spark, str(tmp_path / "docs"))
+    rows = every.collect()
+    assert sorted((r.metadata_row_index, r.dataset) for r in rows) == [(-2, "e"), (-1, "e"), *((i, "d" if i % 10 else None) for i in range(1000))]
+    assert [r.position for r in rows if r.dataset == "e"] == [0, 1] and len({r.part for r in rows}) == docs.count() + 1
+    plan = every.select("dataset", "metadata_row_index")._jdf.queryExecution().executedPlan().toString()
+    kept = [x.split("), [")[1].split("]")[0] for x in plan.splitlines() if "Generate " in x and "), [" in x and "), [position" not in x]
+    assert "Generate" in plan and not any(kept)  # beside the example
