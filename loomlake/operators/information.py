@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import drop_stored, stored
 from ..functions.tails import digamma
 from .metrics import kendall_tau, spearman
 
 #: Counts that a task keeps at once.
 CELLS = 1 << 24
+#: Distances that are computed at once: their arrays stay in a core's cache.
+BLOCK = 1 << 16
 
 
 def pair_information(df: DataFrame, codes: list[str], label: str, bins: int) -> DataFrame:
@@ -93,68 +95,170 @@ def knn_information(points: np.ndarray, label: np.ndarray, k: int = 3) -> float:
     return float(digamma(np.array([n]))[0] + digamma(ks).mean() - digamma(sizes[y]).mean() - digamma(within + 1).mean())
 
 
-class Boxes:
-    """Points of the plane dealt to leaves by cuts at a sample's medians; leaves cover the plane."""
-
-    def __init__(self, sample: np.ndarray, leaves: int):
-        self.cuts: list[tuple[int, float, int, int]] = []
-        self.leaves = 0
-        self.root = self._cut(sample, leaves)
-
-    def _cut(self, x: np.ndarray, leaves: int) -> int:
-        """A leaf is -1 - its number."""
-        side = int(np.argmax(np.ptp(x, 0))) if len(x) else 0
-        cut = float(np.median(x[:, side])) if len(x) > 1 else np.nan
-        low = x[:, side] < cut
-        if leaves < 2 or not low.any():
-            self.leaves += 1
-            return -self.leaves
-        at = len(self.cuts)
-        self.cuts.append((side, cut, 0, 0))
-        self.cuts[at] = (side, cut, self._cut(x[low], leaves // 2), self._cut(x[~low], leaves - leaves // 2))
-        return at
-
-    def meeting(self, x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of points and the leaves that points within r of them can lie in; r = 0 is the point's own leaf."""
-        found, todo = [], [(self.root, np.arange(len(x)))]
-        while todo:
-            node, at = todo.pop()
-            if node < 0:
-                found.append((at, np.full(len(at), -1 - node)))
-            elif len(at):
-                side, cut, low, high = self.cuts[node]
-                todo += [(low, at[x[at, side] - r[at] < cut]), (high, at[x[at, side] + r[at] >= cut])]
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _gaps(x: np.ndarray, z: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Chebyshev distances of blocks of x to all of z."""
-    for at in range(0, len(x), 256):
-        b = slice(at, at + 256)
-        yield b, np.maximum(np.abs(x[b, 0, None] - z[None, :, 0]), np.abs(x[b, 1, None] - z[None, :, 1]))
-
-
-def _nearest(x: np.ndarray, z: np.ndarray, k: int, same: bool) -> np.ndarray:
-    """The k least distances of each point of x to points of z, (x, k), inf where z has fewer; ``same``: not to itself."""
-    out = np.full((len(x), k), np.inf)
-    if not len(z):
+class Buckets:
+    """Points of the plane in 2^levels buckets of one size, cut at medians of the wider side; spare places are at infinity."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rows: int = 24):
+        n = len(x)
+        levels = max(0, int(np.log2(max(n, 1) / rows)))
+        spare = (max(1, -(-n >> levels)) << levels) - n
+        far = np.full(spare, np.inf)
+        self.at = np.concatenate([np.arange(n), np.full(spare, -1)])[None]
+        self.x, self.y = np.concatenate([x, far])[None], np.concatenate([y, far])[None]
+        self.boxes = [self._box()]
+        for _ in range(levels):
+            nodes, size = self.x.shape
+            box = self.boxes[-1]
+            wide = box[1] - box[0] >= box[3] - box[2]
+            order = np.argpartition(np.where(wide[:, None], self.x, self.y), size // 2, axis=1)
+            self.at, self.x, self.y = (np.take_along_axis(v, order, 1).reshape(2 * nodes, size // 2) for v in (self.at, self.x, self.y))
+            self.boxes.append(self._box())
+
+    def _box(self) -> np.ndarray:
+        out = []
+        for v in (self.x, self.y):
+            high = v.max(1)
+            partly = np.flatnonzero(np.isinf(high))
+            high[partly] = np.where(np.isinf(v[partly]), -np.inf, v[partly]).max(1)
+            out += [v.min(1), high]
+        return np.stack(out)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """Values by bucket and place in the order in which the points came."""
+        real = self.at.ravel() >= 0
+        flat = values.reshape(self.at.size, *values.shape[2:])
+        out = np.empty((int(real.sum()), *flat.shape[1:]), values.dtype)
+        out[self.at.ravel()[real]] = flat[real]
         return out
-    for b, gap in _gaps(x, z):
-        if same:
-            gap[np.arange(len(gap)), np.arange(b.start, b.start + len(gap))] = np.inf
-        m = min(k, len(z))
-        out[b, :m] = np.partition(gap, m - 1, 1)[:, :m]
-    return np.sort(out, 1)
 
-
-def knn_co_information(df: DataFrame, features: list[str], label: str, k: int = 3, most_rows: int | None = None, clip: bool = False, base: float = np.e, leaf_rows: int = 512) -> DataFrame:
+    def placed(self, values: np.ndarray, spare: float) -> np.ndarray:
+        """Values in the points' order by bucket and place."""
+        out = np.full((self.at.size, *values.shape[1:]), spare, values.dtype)
+        real = self.at.ravel() >= 0
+        out[real] = values[self.at.ravel()[real]]
+        return out.reshape(*self.at.shape, *values.shape[1:])
+
+    def met_by(self, asks: Buckets, r: np.ndarray, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of asking points (bucket times size) and buckets here with a box nearer than r; ``own``: not its own."""
+        size = asks.x.shape[1]
+        real = asks.at >= 0
+        slack = r + 1e-15 * (np.where(real, np.abs(asks.x) + np.abs(asks.y), 0) + r)
+        low, high = (lambda v: np.where(real, v - slack, np.inf).min(1)), (lambda v: np.where(real, v + slack, -np.inf).max(1))
+        around = [low(asks.x), high(asks.x), low(asks.y), high(asks.y)]
+        q, node = np.arange(len(asks.x)), np.zeros(len(asks.x), np.int64)
+        for level, box in enumerate(self.boxes):
+            if level:
+                q, node = np.repeat(q, 2), (2 * node[:, None] + [0, 1]).ravel()
+            ok = (box[0][node] < around[1][q]) & (box[1][node] > around[0][q]) & (box[2][node] < around[3][q]) & (box[3][node] > around[2][q])
+            q, node = q[ok], node[ok]
+        if own:
+            q, node = q[q != node], node[q != node]
+        step = max(1, BLOCK // size)
+        for at in range(0, len(q), step):
+            a, b = q[at : at + step], node[at : at + step]
+            x, y, reach, (x0, x1, y0, y1) = asks.x[a], asks.y[a], r[a], self.boxes[-1][:, b, None]
+            pair, place = np.nonzero((x0 - x < reach) & (x - x1 < reach) & (y0 - y < reach) & (y - y1 < reach))
+            yield a[pair] * size + place, b[pair]
+
+    def gaps(self, x: np.ndarray, y: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Chebyshev distances of points to all of a bucket each."""
+        out, other = self.x[bucket], self.y[bucket]
+        out -= x[:, None]
+        other -= y[:, None]
+        return np.maximum(np.abs(out, out=out), np.abs(other, out=other), out=out)
+
+
+def _least(gap: np.ndarray, k: int) -> np.ndarray:
+    """The k least of each row, in order, inf where there are fewer."""
+    if gap.shape[1] > k:
+        return np.sort(np.partition(gap, k - 1, 1)[:, :k], 1)
+    return np.sort(np.pad(gap, ((0, 0), (0, k - gap.shape[1])), constant_values=np.inf), 1)
+
+
+def _nearer(there: Buckets, asks: Buckets, d: np.ndarray, need: int, own: bool = False) -> np.ndarray:
+    """d (bucket, place, k) of the asking points with distances to the points there that are less."""
+    shape, k = d.shape, d.shape[2]
+    met = list(there.met_by(asks, d[:, :, need - 1], own))
+    d, x, y = d.reshape(-1, k).copy(), asks.x.ravel(), asks.y.ravel()
+    if met:
+        point, bucket = (np.concatenate([m[side] for m in met]) for side in (0, 1))
+        order = np.argsort(point, kind="stable")
+        point, bucket = point[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])[: len(point)]
+        many = np.diff(np.r_[first, len(point)])
+        turn, step = 0, max(1, BLOCK // there.x.shape[1])
+        while len(first):  # each point asks one bucket a turn
+            for at in range(0, len(first), step):
+                here = first[at : at + step] + turn
+                p = point[here]
+                d[p] = np.sort(np.concatenate([d[p], _least(there.gaps(x[p], y[p], bucket[here]), k)], 1), 1)[:, :k]
+            turn += 1
+            left = many > turn
+            first, many = first[left], many[left]
+    return d.reshape(shape)
+
+
+def _near_others(z: Buckets, k: int, need: int) -> np.ndarray:
+    """The k least distances of each point of z to others of z."""
+    nodes, size = z.x.shape
+    d = np.empty((nodes, size, k))
+    step = max(1, BLOCK // (size * size))
+    for at in range(0, nodes, step):
+        x, y = z.x[at : at + step], z.y[at : at + step]
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(np.abs(x[:, :, None] - x[:, None]), np.abs(y[:, :, None] - y[:, None]))
+        gap[:, np.arange(size), np.arange(size)] = np.inf
+        d[at : at + step] = _least(gap.reshape(-1, size), k).reshape(len(x), size, k)
+    d[z.at < 0] = 0.0  # spare places ask for nothing
+    return _nearer(z, z, d, need, True)
+
+
+def _within(there: Buckets, asks: Buckets, r: np.ndarray) -> np.ndarray:
+    """How many points there are nearer than r to each asking point."""
+    out, x, y, reach = np.zeros(r.size, np.int64), asks.x.ravel(), asks.y.ravel(), r.ravel()
+    step = max(1, BLOCK // there.x.shape[1])
+    for points, buckets in there.met_by(asks, r):
+        for at in range(0, len(points), step):
+            p, b = points[at : at + step], buckets[at : at + step]
+            np.add.at(out, p, (there.gaps(x[p], y[p], b) < reach[p, None]).sum(1))
+    return out.reshape(r.shape)
+
+
+def _line_near(x: np.ndarray, k: int) -> np.ndarray:
+    """The k least distances of each value of x, which ascends, to others."""
+    out = np.full((len(x), 2 * k), np.inf)
+    for s in range(1, min(k, len(x) - 1) + 1):
+        out[s:, s - 1] = out[:-s, k + s - 1] = x[s:] - x[:-s]
+    return np.sort(out, 1)[:, :k]
+
+
+def _line_within(there: np.ndarray, x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many of the ascending values there are nearer than r to each x; differences are compared, as in the plane."""
+    n = len(there)
+    first, end = np.searchsorted(there, x - r), np.searchsorted(there, x + r)
+    value = np.r_[there, np.inf]
+    moves = [
+        (first, -1, lambda i, at: (i > 0) & (x[at] - value[i - 1] < r[at])),
+        (first, 1, lambda i, at: (i < n) & (x[at] - value[i] >= r[at])),
+        (end, 1, lambda i, at: (i < n) & (value[i] - x[at] < r[at])),
+        (end, -1, lambda i, at: (i > 0) & (value[i - 1] - x[at] >= r[at])),
+    ]
+    for place, step, wrong in moves:  # sums are rounded
+        at = np.arange(len(x))
+        while len(at := at[wrong(place[at], at)]):
+            place[at] += step
+    return np.maximum(end - first, 0)
+
+
+def knn_co_information(df: DataFrame, features: list[str], label: str, k: int = 3, most_rows: int | None = None, clip: bool = False, base: float = np.e, leaf_rows: int = 1 << 19) -> DataFrame:
     """I, j, coi by nearest neighbours over all rows whose features are numbers and whose label is not null.
 
-    Each pair of features is a plane, cut into leaves of about ``leaf_rows`` rows, of each class and of all classes.
-    Rows look for neighbours of their class in their own leaf; where the distance reaches further they ask the leaves it
-    meets, so the distances are exact. The rows within them are then counted in the leaves of all classes. A plane has at
-    most 8,192 leaves, whose cuts come from a sample on the driver and affect time only. Ties are broken by a normal
-    noise of 1e-10 that is a hash of the row. Only where a caller asks for ``most_rows`` are so many taken, by a hash.
+    Each pair of features is a plane, dealt to strips of about ``leaf_rows`` rows by the feature with more values; one
+    shuffle serves all pairs of that feature. A strip finds the neighbours of each class and counts the rows within
+    their distance, in buckets of a few rows. Rows whose distance reaches beyond their strip ask the strips it meets,
+    first for neighbours and then for counts; only rows that lie as near to a strip's edge as some distance reaches are
+    read again for them. All distances are exact. Ties are broken by a normal noise of 1e-10 that is a hash of the row;
+    equal rows are numbered where there are any. Only where a caller asks for ``most_rows`` are so many taken, by a hash.
     """
     import pandas as pd
 
@@ -162,89 +266,197 @@ def knn_co_information(df: DataFrame, features: list[str], label: str, k: int =
     usable = df.where(F.col(label).isNotNull()).where(~F.exists(F.array(*[F.col(c).cast("double") for c in features]), lambda v: v.isNull() | F.isnan(v)))
     if most_rows is not None:
         usable = usable.orderBy(F.xxhash64(*df.columns), *df.columns).limit(most_rows)
-    sizes = {r["y"]: r["n"] for r in usable.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > 1}
+    each = [g(F.col(c).cast("double")).alias(f"{name}{f}") for f, c in enumerate(features) for name, g in (("m", F.avg), ("s", F.stddev_pop), ("u", F.approx_count_distinct))]
+    known = [r for r in usable.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"), *each).collect() if r["n"] > 1]
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    n = sum(sizes.values())
+    n = sum(r["n"] for r in known)
     if not n:
         return spark.createDataFrame([(i, j, 0.0) for i, j in pairs if i < j], "i int, j int, coi double")
-    classes = list(sizes)
-    usable = usable.where(F.col(label).isin(classes))
-    scale = usable.agg(*[g(F.col(c).cast("double")) for c in features for g in (F.avg, F.stddev_pop)]).first()
-    copies = usable.withColumn("__copy", F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(0))))
-    every = [*df.columns, "__copy"]
-    uniform = lambda s: (F.pmod(F.xxhash64(*every, F.lit(s)), F.lit(1 << 32)) + 0.5) / (1 << 32)
-    noise = lambda f: F.sqrt(-2 * F.log(uniform(2 * f))) * F.cos(2 * np.pi * uniform(2 * f + 1)) * 1e-10
-    x = [(F.col(c).cast("double") - scale[2 * f]) / (scale[2 * f + 1] or 1.0) + noise(f) for f, c in enumerate(features)]
-    tree = F.create_map(*[c for t, y in enumerate(classes) for c in (F.lit(y), F.lit(t + 1))])
-    points = stored(copies.select(F.xxhash64(*every).alias("id"), tree[F.col(label)].alias("t"), F.array(*x).alias("x")), "points")
-    counts = [n, *sizes.values()]
-    leaves = [max(1, min(8192, c // leaf_rows)) for c in counts]
-    want = min(1.0, 32 * sum(leaves) / n)
-    sample = points.where(F.pmod("id", F.lit(1_000_003)) < want * 1_000_003).select("t", "x").toPandas()
-    sx, st = np.array(sample["x"].tolist()).reshape(len(sample), -1), sample["t"].to_numpy()
-    boxes = [[Boxes(sx[st == t if t else slice(None)][:, [i, j]], m) for t, m in enumerate(leaves)] for i, j in pairs]
-    row = "p int, t int, leaf int, id long, a double, b double"
-
-    def deal(own: bool):
+    classes, counts = [r["y"] for r in known], [n, *[r["n"] for r in known]]
+    mean = [sum(r["n"] * r[f"m{f}"] for r in known) / n for f in range(len(features))]
+    deviation = [np.sqrt(sum(r["n"] * (r[f"s{f}"] ** 2 + (r[f"m{f}"] - mean[f]) ** 2) for r in known) / n) for f in range(len(features))]
+    axes = sorted(range(len(features)), key=lambda f: -max(r[f"u{f}"] for r in known))
+    planes = {f: [(p, i + j - f) for p, (i, j) in enumerate(pairs) if min(i, j, key=axes.index) == f] for f in axes}  # pair, the other feature
+    axis_of = {p: f for f, some in planes.items() for p, _ in some}
+    needs = [min(k, c - 1) for c in counts]
+    cores = spark.sparkContext.defaultParallelism
+    strips = -(-n // (leaf_rows * cores)) * cores if n * 16 > leaf_rows * cores else -(-n * 16 // leaf_rows)
+    code = F.create_map(*[c for t, y in enumerate(classes) for c in (F.lit(y), F.lit(t + 1))])
+    d_columns = [f"d{q}" for q in range(k)]
+    ask = ["p", "t", "strip", "id", "x", "y"]
+    row = "p int, t int, strip int, id long, x double, y double, " + ", ".join(f"{c} double" for c in d_columns)
+
+    def numbers(copied: bool) -> DataFrame:
+        """t, the class from 1, and x0, x1, ..., the features in deviations."""
+        own = usable.where(F.col(label).isin(classes))
+        own = own.withColumn("__copy", F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(0))) if copied else F.lit(1))
+        every = [*df.columns, "__copy"]
+        uniform = lambda s: (F.pmod(F.xxhash64(*every, F.lit(s)), F.lit(1 << 32)) + 0.5) / (1 << 32)
+        noise = lambda f: F.sqrt(-2 * F.log(uniform(2 * f))) * F.cos(2 * np.pi * uniform(2 * f + 1)) * 1e-10
+        x = [((F.col(c).cast("double") - mean[f]) / float(deviation[f] or 1.0) + noise(f)).alias(f"x{f}") for f, c in enumerate(features)]
+        return stored(own.select(code[F.col(label)].alias("t"), *x), "points")
+
+    def strip_of(f: int, check: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            parts = [pdf for pdf in batches if len(pdf)]
+            if not parts:
+                return
+            strip = TaskContext.get().partitionId()
+            at = np.argsort(np.concatenate([q[f"x{f}"].to_numpy() for q in parts]), kind="stable")
+            get = lambda c: np.concatenate([q[c].to_numpy() for q in parts])[at]
+            t, x = get("t"), get(f"x{f}")
+            copies = 0
+            if check:
+                same = x[1:] == x[:-1]
+                tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+                values = np.stack([get(c)[tied] for c in parts[0].columns])
+                values = values[:, np.lexsort(values)]
+                copies = int((values[:, 1:] == values[:, :-1]).all(0).sum())
+            empty = dict.fromkeys(d_columns, np.nan)
+            yield pd.DataFrame({"p": [-1], "t": copies, "strip": strip, "id": len(x), "x": x[0], "y": x[-1], **empty})
+            if copies:
+                return
+            own = [np.flatnonzero(t == c) for c in np.unique(t)]
+            for p, g in planes[f]:
+                y, d = get(f"x{g}"), np.empty((len(x), k))
+                for c in own:
+                    need = needs[int(t[c[0]])]
+                    if g == f:
+                        d[c] = _line_near(x[c], k)
+                    else:
+                        z = Buckets(x[c], y[c])
+                        d[c] = z.back(_near_others(z, k, need))
+                near = d[np.arange(len(x)), np.array(needs)[t] - 1]
+                inside = (x - x[0] >= near) & (x[-1] - x >= near)
+                if g == f:
+                    w = _line_within(x, x[inside], near[inside])
+                else:
+                    z = Buckets(x, y)
+                    w = z.back(_within(z, z, z.placed(np.where(inside, near, 0.0), 0.0)))[inside]
+                value, many = np.unique(w - (near[inside] > 0), return_counts=True)
+                yield pd.DataFrame({"p": p, "t": 0, "strip": strip, "id": many, "x": value.astype(float), "y": 0.0, **empty})  # t 0: a count
+                out = np.flatnonzero(~inside)
+                yield pd.DataFrame({"p": p, "t": t[out], "strip": strip, "id": (strip << 32) + out, "x": x[out], "y": y[out]} | {c: d[out, q] for q, c in enumerate(d_columns)})
+
+        return run
+
+    def dealt(f: int, check: bool) -> DataFrame:
+        some = [f"x{g}" for _, g in planes[f]]
+        return stored(points.select("t", *some).repartitionByRange(strips, f"x{f}").mapInPandas(strip_of(f, check), row), "strips")
+
+    points = numbers(False)
+    found = {axes[0]: dealt(axes[0], True)}
+    if found[axes[0]].where("p = -1 AND t > 0").limit(1).count():  # equal rows
+        drop_stored(points)
+        drop_stored(found[axes[0]])
+        points = numbers(True)
+        found = {axes[0]: dealt(axes[0], False)}
+    found |= {f: dealt(f, False) for f in axes[1:]}
+    edges, number = {}, {}
+    for f in axes:
+        b = found[f].where("p = -1").select("strip", "x", "y").toPandas().sort_values("x")
+        edges[f] = (b["x"].to_numpy(), b["y"].to_numpy())
+        number[f] = {int(s): q for q, s in enumerate(b["strip"])}
+    union = found[axes[0]]
+    for f in axes[1:]:
+        union = union.unionByName(found[f])
+    asking = union.where("t > 0 AND p >= 0")
+
+    def sent(reach: str, own: bool):
+        """Asks by leaf, the place of a strip that they meet: its rows up to one value and since another are needed."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                xs, ts, ids = np.array(pdf["x"].tolist()).reshape(len(pdf), -1), pdf["t"].to_numpy(), pdf["id"].to_numpy()
-                for p, (i, j) in enumerate(pairs):
-                    for t in set(ts.tolist()) if own else [0]:
-                        here = np.flatnonzero(ts == t) if own else np.arange(len(ts))
-                        z = xs[here][:, [i, j]]
-                        at, leaf = boxes[p][t].meeting(z, np.zeros(len(z)))
-                        yield pd.DataFrame({"p": p, "t": t, "leaf": leaf, "id": ids[here][at], "a": z[at, 0], "b": z[at, 1]})
-
-        return points.mapInPandas(run, row)
-
-    plane = lambda pdf: pdf[["a", "b"]].to_numpy()
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, t, z = int(pdf["p"].iloc[0]), int(pdf["t"].iloc[0]), plane(pdf)
-        near = _nearest(z, z, k, True)
-        reach = near[:, min(k, counts[t] - 1) - 1]
-        at, leaf = boxes[p][t].meeting(z, reach)
-        away = leaf != pdf["leaf"].iloc[0]
-        at, leaf = at[away], leaf[away]
-        order = np.argsort(at, kind="stable")
-        others = np.split(leaf[order], np.cumsum(np.bincount(at, minlength=len(z)))[:-1])
-        return pdf[["p", "t", "id", "a", "b"]].assign(d=near.tolist(), others=[o.tolist() for o in others])
+                for p, part in pdf.groupby("p"):
+                    low, high = edges[axis_of[p]]
+                    x, r = part["x"].to_numpy(), part[reach].to_numpy() if reach in part else part[d_columns].to_numpy()[np.arange(len(part)), np.array(needs)[part["t"].to_numpy()] - 1]
+                    slack = r + 1e-15 * (np.abs(x) + r)
+                    a, b = np.searchsorted(high, x - slack), np.searchsorted(low, x + slack, "right")
+                    place = np.repeat(np.arange(len(x)), b - a)
+                    leaf = np.arange(len(place)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[place]
+                    home = part["strip"].map(number[axis_of[p]]).to_numpy()[place]
+                    if not own:
+                        place, leaf, home = place[leaf != home], leaf[leaf != home], home[leaf != home]
+                    under, over = (x - slack)[place] < low[leaf], (x + slack)[place] > high[leaf]
+                    upto = np.where(under, (x + slack)[place], -np.inf)
+                    since = np.where(over, (x - slack)[place], np.inf)
+                    inside = np.flatnonzero(~under & ~over)  # in its own strip, from the edge that is nearer
+                    at, to = place[inside], leaf[inside]
+                    left = x[at] - low[to] < high[to] - x[at]
+                    upto[inside[left]], since[inside[~left]] = (x + slack)[at[left]], (x - slack)[at[~left]]
+                    yield part.iloc[place].assign(leaf=leaf.astype(np.int32), near=r[place], upto=upto, since=since)
+
+        return run
+
+    def read_again(asks: DataFrame, by_class: bool) -> DataFrame:
+        """Rows that asks of a strip may reach: p, t, leaf, x, y."""
+        zones = asks.groupBy("p", "leaf", *["t"] * by_class).agg(F.max("upto").alias("upto"), F.min("since").alias("since")).toPandas()
+        reach = {}
+        for p, some in zones.groupby("p"):
+            shape = (len(counts) if by_class else 1, len(edges[axis_of[p]][0]))
+            upto, since = np.full(shape, -np.inf), np.full(shape, np.inf)
+            t = some["t"].to_numpy() if by_class else 0
+            upto[t, some["leaf"].to_numpy()], since[t, some["leaf"].to_numpy()] = some["upto"], some["since"]
+            reach[p] = (upto, since)
 
-    def asked(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        return asks[["p", "t", "id", "a", "b"]].assign(d=pd.Series(_nearest(plane(asks), plane(there), k, False).tolist(), asks.index, object))
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                t = pdf["t"].to_numpy()
+                at = t if by_class else np.zeros(len(t), np.int64)
+                for f in axes:
+                    x = pdf[f"x{f}"].to_numpy()
+                    leaf = np.searchsorted(edges[f][1], x)
+                    for p, g in planes[f]:
+                        if p in reach:
+                            here = np.flatnonzero((x <= reach[p][0][at, leaf]) | (x >= reach[p][1][at, leaf]))
+                            if len(here):
+                                yield pd.DataFrame({"p": np.int32(p), "t": t[here], "leaf": leaf[here].astype(np.int32), "x": x[here], "y": pdf[f"x{g}"].to_numpy()[here]})
+
+        return points.mapInPandas(run, "p int, t int, leaf int, x double, y double")
+
+    def bucketed(pdf: pd.DataFrame) -> Buckets:
+        return Buckets(pdf["x"].to_numpy(), pdf["y"].to_numpy())
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, part in pdf.groupby("p"):
-                at, leaf = boxes[p][0].meeting(plane(part), part["near"].to_numpy())
-                yield part.iloc[at].assign(leaf=leaf)
+    def asked(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if len(asks) and len(there):
+            z, t = bucketed(asks), int(asks["t"].iloc[0])
+            d = np.repeat(z.placed(asks["near"].to_numpy(), 0.0)[:, :, None], k, 2)  # its own are known: only what is nearer
+            asks = asks.assign(**dict(zip(d_columns, z.back(_nearer(bucketed(there), z, d, needs[t])).T, strict=True)))
+        else:
+            asks = asks.iloc[:0]
+        return asks[[*ask, *d_columns]]
 
     def counted(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        within = np.zeros(len(asks), np.int64)
-        near = asks["near"].to_numpy()
-        for b, gap in _gaps(plane(asks), plane(there)):
-            within[b] = (gap < near[b, None]).sum(1)
-        return asks[["p", "t", "id", "a", "b", "near"]].assign(w=within)
-
-    cell, key = ["p", "t", "leaf"], ["p", "t", "id", "a", "b"]
-    own = deal(True)
-    first = stored(own.groupBy(*cell).applyInPandas(inside, "p int, t int, id long, a double, b double, d array<double>, others array<int>"), "near")
-    asks = first.select(*key, F.explode("others").alias("leaf"))
-    more = asks.groupBy(*cell).cogroup(own.groupBy(*cell)).applyInPandas(asked, "p int, t int, id long, a double, b double, d array<double>")
-    least = F.array(*[F.lit(min(k, c - 1)) for c in counts])
-    near = first.select(*key, "d").unionByName(more).groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("d"))).alias("d"))
-    near = near.select(*key, F.element_at("d", F.get(least, F.col("t"))).alias("near"))
-    dealt = near.mapInPandas(spread, "p int, t int, id long, a double, b double, near double, leaf int")
-    within = dealt.groupBy("p", "leaf").cogroup(deal(False).groupBy("p", "leaf")).applyInPandas(counted, "p int, t int, id long, a double, b double, near double, w long")
-    total = within.groupBy(*key, "near").agg(F.sum("w").alias("w")).select("p", (F.col("w") - (F.col("near") > 0).cast("long")).alias("w"))
-    held = total.groupBy("p", "w").count().toPandas()
+        w = np.zeros(len(asks), np.int64)
+        if len(asks) and len(there):
+            z = bucketed(asks)
+            w = z.back(_within(bucketed(there), z, z.placed(asks["near"].to_numpy(), 0.0)))
+        return asks[["p", "id", "near"]].assign(w=w)
+
+    histogram = [union.where("t = 0 AND p >= 0").groupBy("p", F.col("x").cast("long").alias("w")).agg(F.sum("id").alias("n"))]
+    tables = [points, *found.values()]
+    if not asking.isEmpty():
+        to = row + ", leaf int, near double, upto double, since double"
+        asks = stored(asking.mapInPandas(sent("", False), to), "asks")
+        more = asks.groupBy("p", "t", "leaf").cogroup(read_again(asks, True).groupBy("p", "t", "leaf")).applyInPandas(asked, row)
+        least = F.array(*[F.lit(c) for c in needs])
+        merged = asking.unionByName(more).groupBy(*ask).agg(F.sort_array(F.flatten(F.collect_list(F.array(*d_columns)))).alias("d"))
+        near = stored(merged.select(*ask, F.element_at("d", F.get(least, F.col("t"))).alias("near")).mapInPandas(sent("near", True), "p int, t int, strip int, id long, x double, y double, near double, leaf int, upto double, since double"), "near")
+        within = near.groupBy("p", "leaf").cogroup(read_again(near, False).groupBy("p", "leaf")).applyInPandas(counted, "p int, id long, near double, w long")
+        total = within.groupBy("p", "id", "near").agg(F.sum("w").alias("w")).select("p", (F.col("w") - (F.col("near") > 0).cast("long")).alias("w"))
+        tables += [asks, near]
+        histogram.append(total.groupBy("p", "w").agg(F.count(F.lit(1)).alias("n")))
+    held = pd.concat([h.toPandas() for h in histogram])
+    for table in tables:
+        drop_stored(table)
     of = np.array([float(c) for c in counts[1:]])
     fixed = digamma(np.array([float(n)]))[0] + float((of * (digamma(np.minimum(k, of - 1)) - digamma(of))).sum()) / n
     mi = {}
     for p, pair in enumerate(pairs):
         h = held[held["p"] == p]
-        value = (fixed - float((h["count"] * digamma(h["w"].to_numpy() + 1.0)).sum()) / n) / np.log(base)
+        value = (fixed - float((h["n"] * digamma(h["w"].to_numpy() + 1.0)).sum()) / n) / np.log(base)
         mi[pair] = float(max(0.0, value) if clip else value)
     return spark.createDataFrame([(i, j, mi[i, i] + mi[j, j] - mi[i, j]) for i, j in pairs if i < j], "i int, j int, coi double")
 

@@ -65,3 +65,36 @@ def test_knn_co_information_of_all_rows(spark):
     mi = {(i, j): information.knn_information(z[:, sorted({i, j})], y) for i in range(3) for j in range(i, 3)}
     for r in information.knn_co_information(df, ["a", "b", "c"], "y", leaf_rows=300).collect():
         assert r.coi == pytest.approx(mi[r.i, r.i] + mi[r.j, r.j] - mi[r.i, r.j], abs=1e-6)
+
+
+def test_neighbours_in_buckets(monkeypatch):
+    """Against all distances, on places that many points share but for noise; each point sees few others."""
+    rng = np.random.default_rng(4)
+    x, y = (rng.integers(0, m, 4000) + rng.normal(0, 1e-10, 4000) for m in (3, 40))
+    x[:500], y[:500] = rng.normal(0, 9, 500), 2.0  # on a line
+    gap = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+    np.fill_diagonal(gap, np.inf)
+    seen, gaps = [], information.Buckets.gaps
+    monkeypatch.setattr(information.Buckets, "gaps", lambda *a: seen.append((out := gaps(*a)).size) or out)
+    z = information.Buckets(x, y)
+    near = z.back(information._near_others(z, 3, 3))
+    assert (near == np.sort(gap, 1)[:, :3]).all()
+    r = near[:, 2]
+    within = z.back(information._within(z, z, z.placed(r, 0.0)))
+    assert (within - (r > 0) == (gap < r[:, None]).sum(1)).all()
+    assert sum(seen) < 200 * len(x)  # leaves of 512 rows saw thousands
+    some = np.sort(np.r_[x, x[:9]])
+    line = np.abs(some[:, None] - some)
+    np.fill_diagonal(line, np.inf)
+    r = information._line_near(some, 3)[:, 2]
+    assert (r == np.sort(line, 1)[:, 2]).all()
+    assert (information._line_within(some, some, r) - (r > 0) == (line < r[:, None]).sum(1)).all()
+
+
+def test_knn_co_information_of_equal_rows_by_strips(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(c), int((a + b + d) % 3)) for a, b, c, d in rng.integers(0, [4, 9, 2, 2], (2500, 4))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int")
+    one, many = ({(r.i, r.j): r.coi for r in information.knn_co_information(df, ["a", "b", "c"], "y", leaf_rows=n).collect()} for n in (1 << 19, 150))
+    assert one == pytest.approx(many, abs=1e-12) and one[0, 1] < -0.1
+    assert len(set(one.values())) == 3
