@@ -391,15 +391,30 @@ def knn_co_information(df: DataFrame, features: list[str], label: str, k: int =
         return run
 
     def read_again(asks: DataFrame, by_class: bool) -> DataFrame:
-        """Rows that asks of a strip may reach: p, t, leaf, x, y."""
-        zones = asks.groupBy("p", "leaf", *["t"] * by_class).agg(F.max("upto").alias("upto"), F.min("since").alias("since")).toPandas()
+        """Rows that asks of a strip may reach: p, t, leaf, x, y. Few asks reach far, so each cell of y has its own bounds."""
+        own = ["p", "leaf", *["t"] * by_class]
+        cells = max(1, min(256, CELLS // (16 * len(pairs) * strips * (len(counts) if by_class else 1))))
+        cuts = {r["p"]: np.array(r["c"]) for r in asks.groupBy("p").agg(F.percentile_approx("y", [q / cells for q in range(cells)], 10_000).alias("c")).collect()}
+
+        def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for p, part in pdf.groupby("p"):
+                    y, r = part["y"].to_numpy(), part["near"].to_numpy()
+                    slack = r + 1e-15 * (np.abs(y) + r)
+                    a, b = np.searchsorted(cuts[p], y - slack, "right"), np.searchsorted(cuts[p], y + slack, "right") + 1
+                    place = np.repeat(np.arange(len(y)), b - a)
+                    cell = np.arange(len(place)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[place]
+                    met = part[["upto", "since", *own]].iloc[place].assign(cell=cell.astype(np.int32)).groupby([*own, "cell"], as_index=False)
+                    yield met.agg({"upto": "max", "since": "min"})
+
+        zones = asks.mapInPandas(bounds, ", ".join(f"{c} int" for c in [*own, "cell"]) + ", upto double, since double")
         reach = {}
-        for p, some in zones.groupby("p"):
-            shape = (len(counts) if by_class else 1, len(edges[axis_of[p]][0]))
+        for p, some in zones.groupBy(*own, "cell").agg(F.max("upto").alias("upto"), F.min("since").alias("since")).toPandas().groupby("p"):
+            shape = (len(counts) if by_class else 1, len(edges[axis_of[p]][0]), cells + 1)
             upto, since = np.full(shape, -np.inf), np.full(shape, np.inf)
-            t = some["t"].to_numpy() if by_class else 0
-            upto[t, some["leaf"].to_numpy()], since[t, some["leaf"].to_numpy()] = some["upto"], some["since"]
-            reach[p] = (upto, since)
+            at = (some["t"].to_numpy() if by_class else 0, some["leaf"].to_numpy(), some["cell"].to_numpy())
+            upto[at], since[at] = some["upto"], some["since"]
+            reach[p] = (upto, since, upto.max(2), since.min(2))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -410,9 +425,14 @@ def knn_co_information(df: DataFrame, features: list[str], label: str, k: int =
                     leaf = np.searchsorted(edges[f][1], x)
                     for p, g in planes[f]:
                         if p in reach:
-                            here = np.flatnonzero((x <= reach[p][0][at, leaf]) | (x >= reach[p][1][at, leaf]))
+                            upto, since, most, least = reach[p]
+                            here = np.flatnonzero((x <= most[at, leaf]) | (x >= least[at, leaf]))
+                            y = pdf[f"x{g}"].to_numpy()[here]
+                            cell = (at[here], leaf[here], np.searchsorted(cuts[p], y, "right"))
+                            met = (x[here] <= upto[cell]) | (x[here] >= since[cell])
+                            here, y = here[met], y[met]
                             if len(here):
-                                yield pd.DataFrame({"p": np.int32(p), "t": t[here], "leaf": leaf[here].astype(np.int32), "x": x[here], "y": pdf[f"x{g}"].to_numpy()[here]})
+                                yield pd.DataFrame({"p": np.int32(p), "t": t[here], "leaf": leaf[here].astype(np.int32), "x": x[here], "y": y})
 
         return points.mapInPandas(run, "p int, t int, leaf int, x double, y double")
 
